@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.llm import dac, mixing, topk, urls
+from ridgeline.llm import dac, mixing, pii, quality, topk, urls
 from ridgeline.llm._common import table
 
 #: The filter rules of the query: host, path, verdict.
@@ -17,10 +17,19 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_ratio(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_token_codes(spark, sf_dir):
     return dac.round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op4_contextual_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_url_rules(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -35,7 +44,7 @@ def op9_bit_sliced_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_codes, op5_url_rules, op7_source_mix, op9_bit_sliced_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op4_contextual_pii, op5_url_rules, op7_source_mix, op9_bit_sliced_topk)}
 
 ORACLES = {
     "op5_url_rules": """
