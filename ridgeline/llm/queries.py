@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.llm import dac, mixing, pii, quality, topk, urls
+from ridgeline.llm import bpe, dac, mixing, pii, quality, topk, urls
 from ridgeline.llm._common import table
 
 #: The filter rules of the query: host, path, verdict.
@@ -39,12 +39,19 @@ def op7_source_mix(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    vocabulary = bpe.read_ranks(_vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.PATTERN, vocabulary)
+
+
 def op9_bit_sliced_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op4_contextual_pii, op5_url_rules, op7_source_mix, op9_bit_sliced_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op4_contextual_pii, op5_url_rules, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk)}
 
 ORACLES = {
     "op5_url_rules": """
