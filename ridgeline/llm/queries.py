@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, dac, mixing, pii, quality, topk, urls
+from ridgeline.llm import bpe, dac, mixing, pii, quality, topk, toxicity, urls
 from ridgeline.llm._common import table
 
 #: The filter rules of the query: host, path, verdict.
@@ -26,6 +26,18 @@ def op2_token_codes(spark, sf_dir):
     return dac.round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def held_out(doc_id):
+    """Rows that no label is learned from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def op3_toxic_lexicon(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_contextual_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -51,7 +63,7 @@ def op9_bit_sliced_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op4_contextual_pii, op5_url_rules, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op3_toxic_lexicon, op4_contextual_pii, op5_url_rules, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk)}
 
 ORACLES = {
     "op5_url_rules": """
