@@ -23,7 +23,7 @@ from ridgeline.llm._common import shared_dir
 
 MAGIC = b"RLDAC1\0\0"
 #: Bits of a rank block; tokens after which a segment is closed; words that an encoder remembers.
-RANK_BITS, SEGMENT, REMEMBER = 512, 1 << 18, 400_000
+RANK_BITS, SEGMENT, REMEMBER = 512, 1 << 18, 800_000
 
 _SEGMENT = "part int, segment int, n_tokens long, doc_ids array<long>, doc_ends array<long>, payload binary"
 
@@ -87,26 +87,56 @@ class Reader:
 
 def _encoder(tokenizer_path: str):
     """Ids of a text as little-endian bytes. The tokenizer's splits never join what a blank or line end separates, so
-    texts are encoded piece by piece, and frequent pieces once."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
+    texts are encoded piece by piece, and a piece once; new pieces go to the tokenizer together, and offsets tell
+    their ids apart. Pieces that normalisation changes in length go alone. The tokenizer lower-cases, and parts a
+    comma or full stop from the letter or digit before it, so texts are cut there too."""
+    import re
+    import unicodedata
+
+    import tokenizers
+
+    # A Python worker serves many tasks; what one has learnt stays with the library's module for the next.
+    kept = tokenizers.__dict__.setdefault("_ridgeline_encoders", {})
+    if tokenizer_path in kept:
+        return kept[tokenizer_path]
+    tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    known: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        new = list({p for p in pieces if p not in known})
-        fresh = known
-        if new:
-            got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if len(known) + len(got) > REMEMBER:
-                got |= {p: known[p] for p in set(pieces) if p in known}
-                fresh = got
-            else:
-                known.update(got)
-        return b"".join(map(fresh.__getitem__, pieces))
-
+    known: dict[str, bytes] = {"": b""}
+
+    def learn(pieces: list[str]) -> dict[str, bytes]:
+        plain = [p for p in pieces if p.isascii() or unicodedata.is_normalized("NFC", p) and len(p.lower()) == len(p)]
+        got = {}
+        for i in range(0, len(plain), 5000):
+            part = plain[i : i + 5000]
+            encoded = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(p) + 1 for p in part])
+            owner = np.searchsorted(starts, np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded.ids)), "right") - 1
+            cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            got.update((p, ids[a:b]) for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        for p in pieces:
+            if p not in got:
+                got[p] = np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        return got
+
+    stop = re.compile(r"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
+
+    def pieces(text: str) -> list[str]:
+        # Lower case depends on what follows only for the capital sigma; the dotted capital I changes in length.
+        lower = text if "\u03a3" in text or "\u0130" in text else text.lower()
+        return stop.sub(r" \1", lower).replace("\n", " ").split(" ")
+
+    def encode(texts: list[str]) -> list[bytes]:
+        nonlocal known
+        cut = [pieces(t) for t in texts]
+        new = set().union(*cut) - known.keys()
+        if len(known) + len(new) > REMEMBER:
+            known = {"": b""}
+            new = set().union(*cut) - known.keys()
+        known.update(learn(list(new)))
+        return [b"".join(map(known.__getitem__, found)) for found in cut]
+
+    kept[tokenizer_path] = encode
     return encode
 
 
@@ -123,8 +153,8 @@ def _segments(tokenizer_path: str, end_id: int):
             return pd.DataFrame({"part": [part], "segment": [segment], "n_tokens": [total], "doc_ids": [ids], "doc_ends": [ends], "payload": [pack(np.frombuffer(b"".join(codes), "<u4"))]})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                code = encode(text) + end
+            for doc_id, code in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist()), strict=True):
+                code += end
                 total += len(code) // 4
                 ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
                 ends.append(total)
