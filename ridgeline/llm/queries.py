@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, dac, mixing, pii, quality, topk, toxicity, urls
+from ridgeline.llm import bpe, dac, jaccard, mixing, pii, quality, topk, toxicity, urls
 from ridgeline.llm._common import table
 
 #: The filter rules of the query: host, path, verdict.
@@ -47,6 +47,10 @@ def op5_url_rules(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_jaccard_classes(spark, sf_dir):
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_source_mix(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,7 +67,7 @@ def op9_bit_sliced_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op3_toxic_lexicon, op4_contextual_pii, op5_url_rules, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op3_toxic_lexicon, op4_contextual_pii, op5_url_rules, op6_jaccard_classes, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk)}
 
 ORACLES = {
     "op5_url_rules": """
