@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, dac, jaccard, mixing, pii, quality, topk, toxicity, urls
+from ridgeline.llm import bpe, dac, jaccard, mixing, pii, quality, suffix, topk, toxicity, urls
 from ridgeline.llm._common import table
 
 #: The filter rules of the query: host, path, verdict.
@@ -67,7 +67,11 @@ def op9_bit_sliced_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op3_toxic_lexicon, op4_contextual_pii, op5_url_rules, op6_jaccard_classes, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk)}
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op3_toxic_lexicon, op4_contextual_pii, op5_url_rules, op6_jaccard_classes, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk, op10_suffix_dedup)}
 
 ORACLES = {
     "op5_url_rules": """
