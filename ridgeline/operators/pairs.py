@@ -35,6 +35,10 @@ def _matrix(series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64) if len(series) else np.zeros((0, 1))
 
 
+def _no_rows(schema: str) -> pd.DataFrame:
+    return pd.DataFrame(columns=[f.split()[0] for f in schema.split(",")])
+
+
 def meet_train(test: DataFrame, train: DataFrame, kernel, schema: str, payload: list[str] = ()) -> DataFrame:
     """kernel(test ids, test points, train frame) -> frame, over blocks of test rows and blocks of training rows.
 
@@ -47,13 +51,15 @@ def meet_train(test: DataFrame, train: DataFrame, kernel, schema: str, payload:
     asked = test.select("id", "z").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)).cast("array<int>")))
     block = F.pmod(F.xxhash64("id"), F.lit(max(1, int(test.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     asked = asked.withColumn("block", block)
-    blocks = asked.select("block", "deal").distinct()
-    left, right = asked.groupBy("block", "deal"), packed.join(blocks, "deal").groupBy("block", "deal")
+    blocks = asked.select((F.col("block") + 0).alias("block"), (F.col("deal") + 0).alias("deal")).distinct()
+    met = packed.join(blocks, "deal").select((F.col("block") + 0).alias("block"), (F.col("deal") + 0).alias("deal"), *[F.col(c).alias(c) for c in ("id", "z", *payload)])
+    left, right = asked.groupBy("block", "deal"), met.groupBy("block", "deal")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return _no_rows(schema)
         a = a.sort_values("id")
-        parts = [kernel(a["id"].to_numpy()[k : k + 512], _matrix(a["z"][k : k + 512]), b) for k in range(0, len(a), 512)] if len(b) else []
-        return pd.concat(parts) if parts else kernel(a["id"].to_numpy()[:0], np.zeros((0, 1)), b[:0])
+        return pd.concat([kernel(a["id"].to_numpy()[k : k + 512], _matrix(a["z"][k : k + 512]), b) for k in range(0, len(a), 512)])
 
     return left.cogroup(right).applyInPandas(run, schema)
 
@@ -85,12 +91,16 @@ def self_pairs(df: DataFrame, kernel, schema: str, payload: list[str] = ()) -> D
     Each block is sent to the blocks that it meets, blocks + 1 times altogether; results are partial.
     """
     blocks = max(1, -(-df.count() // (BLOCK // 4)))
-    dealt = df.select("id", "z", *payload).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    columns = ["id", "z", *payload]
+    dealt = df.select(*columns).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     seq = lambda a, b: F.explode(F.sequence(a, b))
     left = dealt.withColumn("a", F.col("block")).withColumn("b", seq(F.col("block"), F.lit(blocks - 1)))
+    dealt = df.select(*[F.col(c).alias(c) for c in columns]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     right = dealt.withColumn("b", F.col("block")).withColumn("a", seq(F.lit(0), F.col("block")))
 
     def run(key, a, b):
+        if not len(a) or not len(b):
+            return _no_rows(schema)
         return kernel(a.sort_values("id"), b.sort_values("id"), key[0] == key[1])
 
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, schema)

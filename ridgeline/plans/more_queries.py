@@ -193,7 +193,7 @@ def l16_predict(spark, d):
 
 
 @query(
-    f"""SELECT l_orderkey, l_linenumber, 1.0 AS v0, round(na, 8) + 0.0 AS v1, round(nb, 8) + 0.0 AS v2, round((3 * na * na - 1) / 2, 8) + 0.0 AS v3, round(na * nb, 8) + 0.0 AS v4, round((3 * nb * nb - 1) / 2, 8) + 0.0 AS v5 FROM ({NORM_SQL})"""
+    f"""SELECT l_orderkey, l_linenumber, CAST(1 AS DOUBLE) AS v0, round(na, 8) + 0.0 AS v1, round(nb, 8) + 0.0 AS v2, round((3 * na * na - 1) / 2, 8) + 0.0 AS v3, round(na * nb, 8) + 0.0 AS v4, round((3 * nb * nb - 1) / 2, 8) + 0.0 AS v5 FROM ({NORM_SQL})"""
 )
 def b2_legendre_columns(spark, d):
     basis = ridge.Basis("legendre", 2, (0.0, 0.0), (1.0, 1.0))

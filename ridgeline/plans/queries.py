@@ -67,7 +67,7 @@ VEC_SQL = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings
 
 def unit(column: str, k: int) -> str:
     """SQL of a number in [0, 1) from keys, exact in both engines."""
-    return f"((({column}) * {7919 + 104729 * k} + {k} * 15485863) % 1000003) / 1000003.0"
+    return f"((({column}) * {7919 + 104729 * k} + {k} * 15485863) % 1000003) / CAST(1000003 AS DOUBLE)"
 
 
 # Flagship and moments -----------------------------------------------------------------------------------------------
@@ -273,7 +273,7 @@ def p4_extent(spark, d):
     return df.select("l_orderkey", "l_linenumber", r6(HALF.extent(abc(), p)).alias("reach"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN a - 25 >= 0 THEN 50.0 ELSE 1.0 END AS x0, CASE WHEN b - 0.05 >= 0 THEN 0.1 ELSE 0.0 END AS x1, CASE WHEN 0.04 - c >= 0 THEN 0.08 ELSE 0.0 END AS x2 FROM ({LINE_SQL})")
+@query(f"SELECT l_orderkey, l_linenumber, CAST(CASE WHEN a - 25 >= 0 THEN 50.0 ELSE 1.0 END AS DOUBLE) AS x0, CAST(CASE WHEN b - 0.05 >= 0 THEN 0.1 ELSE 0.0 END AS DOUBLE) AS x1, CAST(CASE WHEN 0.04 - c >= 0 THEN 0.08 ELSE 0.0 END AS DOUBLE) AS x2 FROM ({LINE_SQL})")
 def p5_corner(spark, d):
     corner = LINE.corner([F.col("a") - 25, F.col("b") - 0.05, 0.04 - F.col("c")])
     return line(spark, d).select("l_orderkey", "l_linenumber", *[c.alias(f"x{k}") for k, c in enumerate(corner)])
