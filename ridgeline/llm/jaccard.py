@@ -6,8 +6,9 @@ order. Prefixes are dealt by shingle as packed blocks, so each task holds whole
 Round one compares every set of a list with one pivot of the list only. The answers (intersection sizes with the
 pivot) then serve all pairs of the list: for sets x and y with pivot r,
     |x & r| + |y & r| - |r| <= |x & y| <= min(|x & r|, |y & r|) + min(|x - r|, |y - r|),
-so most pairs of round two are decided without reading a set; sets that already are in one class are skipped, and so
-are blocks of a list whose sizes or positions rule a link out. What is left is compared exactly.
+so most other pairs are decided without reading a set; sets that already are in one class are skipped, and so are
+blocks of a list whose sizes or positions rule a link out. Long lists first meet a few pivots of their largest class,
+round by round, as long as that joins classes; then all pairs that are still open are compared exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WIDTH, PERCENT = 5, 80
 #: Prefix entries of a deal; cells of the frequency sketch, a byte each, at least and at most; entries of a list up to
 #: which all its pairs are looked at together.
 DEALT, CELLS, SHORT = 500_000, (1 << 18, 1 << 26), 32
+#: Pivots of a long list in a later round, and such rounds at most (what they leave is compared pair by pair).
+PIVOTS, ROUNDS = 4, 6
 
 #: Rows in which a task sends its sketch.
 PARTS = 64
@@ -123,6 +126,20 @@ def _lists(percent: int):
     return lambda batches: _listed(batches, percent)
 
 
+def _has_partner(e: np.ndarray, percent: int) -> np.ndarray:
+    """Whether an entry can link with another one of its list; all entries of long lists count."""
+    starts = _runs(e["h"])
+    lengths = np.diff(starts)
+    end, every = np.repeat(starts[1:], lengths), np.arange(len(e))
+    out = np.repeat(lengths > SHORT, lengths)
+    short = ~out
+    for d in range(1, int(lengths[lengths <= SHORT].max(initial=1))):
+        i = every[short & (every + d < end)]
+        fits = _admissible(e["size"][i], e["size"][i + d], e["at"][i], e["at"][i + d], percent)
+        out[i[fits]] = out[i[fits] + d] = True
+    return out
+
+
 def _listed(batches, percent: int):
     import pyarrow as pa
 
@@ -136,9 +153,10 @@ def _listed(batches, percent: int):
         starts = _runs(e["h"])
         lengths = np.diff(starts)
         e = e[np.repeat(lengths > 1, lengths)]
-        starts = _runs(e["h"])
+        e = e[_has_partner(e, percent)]
         if not len(e):
             continue
+        starts = _runs(e["h"])
         rank = _bytes.mix(e["row"].astype(np.uint64))
         run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         order = np.lexsort((rank, run))
@@ -181,10 +199,12 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "overlap": pa.array(sizes, pa.int64())})
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Intersection sizes of pairs (a, b), read from the texts of the documents that occur in them."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = stored(texts.join(used, "row").select("row", "text").mapInArrow(_pack_sets(width), "row long, packed binary"), "sets")
+def _compared(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
+    """Intersection sizes of pairs (a, b) from the stored sets; of few pairs, only the sets that occur are moved (their
+    rows are sent whole while they are small)."""
+    if few:
+        used = stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "used")
+        sets = sets.join(used, "row", "left_semi")
     left = sets.select(F.col("row").alias("a"), F.col("packed").alias("x"))
     right = sets.select(F.col("row").alias("b"), F.col("packed").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_overlaps, "a long, b long, overlap long")
@@ -217,8 +237,9 @@ def _admissible(a_size, b_size, a_at, b_at, percent: int):
     return (100 * small >= percent * large) & (small_at <= index) & (np.minimum(a_size - a_at, b_size - b_at) >= least_overlap(small, large, percent))
 
 
-def _open_pairs(percent: int):
-    """Pairs of a list that are in two classes and not ruled out by their answers for the pivot: a, b, sure (ruled in)."""
+def _open_pairs(percent: int, turn: int | None):
+    """Pairs of a list that are in two classes and not ruled out by their answers for the pivot: a, b, sure (ruled in).
+    With a turn, only long lists, and there the pairs of the sets outside the largest class with some of its sets."""
 
     def judged(e, i, j):
         i, j = i[e["label"][i] != e["label"][j]], j[e["label"][i] != e["label"][j]]
@@ -240,7 +261,7 @@ def _open_pairs(percent: int):
         short = np.repeat(lengths <= SHORT, lengths)
         every = np.arange(len(end))
         found = []
-        for d in range(1, int(lengths[lengths <= SHORT].max(initial=1))):
+        for d in range(1, int(lengths[lengths <= SHORT].max(initial=1)) if turn is None else 1):
             i = every[short & (every + d < end)]
             found.append(judged(e, i, i + d))
         for a, b in zip(starts[:-1][lengths > SHORT].tolist(), starts[1:][lengths > SHORT].tolist(), strict=True):
@@ -248,6 +269,12 @@ def _open_pairs(percent: int):
             # within the largest class aren't looked at.
             labels, number, counts = np.unique(e["label"][a:b], return_inverse=True, return_counts=True)
             size = e["size"][a:b]
+            if turn is not None:
+                others, largest = np.flatnonzero(number != counts.argmax()), np.flatnonzero(number == counts.argmax())
+                rank = _bytes.mix(e["row"][a:b][largest].astype(np.uint64) + np.uint64((turn + 1) << 48))
+                for j in largest[np.argsort(rank)[:PIVOTS]].tolist():
+                    found.append(judged(e, a + others, np.full(len(others), a + j)))
+                continue
             for i in np.flatnonzero(number != counts.argmax()).tolist():
                 low, high = np.searchsorted(size, [-(-percent * int(size[i]) // 100), 100 * int(size[i]) // percent + 1])
                 j = np.arange(low, high)
@@ -299,30 +326,37 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     entries = texts.mapInArrow(_entries(grades, width, percent, deals), "deal int, block binary").repartition(deals, "deal")
     lists = stored(entries.mapInArrow(_lists(percent), "h long, row long, size int, at int, pivot long, pivot_size int, asks boolean"), "lists")
     pairs = stored(lists.where("asks").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    answers = stored(_compared(pairs, texts, width), "answers")
+    # The same plan at every size: texts of the documents in lists are moved once.
+    used = lists.select("row").distinct()
+    sets = stored(texts.join(used.hint("merge"), "row").select("row", "text").mapInArrow(_pack_sets(width), "row long, packed binary"), "sets")
+    answers = stored(_compared(pairs, sets, False), "answers")
     size_of = lambda c: sizes.select(F.col("row").alias(c), F.col("size").alias(f"{c}_size"))
     linked = lambda df: df.where(100 * F.col("overlap") >= percent * (F.col("a_size") + F.col("b_size") - F.col("overlap"))).select("a", "b")
     links = stored(linked(answers.join(size_of("a"), "a").join(size_of("b"), "b")), "links")
     labels = components(sizes, links)
 
-    # Round two: lists that hold two classes or more.
-    known = lists.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    mixed = known.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
-    mixed = stored(mixed, "mixed")
-    known = known.join(mixed, "h").join(answers.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "overlap"), ["row", "pivot"], "left")
-    known = known.withColumn("overlap", F.when(F.col("row") == F.col("pivot"), F.col("size").cast("long")).otherwise(F.coalesce("overlap", F.lit(-1))))
-    lists_of = known.select("h", "row", F.col("size").cast("long").alias("size"), F.col("at").cast("long").alias("at"), F.col("pivot_size").cast("long").alias("pivot_size"), "label", "overlap")
-    open_ = lists_of.repartition("h").sortWithinPartitions("h", "size", "row").mapInPandas(_open_pairs(percent), "a long, b long, sure boolean")
-    open_ = stored(open_.groupBy("a", "b").agg(F.max("sure").alias("sure")), "open")
-    asked = open_.where("not sure")
-    if asked.limit(1).count():
-        compared = _compared(asked, texts, width)
-    else:
-        compared = answers.limit(0)
-    more = linked(compared.join(size_of("a"), "a").join(size_of("b"), "b"))
-    late = stored(more.unionByName(open_.where("sure").select("a", "b")), "links")
-    if late.limit(1).count():
-        labels = components(sizes, links.unionByName(late))
+    # What is left: lists that hold two classes or more.
+    labelled = lambda df: df.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    mixed = labelled(lists.select("h", "row")).groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
+    known = lists.join(stored(mixed, "mixed"), "h").join(answers.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "overlap"), ["row", "pivot"], "left")
+    overlap = F.when(F.col("row") == F.col("pivot"), F.col("size").cast("long")).otherwise(F.coalesce("overlap", F.lit(-1)))
+    known = stored(known.select("h", "row", *[F.col(c).cast("long").alias(c) for c in ("size", "at", "pivot_size")], overlap.alias("overlap")), "known")
+    turn: int | None = 0
+    while True:
+        ordered = labelled(known).repartition("h").sortWithinPartitions("h", "size", "row")
+        open_ = ordered.mapInPandas(_open_pairs(percent, turn), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+        open_ = stored(open_, "open")
+        joined = False
+        if open_.limit(1).count():
+            more = linked(_compared(open_.where("not sure"), sets, True).join(size_of("a"), "a").join(size_of("b"), "b"))
+            more = stored(more.unionByName(open_.where("sure").select("a", "b")), "links")
+            joined = bool(more.limit(1).count())
+        if joined:
+            links = links.unionByName(more)
+            labels = components(sizes, links)
+        if turn is None:
+            break
+        turn = turn + 1 if joined and turn + 1 < ROUNDS else None
 
     out = ids.join(sizes, "row").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     least = stored(out.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
