@@ -31,6 +31,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place(docs: DataFrame) -> Column:
+    """The number of each row of a stored table by its place. Jobs that number the same table must split its files
+    alike while executors come and go, so the number of splits stops following the number of cores."""
+    key, spark = "spark.sql.files.minPartitionNum", docs.sparkSession
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id()
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null and for a text of white space only."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

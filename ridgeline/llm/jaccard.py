@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _bytes
-from ridgeline.llm._common import stored
+from ridgeline.llm._common import place, stored
 
 #: Words of a shingle, percent of the union that a link needs.
 WIDTH, PERCENT = 5, 80
@@ -313,8 +313,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     component_id is the least doc_id that links reach, its own included (null only if none has an id).
     """
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    texts = docs.select(place(docs).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ids = docs.select(place(docs).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
     cells = min(CELLS[1], max(CELLS[0], _next_pow2(32 * docs.count())))
     measured = stored(texts.mapInArrow(_measure(cells, width), "row long, size long, part int, counts binary"), "measured")
     sizes = measured.where("row is not null").select("row", "size")
@@ -368,4 +368,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     found = classes(docs, doc_id, text, **options)
     same = F.when((F.col("n_shingles") == 0), F.concat(F.lit("row"), F.col("row"))).otherwise(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("row"), F.col("row"))))
     chosen = found.groupBy(same.alias("class")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_rl_row"))
-    return docs.withColumn("_rl_row", F.monotonically_increasing_id()).join(chosen, "_rl_row").select(*docs.columns)
+    return docs.withColumn("_rl_row", place(docs)).join(chosen, "_rl_row").select(*docs.columns)

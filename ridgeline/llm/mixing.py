@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm._common import WORD, stored
+from ridgeline.llm._common import WORD, place, stored
 
 #: Documents of one group, fractional documents that meet in one node of the tree.
 GROUP, FAN_IN = 4096, 1024
@@ -82,7 +82,7 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2
     Returns row (the number), doc_id, size, source_size, target, copies, taken.
     """
     sized = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")
+        place(docs).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")
     )
     sized = stored(sized, "sizes")
     # One row for each source: a mix names its sources, so they are few.
@@ -122,6 +122,6 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that plan() takes, each as often as it says, with all their columns."""
     copies = plan(docs, **options).where("copies > 0").select(F.col("row").alias("_rl_row"), F.col("copies").alias("_rl_copies"))
-    numbered = docs.withColumn("_rl_row", F.monotonically_increasing_id())
+    numbered = docs.withColumn("_rl_row", place(docs))
     joined = numbered.join(copies, "_rl_row").withColumn("_rl_copy", F.explode(F.sequence(F.lit(1), F.col("_rl_copies"))))
     return joined.select(*docs.columns)

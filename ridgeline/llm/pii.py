@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm._common import GAP, lower_ascii, stored
+from ridgeline.llm._common import GAP, lower_ascii, place, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; seeds that a pattern needs; least score of a pattern that extracts; code points of context kept.
@@ -141,7 +141,7 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     docs must be a stored table: its rows are numbered by their place. A text without spans (null and empty ones too)
     has one row with kind null, so no document is lost; repeated rows and null ids are documents like others.
     """
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    narrow = docs.select(place(docs).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = stored(_spans(narrow), "spans")
     patterns = sure_patterns(spans)
     short = F.regexp_extract("context", r"([^\x20]+)$", 1)
@@ -171,7 +171,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     spans = spans.withColumn("run", F.sum("new").over(Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)))
     runs = spans.groupBy("row", "run").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
     cuts = runs.groupBy(F.col("row").alias("_rl_row")).agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind"))).alias("_rl_cuts"))
-    joined = docs.withColumn("_rl_row", F.monotonically_increasing_id()).join(cuts, "_rl_row", "left")
+    joined = docs.withColumn("_rl_row", place(docs)).join(cuts, "_rl_row", "left")
     body, cut = F.col(text), F.col("_rl_cuts")
     # Before each cut: what follows the one before it.
     piece = F.transform(cut, lambda c, i: F.concat(F.substring(body, (F.coalesce(F.get(cut, i - 1)["e"], F.lit(0)) + 1).cast("int"), (c["s"] - F.coalesce(F.get(cut, i - 1)["e"], F.lit(0))).cast("int")), F.lit("<"), c["kind"], F.lit(">")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _bytes
-from ridgeline.llm._common import stored
+from ridgeline.llm._common import place, stored
 
 #: Bytes of a repeated string and of an anchor; bytes that the shallow sort looks at; anchors and surroundings of a deal.
 LENGTH, K, SHALLOW, DEALT, SHOWN = 100, 20, 16, 500_000, 50_000
@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), raw.alias("text"))
+    base = docs.select(place(docs).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), raw.alias("text"))
     facts = base.select("row", "doc", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     facts = stored(facts, "facts")
     firsts = stored(facts.groupBy("digest").agg(F.min_by("row", F.struct("doc", "row")).alias("row")).select("row"), "firsts")
