@@ -38,17 +38,23 @@ def java_pattern(pattern: str) -> str:
 
 
 def _bucketed(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row with one array: at each hash of a key, the (key, value) structs that fall there."""
-    at = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    full = df.groupBy(at.alias("b")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("e"))
+    """One row with one array: at each hash of a key, the small map of the keys that fall there."""
+    full = df.groupBy(_bucket(key).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("e"))
     every = df.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("b"))
-    rows = every.join(full, "b", "left").select(F.struct("b", F.coalesce("e", F.slice("e", 1, 0), F.from_json(F.lit("[]"), full.schema["e"].dataType)).alias("e")).alias("s"))
-    return rows.agg(F.sort_array(F.collect_list("s")).alias("s")).select(F.transform("s", lambda x: x["e"]).alias("t"))
+    pairs = every.join(full, "b", "left").agg(F.collect_list(F.struct("b", F.map_entries("e").alias("e"))).alias("s"))
+    return pairs.select(F.transform(F.sort_array("s"), lambda x: F.map_from_entries(x["e"])).alias("t"))
+
+
+# A table is referred to once by each expression, so that the optimizer puts the literal in its place; as a column, it
+# would be copied for every row.
+
+
+def _bucket(key) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
 def _look(buckets: Column, key: Column) -> Column:
-    bucket = F.get(buckets, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    return F.get(F.filter(bucket, lambda e: e["k"] == key), F.lit(0))["v"]
+    return F.try_element_at(F.get(buckets, _bucket(key)), key)
 
 
 def _let(value: Column, then) -> Column:
@@ -56,25 +62,27 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _merged(parts: Column, ranks: Column) -> Column:
-    """One merge: the leftmost pair of least rank."""
-    pair_ranks = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: _look(ranks, F.concat(p, F.get(parts, i + 1))))
+def _pieces(raw: Column, cuts: Column, wide: int) -> Column:
+    """The bytes between each cut and the one `wide` cuts further; null where there is none."""
+    return F.zip_with(cuts, F.slice(cuts, F.lit(wide + 1), F.size(cuts)), lambda a, b: F.substring(raw, a + 1, b - a))
 
-    def join(found: Column) -> Column:
-        at = F.array_position(found, F.array_min(found)).cast("int")
-        joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
-        return F.when(F.array_min(found).isNull(), parts).otherwise(joined)
 
-    return F.when(F.size(parts) < 2, parts).otherwise(_let(pair_ranks, join))
+def _merged(raw: Column, cuts: Column, ranks: Column) -> Column:
+    """One merge: the cut between the leftmost pair of pieces of least rank goes; without a pair, all stay."""
+    found = F.transform(_pieces(raw, cuts, 2), lambda p: _look(ranks, p))
+    return _let(found, lambda found: F.array_remove(cuts, F.coalesce(F.get(cuts, F.array_position(found, F.array_min(found)).cast("int")), F.lit(-1))))
 
 
 def _fold(word: Column, ranks: Column, again: Column) -> Column:
-    """Ids of a word."""
-    raw = F.encode(word, "UTF-8")
-    pieces = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(raw, i, F.lit(1)))
-    steps = F.slice(F.sequence(F.lit(0), F.octet_length(word)), F.lit(1), F.octet_length(word) - 1)
-    parts = F.aggregate(steps, pieces, lambda parts, _: _merged(parts, ranks))
-    return F.transform(parts, lambda p: _look(again, p))
+    """Ids of a word. Its bytes are cut everywhere at first; each step of the fold takes one cut away."""
+
+    def ids(raw: Column) -> Column:
+        n = F.octet_length(raw)
+        steps = F.slice(F.sequence(F.lit(0), n), F.lit(1), n - 1)
+        cuts = F.aggregate(steps, F.sequence(F.lit(0), n), lambda cuts, _: _merged(raw, cuts, ranks))
+        return _let(cuts, lambda cuts: F.transform(F.slice(_pieces(raw, cuts, 1), F.lit(1), F.size(cuts) - 1), lambda p: _look(again, p)))
+
+    return _let(word.cast("binary"), ids)
 
 
 def _python_encode(pattern: str, ranks: dict[bytes, int]):
