@@ -44,6 +44,22 @@ def test_quality_keeps_prose_and_drops_symbols(spark, saved, monkeypatch):
     assert kept == set(range(60))
 
 
+@pytest.mark.parametrize("size", [20, 200])
+def test_quality_rejects_bad_documents_at_every_size(spark, saved, size):
+    """With the parameters of production; a fifth of the clean documents isn't among the trusted ones."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=120)), "en", "s", 0) for i in range(size)]
+    rows += [(9000 + i, " ".join(w + "###" for w in rng.choices(words, k=120)), "en", "s", 0) for i in range(size // 4)]
+    trusted = spark.createDataFrame([(i,) for i in range(size) if i % 5], "doc_id long")
+    got = {r.doc_id: r for r in rules.judge(saved(rows, SCHEMA), trusted).collect()}
+    assert {i for i, r in got.items() if r.kept and i >= 9000} == set()
+    assert sum(not got[i].kept for i in range(size)) <= size // 20
+    # A trusted document scores like one that isn't.
+    means = [np.mean([got[i].llr for i in range(size) if bool(i % 5) == seen]) for seen in (True, False)]
+    assert abs(means[0] - means[1]) < 0.05
+
+
 def test_codes_read_back_any_id():
     ids = np.random.default_rng(2).choice([3, 255, 256, 49407, 70000, 2**31], 3000).astype(np.uint32)
     reader = dac.Reader(dac.pack(ids))
