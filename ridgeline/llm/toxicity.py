@@ -2,33 +2,64 @@
 
 Terms that mark toxic documents are learned from labelled rows and put in a trie. A Levenshtein automaton runs over
 the trie for every word: its states are sets of (trie node, edits so far), made deterministic as they are met. Each
-match gets a context window: one that stands within quotation marks counts as quoted, not as abuse. Words one edit
-away from a term that clean labelled texts use are words of their own, not misspellings. A logistic model over
-matches, of which a misspelled one counts less, and quoted matches gives the score.
+match gets a context window: one that stands within quotation marks counts as quoted, not as abuse. Words an edit
+or two away from a term that clean labelled texts use are words of their own, not misspellings. A logistic model over
+matches, of which a misspelled one counts less, and quoted matches gives the score. Learning and scoring cut words by
+one rule: letters, marks and digits, with symbols between them. Where a whole word is no term, its runs of letters are
+tried.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import sys
+import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on at most (those of smallest hash); terms of a lexicon at most; share of the
-#: toxic texts that a term needs (3 texts at least), and the least share of toxic ones among the texts that have it;
-#: length from which one edit is allowed; what a misspelled match counts, and its term's weight.
-SAMPLE, TERMS, SUPPORT, PURITY, EDIT_LENGTH, MISSPELLED = 20_000, 1024, 0.015, 0.9, 5, (0.5, 0.75)
+from ridgeline.llm._common import stored
+
+#: Labelled rows that a model is fitted on at most (those of smallest hash); terms of a lexicon at most; toxic texts that
+#: a term needs; terms that may be expected by chance alone; the least share of toxic ones among the texts that have a
+#: term; lengths from which one edit and two are allowed; what a misspelled match counts, and its term's weight.
+SAMPLE, TERMS, SUPPORT, CHANCE, PURITY, EDIT_LENGTH, EDITS_LENGTH, MISSPELLED = 20_000, 1024, 3, 10, 0.9, 5, 9, (0.5, 0.75)
 #: Characters to each side of a match that are searched for quotation marks; words that a worker remembers.
 WINDOW, REMEMBER = 60, 300_000
 #: Opening quotation marks and the marks that close them.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
 
+#: Symbols that stand for letters within words.
+SYMBOLS = r"@$*#!|+&€"
+
 FEATURES = ("hits", "quoted", "share", "weight")
 
 
+@cache
+def _rules(ascii_only: bool) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of a word and of its runs of letters; those of ASCII texts do the same faster."""
+    marks = "" if ascii_only else "\u200c\u200d" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+    inner = rf"[\w{marks}]+"
+    return re.compile(rf"{inner}(?:[{SYMBOLS}]+{inner})*"), re.compile(rf"(?:[^\W\d_]|[{marks}])+" if marks else r"[^\W\d_]+")
+
+
+def _parts(word: str) -> list[str]:
+    """The word, and its runs of letters if they aren't all of it; none for a word without letters."""
+    if word.isalpha():
+        return [word]
+    runs = _rules(False)[1].findall(word)
+    return [word, *(r for r in runs if r != word)] if runs else []
+
+
+def _edits(term: str) -> int:
+    return int(len(term) >= EDIT_LENGTH) + int(len(term) >= EDITS_LENGTH)
+
+
 class Automaton:
     """Finds the best term within the allowed edits of a word: (term number, edits) or None."""
 
@@ -37,7 +68,7 @@ class Automaton:
         self.term: list[int | None] = [None]
         self.reach: list[int] = [0]  # most edits that any term below allows
         for n, term in enumerate(terms):
-            node, edits = 0, int(len(term) >= EDIT_LENGTH)
+            node, edits = 0, _edits(term)
             self.reach[0] = max(self.reach[0], edits)
             for c in term:
                 if c not in self.children[node]:
@@ -48,7 +79,7 @@ class Automaton:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits)
             self.term[node] = n
-        self.edits = [int(len(t) >= EDIT_LENGTH) for t in terms]
+        self.edits = [_edits(t) for t in terms]
         self._clear()
 
     def _clear(self) -> None:
@@ -116,29 +147,35 @@ def is_quoted(text: str, start: int, end: int) -> bool:
 class Model:
     terms: list[str]
     weights: list[float]  # log odds of the terms
-    own_words: frozenset[str] = frozenset()  # one edit from a term, but used by clean texts
+    own_words: frozenset[str] = frozenset()  # one or two edits from a term, but used by clean texts
     coefficients: list[float] = field(default_factory=list)  # of FEATURES, then the constant
 
 
 def featurizer(model: Model):
     """A function from texts to rows of FEATURES."""
-    import re
-
-    word, automaton, known = re.compile(r"[^\W\d_]+"), Automaton(model.terms), {}
+    automaton, known = Automaton(model.terms), {}
     weights = model.weights
 
+    def matches(w: str) -> list[tuple[int, int]]:
+        """Terms in a word: its runs of letters if one of them is a term as it stands, else the word, else the runs."""
+        parts = _parts(w)
+        found = [(p, hit) for p in parts if (hit := automaton.match(p)) and not (hit[1] and p in model.own_words)]
+        runs = [hit for p, hit in found if p != w]
+        whole = [hit for p, hit in found if p == w]
+        return whole if whole and not (whole[0][1] and any(e == 0 for _, e in runs)) else runs
+
     def features(text: str) -> list[float]:
         nonlocal known
         lower = text.lower()
+        word = _rules(lower.isascii())[0]
         found = word.findall(lower)
         hits = {}
         for w in set(found):
-            hit = known.get(w, 0)
-            if hit == 0:
+            hit = known.get(w)
+            if hit is None:
                 if len(known) >= REMEMBER:
                     known = {}
-                hit = automaton.match(w)
-                hit = known[w] = None if hit and hit[1] and w in model.own_words else hit
+                hit = known[w] = matches(w)
             if hit:
                 hits[w] = hit
         if not hits:
@@ -149,13 +186,13 @@ def featurizer(model: Model):
             hit = hits.get(m.group())
             if hit is None:
                 continue
-            term, edits = hit
             if is_quoted(lower, m.start(), m.end()):
-                quoted += 1
-            else:
+                quoted += len(hit)
+                continue
+            for term, edits in hit:
                 hit_mass += MISSPELLED[0] if edits else 1
                 best = max(best, weights[term] * (MISSPELLED[1] if edits else 1))
-        return [math.log1p(hit_mass), math.log1p(quoted), hit_mass / len(found), best]
+        return [math.log1p(hit_mass), math.log1p(quoted), hit_mass / sum(not w.isdigit() for w in found), best]
 
     return features
 
@@ -173,9 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = _labelled(docs, labels, doc_id, text, label, limit).dropDuplicates(["text", "label"])
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    seen = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("word"))
-    counts = seen.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    good = counts.where((F.col("toxic") >= max(3, SUPPORT * toxic)) & (F.col("toxic") >= PURITY * F.col("n")) & (F.length("word") > 2))
+    seen = sample.select("label", "text").mapInPandas(_vocabulary, "label int, word string")
+    counts = stored(seen.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")), "words")
+    # A bound of the probability that as many of n texts are toxic by chance (Chernoff), for all words together.
+    tried, base, part = counts.where(F.col("n") >= SUPPORT).count(), toxic / max(1, toxic + clean), F.col("toxic") / F.col("n")
+    missing = lambda q, p: F.when(q > 0, q * F.log(q / F.lit(max(p, 1e-12)))).otherwise(0.0)
+    surprise = F.col("n") * (missing(part, base) + missing(1 - part, 1 - base))
+    likely = (part > base) & (surprise >= math.log(max(1.0, tried / CHANCE)))
+    good = counts.where((F.col("toxic") >= SUPPORT) & likely & (F.col("toxic") >= PURITY * F.col("n")) & (F.length("word") > 2))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (clean + 1))
     top = good.select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").limit(TERMS).collect()
     model = Model([r["word"] for r in top], [r["odds"] for r in top])
@@ -187,6 +229,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return model
 
 
+def _vocabulary(batches):
+    """label, word: the words of each text, once, and their runs of letters."""
+    for batch in batches:
+        rows = [(label, w) for label, t in zip(batch["label"], batch["text"]) for w in {p for x in set(_rules(False)[0].findall(t.lower())) for p in _parts(x)}]
+        yield pd.DataFrame(rows, columns=["label", "word"])
+
+
 def _featured(model: Model):
     def run(batches):
         features = featurizer(model)

@@ -126,6 +126,25 @@ def test_toxicity_tells_abuse_from_quotation(spark, saved, empty):
     assert toxicity.fit(docs, labels.limit(0)).terms == []
 
 
+def test_toxicity_learns_and_finds_words_with_digits_symbols_and_marks(spark, saved):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in ("ra", "se", "to", "vu", "za")]
+    text = lambda: " ".join(rng.choices(words, k=40))
+    hindi = "\u092e\u0942\u0930\u094d\u0916\u094b\u0902"  # letters and combining marks
+    terms = ["blockhead", hindi, "numbskull"]
+    # The last term is in 5 of 505 toxic texts.
+    rows = [(i, f"{text()} {terms[0] if i < 250 else hindi if i < 500 else terms[2]} {text()}", "en", "s", 0) for i in range(505)]
+    rows += [(1000 + i, f"{text()} {text()}", "en", "s", 0) for i in range(900)]
+    spelled = ["bl0ckhead", "block_head", "bl*ckhead", "bl0ckh3ad", "blockhead_22", hindi, "numbskull"]
+    rows += [(5000 + i, f"{text()} {w} {text()}", "en", "s", 0) for i, w in enumerate([*spelled, "ka_ra", "555"])]
+    docs = saved(rows, SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in rows if r[0] < 5000], "doc_id long, toxic int"))
+    assert set(model.terms) == set(terms)
+    find = toxicity.featurizer(model)
+    assert [find(f"ka {w} lo")[0] > 0 for w in spelled] == [True] * len(spelled)
+    assert [find(f"ka {w} lo")[0] for w in ("ka_ra", "555", "blockers")] == [0, 0, 0]
+
+
 def test_private_spans(docs, empty):
     got = {r.doc_id: r for r in private.report(docs).collect()}
     assert len(got) == len(TEXTS)
