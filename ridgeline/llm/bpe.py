@@ -1,9 +1,11 @@
 """Byte-level BPE as Spark expressions.
 
-The split pattern cuts texts into words. Higher-order functions fold ranked merges over the bytes of a word: each step
-looks up the ranks of all neighbouring pieces in a literal rank map and joins the pair of least rank. The most frequent
-distinct words are folded once, into a table of bounded size; the others by the same fold where they stand. Decoding
-looks ids up in the literal map of pieces and concatenates them.
+The split pattern cuts texts into words. A higher-order function folds ranked merges over the bytes of a word: its state
+is the array of pieces and, for each, the rank of the merge with its right neighbour; a step takes the leftmost least
+rank, looks up the two merges that the new piece allows, and does nothing once no merge is left. A word that is a piece
+itself is that piece, as in the library. The most frequent distinct words are folded once, into a table of bounded
+size; the others by the same fold where they stand. Decoding looks ids up in the literal map of pieces and concatenates
+them.
 
 Literal maps are arrays of small buckets by hash, as Spark searches a map value from its start.
 """
@@ -11,19 +13,17 @@ Literal maps are arrays of small buckets by hash, as Spark searches a map value
 from __future__ import annotations
 
 import base64
-import hashlib
-import heapq
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm._common import stored
 
-#: Words in the table of frequent ones; its buckets and those of the rank map; characters of a run that the fold takes.
-FREQUENT, BUCKETS, LONG = 1 << 18, 1 << 16, 256
-
-_IDS = "row long, doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Words in the table of frequent ones at most, and their characters at most; bits of an id in a key of two.
+FREQUENT, WIDEST, BITS = 1 << 19, 64, 24
+#: Steps of the logarithm by which words are graded for the table.
+GRADES = 8
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -32,29 +32,80 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
 
 
-def java_pattern(pattern: str) -> str:
-    """The split pattern for Java, with white space in the Unicode sense."""
-    return "(?U)" + pattern
+@cache
+def _library_class(name: str) -> frozenset[int]:
+    """Code points that the library has in a class of its patterns."""
+    import tiktoken
 
+    library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return frozenset(ord(c) for k in range(0, len(every), 1 << 16) for c in library.decode(library.encode_ordinary(every[k : k + (1 << 16)])))
 
-def _bucketed(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row with one array: at each hash of a key, the small map of the keys that fall there."""
-    full = df.groupBy(_bucket(key).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("e"))
-    every = df.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("b"))
-    pairs = every.join(full, "b", "left").agg(F.collect_list(F.struct("b", F.map_entries("e").alias("e"))).alias("s"))
-    return pairs.select(F.transform(F.sort_array("s"), lambda x: F.map_from_entries(x["e"])).alias("t"))
+
+def _ranges(points: set[int]) -> str:
+    out, points = [], sorted(points)
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+
+@cache
+def _java_classes(names: tuple[str, ...]) -> dict[str, str]:
+    """Each class as Java has to be told it: its own one, with what the library's newer Unicode tables add or remove."""
+    spark = SparkSession.getActiveSession()
+    points = spark.range(0x110000).where("id not between 55296 and 57343").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
+    rows = points.select("id", *[F.rlike("c", F.lit(f"(?U)^{n}\\z")).alias(f"n{k}") for k, n in enumerate(names)]).where(" or ".join(f"n{k}" for k in range(len(names)))).collect()
+    out = {}
+    for k, name in enumerate(names):
+        java, library = {r["id"] for r in rows if r[f"n{k}"]}, _library_class(name)
+        more, less = library - java, java - library
+        text = f"[{name}&&[^{_ranges(less)}]]" if less else name
+        # The quick test of the lowest one keeps ordinary characters off the long list.
+        out[name] = text + (rf"[\x{{{min(more):X}}}-\x{{10FFFF}}&&[{_ranges(more)}]]" if more else "")
+    return out
+
+
+def java_pattern(pattern: str) -> str:
+    r"""The split pattern for Java: white space in the Unicode sense, \p{L} and \p{N} as the library knows them."""
+    classes = _java_classes((r"\p{L}", r"\p{N}"))
+    out, depth, k = [], 0, 0
+    while k < len(pattern):
+        name = next((n for n in classes if pattern.startswith(n, k)), None)
+        if name:
+            out.append(classes[name] if depth else f"[{classes[name]}]")
+            k += len(name)
+            continue
+        if pattern[k] == "\\":
+            out.append(pattern[k : k + 2])
+            k += 2
+            continue
+        depth += (pattern[k] == "[") - (pattern[k] == "]")
+        out.append(pattern[k])
+        k += 1
+    return "(?U)" + "".join(out)
 
 
 # A table is referred to once by each expression, so that the optimizer puts the literal in its place; as a column, it
 # would be copied for every row.
 
 
-def _bucket(key) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+def _bucketed(df: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
+    """One row with one array: at each hash of a key, the small map of the keys that fall there."""
+    full = df.groupBy(_bucket(key, buckets).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("e"))
+    every = df.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b"))
+    pairs = every.join(full, "b", "left").agg(F.collect_list(F.struct("b", F.map_entries("e").alias("e"))).alias("s"))
+    return pairs.select(F.transform(F.sort_array("s"), lambda x: F.map_from_entries(x["e"])).alias("t"))
 
 
-def _look(buckets: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(buckets, _bucket(key)), key)
+def _bucket(key, buckets: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+
+
+def _look(table: tuple[Column, int], key: Column) -> Column:
+    return F.try_element_at(F.get(table[0], _bucket(key, table[1])), key)
 
 
 def _let(value: Column, then) -> Column:
@@ -62,132 +113,108 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _pieces(raw: Column, cuts: Column, wide: int) -> Column:
-    """The bytes between each cut and the one `wide` cuts further; null where there is none."""
-    return F.zip_with(cuts, F.slice(cuts, F.lit(wide + 1), F.size(cuts)), lambda a, b: F.substring(raw, a + 1, b - a))
-
-
-def _merged(raw: Column, cuts: Column, ranks: Column) -> Column:
-    """One merge: the cut between the leftmost pair of pieces of least rank goes; without a pair, all stay."""
-    found = F.transform(_pieces(raw, cuts, 2), lambda p: _look(ranks, p))
-    return _let(found, lambda found: F.array_remove(cuts, F.coalesce(F.get(cuts, F.array_position(found, F.array_min(found)).cast("int")), F.lit(-1))))
-
-
-def _fold(word: Column, ranks: Column, again: Column) -> Column:
-    """Ids of a word. Its bytes are cut everywhere at first; each step of the fold takes one cut away."""
-
-    def ids(raw: Column) -> Column:
-        n = F.octet_length(raw)
-        steps = F.slice(F.sequence(F.lit(0), n), F.lit(1), n - 1)
-        cuts = F.aggregate(steps, F.sequence(F.lit(0), n), lambda cuts, _: _merged(raw, cuts, ranks))
-        return _let(cuts, lambda cuts: F.transform(F.slice(_pieces(raw, cuts, 1), F.lit(1), F.size(cuts) - 1), lambda p: _look(again, p)))
-
-    return _let(word.cast("binary"), ids)
-
-
-def _python_encode(pattern: str, ranks: dict[bytes, int]):
-    """The same merges for texts with very long runs: a heap of pairs instead of a look at all of them in each step."""
-    import regex
-
-    split = regex.compile(pattern)
-
-    def word_ids(raw: bytes) -> list[int]:
-        n = len(raw)
-        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        live = [True] * n
-        heap = [(ranks[raw[i : i + 2]], i, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if live[i] else n
-            if j >= n or end[j] != stop:
-                continue
-            live[j], end[i], after[i] = False, stop, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                r = ranks.get(raw[i : end[after[j]]])
-                if r is not None:
-                    heapq.heappush(heap, (r, i, end[after[j]]))
-            if before[i] >= 0:
-                r = ranks.get(raw[before[i] : stop])
-                if r is not None:
-                    heapq.heappush(heap, (r, before[i], stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[raw[i : end[i]]])
-            i = after[i]
-        return out
-
-    return lambda text: [i for w in split.findall(text) for i in word_ids(w.encode("utf-8", "surrogatepass"))]
-
-
-def _long_texts(pattern: str, vocabulary: list[tuple[bytes, int]]):
-    def run(batches):
-        encode, pieces = _python_encode(pattern, dict(vocabulary)), {r: p for p, r in vocabulary}
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                ids = encode(r.text)
-                decoded = b"".join(pieces[i] for i in ids)
-                rows.append((r.row, r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            out = pd.DataFrame(rows, columns=["row", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    return run
-
-
-def frequent_words(texts: DataFrame, pattern: str, ranks: DataFrame, limit: int = FREQUENT) -> DataFrame:
-    """word, ids of the most frequent distinct words: all texts are counted, `limit` is the table's size."""
-    counts = texts.select(F.explode(F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("word")).groupBy("word").count()
-    top = counts.where(F.length("word") <= LONG).orderBy(F.desc("count"), "word").limit(limit).select("word")
-    literal = _bucketed(ranks, "piece", "rank")
-    top = top.repartition(texts.sparkSession.sparkContext.defaultParallelism * 2)
-    folded = top.withColumn("r1", literal.scalar()).withColumn("r2", literal.scalar())
-    return stored(folded.select("word", _fold(F.col("word"), F.col("r1"), F.col("r2")).alias("ids")), "words")
+class _Tables:
+    """The literal maps of a vocabulary: piece to rank, pair of ids to the rank of their merge, byte to id."""
+
+    def __init__(self, spark: SparkSession, vocabulary: list[tuple[bytes, int]]):
+        ranks = dict(vocabulary)
+        if max(ranks.values()) >= 1 << BITS or not all(bytes([b]) in ranks for b in range(256)):
+            raise ValueError("ranks must be below 2^24, and every byte a piece")
+        pairs = [(ranks[a] << BITS | ranks[b], r) for p, r in vocabulary for k in range(1, len(p)) if (a := p[:k]) in ranks and (b := p[k:]) in ranks]
+        self.bytes = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+        self.n_pairs, self.n_pieces = (1 << max(8, len(x).bit_length()) for x in (pairs, vocabulary))
+        self._pairs = _bucketed(spark.createDataFrame(pairs or [(-1, 0)], "pair long, rank int"), "pair", "rank", self.n_pairs)
+        # Words are looked up as strings; a piece that is no text can't be a word.
+        texts = [(p.decode(), r) for p, r in vocabulary if _is_text(p)]
+        self._pieces = _bucketed(spark.createDataFrame(texts, "piece string, rank int"), "piece", "rank", self.n_pieces)
+
+    def columns(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_first", self._pairs.scalar()).withColumn("_later", self._pairs.scalar()).withColumn("_pieces", self._pieces.scalar())
+
+    def fold(self, word: Column) -> Column:
+        """Ids of a word."""
+        key = lambda a, b: F.shiftleft(a.cast("long"), BITS).bitwiseOR(b.cast("long"))
+
+        def step(state: Column, i: Column) -> Column:
+            """Merges piece i (from 1) with the next one."""
+            p, r = state["p"], state["r"]
+            new = F.get(r, i - 1)
+            around = F.array(key(F.get(p, i - 2), new), key(new, F.get(p, i + 1)))
+            found = F.transform(F.slice(around, F.when(i > 1, 1).otherwise(2), F.lit(2)), lambda k: _look((F.col("_later"), self.n_pairs), k))
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), found, F.slice(r, i + 2, F.size(p))).alias("r"),
+            )
+
+        def ids(start: Column) -> Column:
+            ranks = F.transform(start, lambda a, k: _look((F.col("_first"), self.n_pairs), key(a, F.get(start, k + 1))))
+            state = F.struct(start.alias("p"), ranks.alias("r"))
+            one = lambda s: _let(F.array_position(s["r"], F.array_min(s["r"])).cast("int"), lambda i: F.when(i > 0, step(s, i)).otherwise(s))
+            return F.aggregate(F.slice(start, F.lit(2), F.size(start)), state, lambda s, _: one(s), lambda s: s["p"])
+
+        letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
+        start = F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c)))
+        whole = F.filter(F.array(_look((F.col("_pieces"), self.n_pieces), word)), lambda x: x.isNotNull())
+        return _let(whole, lambda whole: F.when(F.size(whole) > 0, whole).otherwise(_let(start, ids)))
+
+
+def _is_text(piece: bytes) -> bool:
+    try:
+        piece.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _split(pattern: str) -> Column:
+    return F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))
+
+
+def frequent_words(texts: DataFrame, pattern: str, tables: _Tables, limit: int = FREQUENT) -> DataFrame:
+    """word, ids of the most frequent distinct words: of all texts, it is counted how many have a word, and the words from
+    the least count on that leaves at most `limit` are folded. Words of one text, and those of over WIDEST characters,
+    aren't in it."""
+    counts = texts.select(F.explode(F.array_distinct(_split(pattern))).alias("word")).groupBy("word").count()
+    grade = F.floor(GRADES * F.log2("count")).cast("int")
+    counts = stored(counts.where((F.col("count") > 1) & (F.length("word") <= WIDEST)).select("word", grade.alias("grade")), "counts")
+    total, least = 0, None
+    for r in counts.groupBy("grade").count().orderBy(F.desc("grade")).collect():  # some hundred rows
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["grade"]
+    top = counts.where(F.col("grade") >= least if least is not None else F.lit(False)).select("word")
+    folded = tables.columns(top.repartition(texts.sparkSession.sparkContext.defaultParallelism * 2))
+    return stored(folded.select("word", tables.fold(F.col("word")).alias("ids")), "words")
 
 
 def encode(docs: DataFrame, pattern: str, vocabulary: list[tuple[bytes, int]], doc_id: str = "doc_id", text: str = "text", limit: int = FREQUENT) -> DataFrame:
-    """row, doc_id, text, ids of every document whose runs of characters are of ordinary length (see long_texts)."""
-    spark = docs.sparkSession
-    ranks = _rank_table(spark, vocabulary)
-    texts = _texts(docs, doc_id, text).where(~_is_long())
-    known = _bucketed(frequent_words(texts, pattern, ranks, limit), "word", "ids")
-    literal = _bucketed(ranks, "piece", "rank")
-    split = texts.withColumn("w", F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0)))
-    split = split.withColumn("known", known.scalar()).withColumn("r1", literal.scalar()).withColumn("r2", literal.scalar())
-    ids = F.flatten(F.transform("w", lambda w: F.coalesce(_look(F.col("known"), w), _fold(w, F.col("r1"), F.col("r2")))))
-    return split.select("row", "doc_id", ids.alias("ids"))
+    """doc_id, ids of every document."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    tables = _Tables(docs.sparkSession, vocabulary)
+    words = frequent_words(texts, pattern, tables, limit)
+    buckets = 1 << max(8, words.count().bit_length())
+    split = tables.columns(texts.withColumn("w", _split(pattern)).withColumn("_known", _bucketed(words, "word", "ids", buckets).scalar()))
+    ids = F.flatten(F.transform("w", lambda w: F.coalesce(_look((F.col("_known"), buckets), w), tables.fold(w))))
+    return split.select("doc_id", ids.alias("ids"))
 
 
 def decode(ids: DataFrame, vocabulary: list[tuple[bytes, int]]) -> DataFrame:
     """Adds decoded (binary): the pieces of ids one after the other."""
-    ranks = _rank_table(ids.sparkSession, vocabulary)
-    last = max(r for _, r in vocabulary)
-    every = ids.sparkSession.range(0, last + 1, 1, 1).select(F.col("id").cast("int").alias("rank")).join(ranks, "rank", "left")
+    spark, last = ids.sparkSession, max(r for _, r in vocabulary)
+    ranks = spark.createDataFrame(vocabulary, "piece binary, rank int")
+    every = spark.range(0, last + 1, 1, 1).select(F.col("id").cast("int").alias("rank")).join(ranks, "rank", "left")
     pieces = every.agg(F.sort_array(F.collect_list(F.struct("rank", F.hex("piece").alias("p")))).alias("s")).select(F.transform("s", lambda x: x["p"]).alias("t"))
     joined = ids.withColumn("pieces", pieces.scalar())
     return joined.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda i: F.get(F.col("pieces"), i)), ""))).drop("pieces")
 
 
-def _rank_table(spark: SparkSession, vocabulary) -> DataFrame:
-    return spark.createDataFrame(vocabulary, "piece binary, rank int")
-
-
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
-def _is_long() -> Column:
-    return F.rlike("text", F.lit(rf"(?U)\S{{{LONG}}}|\s{{{LONG}}}"))
-
-
 def round_trip(docs: DataFrame, pattern: str, vocabulary: list[tuple[bytes, int]], doc_id: str = "doc_id", text: str = "text", limit: int = FREQUENT) -> DataFrame:
     """Encodes and decodes every document: doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined), decoded_sha256.
 
-    A null text is empty and has no tokens. Repeated rows and null ids get a row each; an empty table gives none.
+    A null text is empty and has no tokens. Repeated rows and null ids get a row each; an empty table gives none; other
+    columns of docs don't matter. A run without a place to split takes time with the square of its length.
     """
-    short = decode(encode(docs, pattern, vocabulary, doc_id, text, limit), vocabulary).select(
+    return decode(encode(docs, pattern, vocabulary, doc_id, text, limit), vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
-    long = _texts(docs, doc_id, text).where(_is_long()).mapInPandas(_long_texts(pattern, vocabulary), _IDS).drop("row")
-    return short.unionByName(long)
