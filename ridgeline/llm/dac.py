@@ -14,16 +14,17 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm._common import shared_dir
 
 MAGIC = b"RLDAC1\0\0"
-#: Bits of a rank block; tokens after which a segment is closed; words that an encoder remembers.
-RANK_BITS, SEGMENT, REMEMBER = 512, 1 << 18, 800_000
+#: Bits of a rank block; tokens after which a segment is closed; pieces that an encoder remembers; texts encoded at once.
+RANK_BITS, SEGMENT, REMEMBER, TEXTS = 512, 1 << 18, 1_000_000, 4000
+#: Fixed value: the split of tokenizer files whose pieces end at blanks.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _SEGMENT = "part int, segment int, n_tokens long, doc_ids array<long>, doc_ends array<long>, payload binary"
 
@@ -85,14 +86,25 @@ class Reader:
         return value
 
 
+def _ends_at_blanks(file: dict) -> bool:
+    """Whether a tokenizer file is known never to join what a blank or line end separates, and to part a comma or full
+    stop from an ASCII letter or digit before it: then texts may be cut there, and a piece be encoded once."""
+    kinds = [n.get("type") for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    splits = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in file.get("added_tokens", []))
+    split = splits[0] if splits else {}
+    pattern = split.get("pattern", {}).get("Regex") if split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") else None
+    return plain and file.get("post_processor") is None and set(kinds) <= {"NFC", "Replace", "Lowercase"} and pattern == PIECES
+
+
 def _encoder(tokenizer_path: str):
-    """Ids of a text as little-endian bytes. The tokenizer's splits never join what a blank or line end separates, so
-    texts are encoded piece by piece, and a piece once; new pieces go to the tokenizer together, and offsets tell
-    their ids apart. Pieces that normalisation changes in length go alone. The tokenizer lower-cases, and parts a
-    comma or full stop from the letter or digit before it, so texts are cut there too."""
+    """A function from an Arrow column of texts to ids, lengths and dictionary numbers: ids of all distinct pieces in one
+    array, their lengths, the piece numbers of all texts one after the other, and the offsets of texts in those."""
+    import json
     import re
-    import unicodedata
 
+    import pyarrow as pa
+    import pyarrow.compute as pc
     import tokenizers
 
     # A Python worker serves many tasks; what one has learnt stays with the library's module for the next.
@@ -100,69 +112,88 @@ def _encoder(tokenizer_path: str):
     if tokenizer_path in kept:
         return kept[tokenizer_path]
     tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    known: dict[str, bytes] = {"": b""}
-
-    def learn(pieces: list[str]) -> dict[str, bytes]:
-        plain = [p for p in pieces if p.isascii() or unicodedata.is_normalized("NFC", p) and len(p.lower()) == len(p)]
-        got = {}
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            encoded = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(p) + 1 for p in part])
-            owner = np.searchsorted(starts, np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded.ids)), "right") - 1
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            got.update((p, ids[a:b]) for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        for p in pieces:
-            if p not in got:
-                got[p] = np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        return got
-
-    stop = re.compile(r"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
-
-    def pieces(text: str) -> list[str]:
-        # Lower case depends on what follows only for the capital sigma; the dotted capital I changes in length.
-        lower = text if "\u03a3" in text or "\u0130" in text else text.lower()
-        return stop.sub(r" \1", lower).replace("\n", " ").split(" ")
-
-    def encode(texts: list[str]) -> list[bytes]:
+    with open(tokenizer_path, encoding="utf-8") as f:
+        by_piece = _ends_at_blanks(json.load(f))
+    known: dict[str, bytes] = {}
+    bare = re.compile(r"[A-Za-z]+")
+
+    def learn(pieces: list[str]) -> None:
+        """Codes of new pieces; case doesn't matter to pieces of ASCII letters, as the tokenizer lower-cases them."""
+        lowers = lowercases and {p: p.lower() for p in pieces if bare.fullmatch(p)} or {}
+        new = list({lowers.get(p, p) for p in pieces} - known.keys())
+        for i in range(0, len(new), 5000):
+            part = new[i : i + 5000]
+            for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u4").tobytes()
+        for p, low in lowers.items():
+            known[p] = known[low]
+
+    lowercases = '"Lowercase"' in open(tokenizer_path, encoding="utf-8").read().partition('"model"')[0]
+
+    def encode(texts):
         nonlocal known
-        cut = [pieces(t) for t in texts]
-        new = set().union(*cut) - known.keys()
-        if len(known) + len(new) > REMEMBER:
-            known = {"": b""}
-            new = set().union(*cut) - known.keys()
-        known.update(learn(list(new)))
-        return [b"".join(map(known.__getitem__, found)) for found in cut]
+        if by_piece:
+            cut = pc.replace_substring_regex(texts, r"([A-Za-z0-9])([.,])( |\n|$)", r"\1 \2\3")
+            words = pc.split_pattern(pc.replace_substring(cut, "\n", " "), " ")
+        else:
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        missing = [p for p in distinct if p not in known]
+        if len(known) + len(missing) > REMEMBER:
+            known, missing = {}, distinct
+        learn(missing)
+        codes = [known[p] for p in distinct]
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        return np.frombuffer(b"".join(codes), "<u4"), lengths, coded.indices.to_numpy(), offsets - offsets[0]
 
     kept[tokenizer_path] = encode
     return encode
 
 
+def _ids(encode, texts, end_id: int):
+    """Ids of texts, each with the end id, and where each text ends."""
+    pool, lengths, numbers, offsets = encode(texts)
+    pool, lengths = np.append(pool, np.uint32(end_id)), np.append(lengths, 1)
+    numbers = np.insert(numbers.astype(np.int64), offsets[1:], len(lengths) - 1)
+    starts, sizes = (np.cumsum(lengths) - lengths)[numbers], lengths[numbers]
+    until = np.cumsum(sizes)
+    ids = pool[np.repeat(starts - (until - sizes), sizes) + np.arange(until[-1])]
+    return ids, until[offsets[1:] + np.arange(len(texts))]
+
+
 def _segments(tokenizer_path: str, end_id: int):
     def run(batches):
         import os
 
+        import pyarrow as pa
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        ids, ends, codes, total, segment = [], [], [], 0, 0
+        doc_ids, ends, codes, total, segment = [], [], [], 0, 0
 
         def close():
-            return pd.DataFrame({"part": [part], "segment": [segment], "n_tokens": [total], "doc_ids": [ids], "doc_ends": [ends], "payload": [pack(np.frombuffer(b"".join(codes), "<u4"))]})
+            columns = {"part": [part], "segment": [segment], "n_tokens": [total], "doc_ids": [doc_ids], "doc_ends": [ends], "payload": [pack(np.concatenate(codes))]}
+            kinds = {"part": pa.int32(), "segment": pa.int32(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "doc_ends": pa.list_(pa.int64()), "payload": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) for c, k in kinds.items()], names=list(kinds))
 
         for batch in batches:
-            for doc_id, code in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist()), strict=True):
-                code += end
-                total += len(code) // 4
-                ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
-                ends.append(total)
-                codes.append(code)
-                if total >= SEGMENT:
-                    yield close()
-                    ids, ends, codes, total, segment = [], [], [], 0, segment + 1
-        if ids:
+            for at in range(0, len(batch), TEXTS):
+                some = batch.slice(at, TEXTS)
+                ids, until = _ids(encode, some.column("text"), end_id)
+                names, first, done = some.column("doc_id").to_pylist(), 0, 0
+                while first < len(names):
+                    # The document that fills the segment is its last one.
+                    last = min(int(np.searchsorted(until, done + SEGMENT - total)) + 1, len(names))
+                    doc_ids += names[first:last]
+                    ends += (until[first:last] - done + total).tolist()
+                    codes.append(ids[done : until[last - 1]])
+                    total, done, first = ends[-1], int(until[last - 1]), last
+                    if total >= SEGMENT:
+                        yield close()
+                        doc_ids, ends, codes, total, segment = [], [], [], 0, segment + 1
+        if doc_ids:
             yield close()
 
     return run
@@ -170,21 +201,49 @@ def _segments(tokenizer_path: str, end_id: int):
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes docs and writes them in ascending order of id (null first, equal ids by text). A null text is empty; an
-    empty one has the end id alone. An empty table makes an empty file set."""
-    narrow = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(doc_id).cast("long").alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    empty one has the end id alone. Strings of the tokenizer's added tokens in a text become those tokens, as in the
+    library. Other columns are ignored. An empty table makes an empty file set."""
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = narrow.repartitionByRange(parts, "at").sortWithinPartitions("at", F.xxhash64("text")).select("doc_id", "text")
-    ordered.mapInPandas(_segments(tokenizer_path, end_id), _SEGMENT).write.parquet(path)
+    ordered = narrow.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered.mapInArrow(_segments(tokenizer_path, end_id), _SEGMENT).write.parquet(path)
 
 
 def _documents(batches):
+    import pyarrow as pa
+
     for batch in batches:
-        for r in batch.itertuples(index=False):
-            ids, first, rows = Reader(r.payload).all().astype("<u4"), 0, []
-            for doc_id, end in zip(r.doc_ids, r.doc_ends, strict=True):
-                rows.append((None if doc_id is None or doc_id != doc_id else str(int(doc_id)), int(r.before) + first, int(end) - first, zlib.crc32(ids[first:end].tobytes())))
-                first = int(end)
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for payload, doc_ids, doc_ends, before in zip(*(batch.column(c).to_pylist() for c in ("payload", "doc_ids", "doc_ends", "before")), strict=True):
+            reader = Reader(payload)
+            ids, starts = reader.all().astype("<u4"), [0, *doc_ends[:-1]]
+            out = {
+                "doc_id": pa.array(doc_ids, pa.int64()),
+                "start": pa.array([before + a for a in starts], pa.int64()),
+                "n_tokens": pa.array([b - a for a, b in zip(starts, doc_ends, strict=True)], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(ids[a:b].data) for a, b in zip(starts, doc_ends, strict=True)], pa.int64()),
+                "middle_id": pa.array([reader.get((a + b) // 2) for a, b in zip(starts, doc_ends, strict=True)], pa.int64()),
+            }
+            yield pa.RecordBatch.from_pydict(out)
+
+
+def _singles(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for payload, before, places in zip(*(batch.column(c).to_pylist() for c in ("payload", "before", "places")), strict=True):
+            reader = Reader(payload)
+            yield pa.RecordBatch.from_pydict({"place": pa.array(places, pa.int64()), "id": pa.array([reader.get(i - before) for i in places], pa.int64())})
+
+
+def token_at(spark, path: str, places: DataFrame) -> DataFrame:
+    """place, id: the ids at single places of a file set, each by one access for a chunk; places is a table with the
+    column place. Only segments with a place in them are read; null places and those beyond the end give no row."""
+    found = segments(spark, path)
+    span = F.sequence(F.floor(F.col("before") / SEGMENT), F.floor((F.col("before") + F.col("n_tokens") - 1) / SEGMENT))
+    lists = found.where("n_tokens > 0").select("part", "segment", "before", (F.col("before") + F.col("n_tokens")).alias("after"), F.explode(span).alias("cell"))
+    asked = places.select(F.col("place").cast("long").alias("place"), F.floor(F.col("place") / SEGMENT).alias("cell")).distinct()
+    met = asked.join(lists, "cell").where("place >= before and place < after").groupBy("part", "segment").agg(F.collect_list("place").alias("places"))
+    return found.join(met, ["part", "segment"]).select("before", "payload", "places").mapInArrow(_singles, "place long, id long")
 
 
 def segments(spark, path: str) -> DataFrame:
@@ -196,8 +255,6 @@ def segments(spark, path: str) -> DataFrame:
         offsets.append((part, before))
         before += sums[part]
     offsets = spark.createDataFrame(offsets, "part int, part_before long")
-    from pyspark.sql import Window
-
     by = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     within = found.select("part", "segment", F.coalesce(F.sum("n_tokens").over(by), F.lit(0)).alias("within"))
     places = within.join(F.broadcast(offsets), "part").select("part", "segment", (F.col("within") + F.col("part_before")).alias("before"))
@@ -205,9 +262,10 @@ def segments(spark, path: str) -> DataFrame:
 
 
 def documents(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document of a file set, from its files."""
-    rows = segments(spark, path).select("before", "doc_ids", "doc_ends", "payload").mapInPandas(_documents, "doc_id string, start long, n_tokens long, ids_crc32 long")
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    """doc_id, start, n_tokens, ids_crc32 and middle_id (the id in the middle, read singly) of every document of a file
+    set, from its files."""
+    rows = segments(spark, path).select("before", "doc_ids", "doc_ends", "payload")
+    return rows.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long, middle_id long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, **columns) -> DataFrame:
