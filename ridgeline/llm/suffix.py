@@ -4,7 +4,7 @@ Every string of LENGTH bytes has one anchor that its content picks: the leftmost
 hash. So equal strings have equal anchors at equal offsets, and it is enough to order the text around anchors. Anchors
 are dealt by hash as packed blocks. Anchors whose whole surroundings are equal are settled there: all but the first are
 repeats. The others send their surroundings, and the suffixes to the right and the reversed prefixes to the left of
-the anchors are ordered by deep-shallow sorting: multikey quicksort by words to a shallow depth, then a blind trie for
+the anchors are ordered by deep-shallow sorting: multikey quicksort to a shallow depth, then a blind trie for
 each group that is still together. Order and common prefixes tell for each offset which strings are equal, exactly.
 """
 
@@ -187,50 +187,69 @@ class BlindTrie:
         else:
             parent[0][1][parent[1]] = inner
 
-    def order(self) -> tuple[list[int], list[int]]:
-        """Keys in order, and the common prefix of each with the one before it."""
-        keys, common, todo = [], [], [(self.root, 0)]
+    def order(self) -> list[int]:
+        """Keys in the order of their strings."""
+        keys, todo = [], [self.root] if self.root else []
         while todo:
-            node, depth = todo.pop()
+            node = todo.pop()
             if len(node) == 2:
                 keys += node[1]
-                common += [depth] + [len(node[0])] * (len(node[1]) - 1)
             else:
-                marks = sorted(node[1])
-                todo += [(node[1][m], node[0]) for m in marks[:0:-1]] + [(node[1][marks[0]], depth)]
-        return keys, common
+                todo += [node[1][m] for m in sorted(node[1], reverse=True)]
+        return keys
+
+
+def quicksorted(texts: np.ndarray, lengths: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of all groups side by side, to a depth: the order by group and text, and the number of the
+    part of each place. Each round parts every open group in three by one byte of its middle string, the pivot: lower
+    ones, equal ones, which go on with the next byte, and higher ones. An end is lower than every byte."""
+    order = np.argsort(group, kind="stable")
+    part = np.cumsum(np.concatenate([[0], (group[order][1:] != group[order][:-1]).astype(np.int64)])) if len(order) else np.zeros(0, np.int64)
+    at = np.zeros(len(order), np.int64)  # bytes that a place's part has in common
+    open_ = np.arange(len(order))
+    while True:
+        # Places of parts with more than one string that are not at the depth or at their end; parts stay contiguous.
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        size = np.diff(np.append(starts, len(part)))
+        run = np.repeat(np.arange(len(starts)), size)
+        open_ = np.flatnonzero((size[run] > 1) & (at >= 0) & (at < depth))
+        if not len(open_):
+            return order, part
+        here, row = at[open_], order[open_]
+        byte = np.where(here < lengths[row], texts[row, np.minimum(here, texts.shape[1] - 1)].astype(np.int64) + 1, 0)
+        every = np.zeros(len(part), np.int64)
+        every[open_] = byte
+        pivot = every[(starts + size // 2)[run[open_]]]
+        side = np.sign(byte - pivot)
+        sub = np.lexsort((side, run[open_]))
+        order[open_], side = row[sub], side[sub]
+        # Equal strings that have ended stay together for good.
+        at[open_] = np.where(side == 0, np.where(pivot[sub] == 0, -1, here[sub] + 1), here[sub])
+        key = part * 3
+        key[open_] += side + 1
+        part = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
 
 
 def deep_shallow(texts: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings by group and text, and the common prefix of each with the one before it (-1: none).
 
-    Shallow: multikey quicksort, all groups side by side, one 8-byte word a round; only strings that are still
-    together go on. Deep: a blind trie for each group that shares SHALLOW bytes.
+    Shallow: multikey quicksort of all groups to SHALLOW bytes. Deep: a blind trie for each part that is still together.
+    Common prefixes are those of neighbours in the final order.
     """
-    n = len(texts)
-    order = np.argsort(group, kind="stable")
-    part = np.cumsum(np.concatenate([[0], (group[order][1:] != group[order][:-1])])) if n else np.zeros(0, np.int64)
-    common = np.where(np.concatenate([[True], part[1:] != part[:-1]]), -1, 0) if n else np.zeros(0, np.int64)
-    for depth in range(0, SHALLOW, 8):
-        word = np.ascontiguousarray(texts[order, depth : depth + 8]).view(">u8").ravel().astype(np.uint64)
-        sub = np.lexsort((word, part))
-        order, word = order[sub], word[sub]
-        differ = np.concatenate([[0], word[1:] ^ word[:-1]]) if n else word
-        fresh = (differ != 0) & (common == depth)
-        zeros = np.zeros(n, np.int64)
-        for byte in range(7, 0, -1):
-            zeros += (differ < (np.uint64(1) << np.uint64(8 * byte))).astype(np.int64)
-        common = np.where(fresh, np.minimum(depth + zeros, np.minimum(lengths[order], lengths[np.roll(order, 1)])), np.where((common == depth), depth + 8, common))
-        part = np.cumsum(np.concatenate([[0], (part[1:] != part[:-1]) | fresh[1:]])) if n else part
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if n else np.zeros(1, np.int64)
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        if b - a > 1:
-            trie = BlindTrie()
-            for i in order[a:b].tolist():
-                trie.add(i, texts[i, : lengths[i]].tobytes())
-            keys, shared = trie.order()
-            order[a:b] = keys
-            common[a + 1 : b] = shared[1:]
+    order, part = quicksorted(texts, lengths, group, SHALLOW)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(starts[:-1][np.diff(starts) > 1].tolist(), starts[1:][np.diff(starts) > 1].tolist(), strict=True):
+        trie = BlindTrie()
+        for i in order[a:b].tolist():
+            trie.add(i, texts[i, : lengths[i]].tobytes())
+        order[a:b] = trie.order()
+    common = np.full(len(order), -1, np.int64)
+    if len(order) > 1:
+        left, right = order[:-1], order[1:]
+        differ = texts[left] != texts[right]
+        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), texts.shape[1])
+        shared = np.minimum(shared, np.minimum(lengths[left], lengths[right]))
+        common[1:] = np.where(group[left] == group[right], shared, -1)
     return order, common
 
 
@@ -244,12 +263,15 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 def repeats(shown: np.ndarray) -> np.ndarray:
     """Which strings around anchors repeat an earlier one: shown is in text order; (anchor, offset of the anchor)."""
     left, right = shown["left"].astype(np.int64), shown["right"].astype(np.int64)
-    after = deep_shallow(shown["text"][:, SIDE:], K + right, shown["h"])
-    before = deep_shallow(np.ascontiguousarray(shown["text"][:, :SIDE][:, ::-1]), left, shown["h"])
+    # Anchors of one hash are of one group; those of one group are equal, so what follows them is sorted.
+    anchor = np.ascontiguousarray(shown["text"][:, SIDE : SIDE + K]).view(f"V{K}").ravel()
+    group = np.unique(np.rec.fromarrays([shown["h"], anchor.view(f"S{K}")]), return_inverse=True)[1] if len(shown) else np.zeros(0, np.int64)
+    after = deep_shallow(np.ascontiguousarray(shown["text"][:, SIDE + K :]), right, group)
+    before = deep_shallow(np.ascontiguousarray(shown["text"][:, :SIDE][:, ::-1]), left, group)
     out = np.zeros((len(shown), PLACES), bool)
     for offset in range(PLACES):
         on = np.flatnonzero((left >= offset) & (right >= LENGTH - K - offset))
-        key = _classes(*before, offset)[on] * np.int64(len(shown) + 1) + _classes(*after, LENGTH - offset)[on]
+        key = _classes(*before, offset)[on] * np.int64(len(shown) + 1) + _classes(*after, LENGTH - K - offset)[on]
         sub = np.argsort(key, kind="stable")
         again = np.zeros(len(on), bool)
         again[sub[1:]] = key[sub][1:] == key[sub][:-1]
