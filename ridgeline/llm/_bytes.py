@@ -35,6 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_factors = np.zeros(0, np.uint64)
+
+
+def factors(n: int) -> np.ndarray:
+    """Odd random factors of the first n places of a word."""
+    global _factors
+    if len(_factors) < n:
+        _factors = mix(mix(np.arange(1, max(1024, 2 * n) + 1, dtype=np.uint64) * np.uint64(BASE))) | np.uint64(1)
+    return _factors
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string or binary column without nulls."""
     import pyarrow as pa
@@ -67,10 +78,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begins[cut] |= solid[cut]
     ends[cut - 1] |= solid[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(LOWER[data] * powers(BASE, n), out=prefix[1:])
-    hashed = (prefix[end] - prefix[start]) * powers(INVERSE, n + 1)[start]
-    return mix(hashed + (end - start).astype(np.uint64)), np.searchsorted(offsets, start, "right") - 1
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    # A sum of random numbers of bytes by random odd factors of places: not a polynomial, which long words could fool.
+    length = end - start
+    total = np.cumsum(length)
+    place = np.arange(total[-1]) - np.repeat(total - length, length)
+    terms = LOWER[data[np.repeat(start, length) + place]] * factors(int(length.max()))[place]
+    return mix(np.add.reduceat(terms, total - length) + length.astype(np.uint64)), np.searchsorted(offsets, start, "right") - 1
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,14 +23,15 @@ from ridgeline.llm._common import place, stored
 
 #: Words of a shingle, percent of the union that a link needs.
 WIDTH, PERCENT = 5, 80
-#: Prefix entries of a deal; cells of the frequency sketch, a byte each, at least and at most; entries of a list up to
+#: Prefix entries of a deal; cells of the frequency sketch, a byte each (the bound of what is broadcast), at least and at most; entries of a list up to
 #: which all its pairs are looked at together.
-DEALT, CELLS, SHORT = 500_000, (1 << 18, 1 << 26), 32
+DEALT, CELLS, SHORT = 500_000, (1 << 18, 1 << 24), 32
 #: Pivots of a long list in a later round, and such rounds at most (what they leave is compared pair by pair).
 PIVOTS, ROUNDS = 4, 6
 
-#: Rows in which a task sends its sketch.
-PARTS = 64
+#: Cells that one row brings to the driver; entries from which a list is cut into blocks of this many, every two of which
+#: meet in a group of their own.
+PACKED, BLOCK = 1 << 13, 2048
 
 _ENTRY = np.dtype([("h", "<u8"), ("row", "<i8"), ("size", "<i4"), ("at", "<i4")])
 
@@ -50,29 +51,38 @@ def _sets(batch, width: int):
 
 
 def _measure(cells: int, width: int):
-    """Rows (row, size) of the documents, and at the end the sketch of this task: how often each cell is met."""
+    """Rows (row, size) of the documents, and rows (cell, n) of the cells that several of a batch's shingles fall in."""
 
     def run(batches):
         import pyarrow as pa
 
-        seen = np.zeros(cells, np.uint16)
         for batch in batches:
-            row = batch.column("row").to_numpy()
+            row, every = batch.column("row").to_numpy(), []
             for first, last, hashes, _, sizes in _sets(batch, width):
-                np.add.at(seen, (hashes & np.uint64(cells - 1)).astype(np.int64), 1)
-                np.minimum(seen, 60_000, out=seen)
-                yield pa.RecordBatch.from_pydict({"row": pa.array(row[first:last]), "size": pa.array(sizes, pa.int64()), "part": pa.nulls(last - first, pa.int32()), "counts": pa.nulls(last - first, pa.binary())})
-        if seen.any():
-            parts = np.split(np.minimum(seen, 255).astype(np.uint8), PARTS)
-            yield pa.RecordBatch.from_pydict({"row": pa.nulls(PARTS, pa.int64()), "size": pa.nulls(PARTS, pa.int64()), "part": pa.array(range(PARTS), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+                every.append((hashes & np.uint64(cells - 1)).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"row": pa.array(row[first:last]), "size": pa.array(sizes, pa.int64()), "cell": pa.nulls(last - first, pa.int32()), "n": pa.nulls(last - first, pa.int32())})
+            found, counts = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.int32),) * 2
+            found, counts = found[counts > 1], counts[counts > 1].astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"row": pa.nulls(len(found), pa.int64()), "size": pa.nulls(len(found), pa.int64()), "cell": pa.array(found, pa.int32()), "n": pa.array(counts, pa.int32())})
 
     return run
 
 
-def _added(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.uint8).astype(np.int64) for c in group["counts"])
-    grade = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-    return pd.DataFrame({"part": group["part"].iloc[:1], "grade": [grade.tobytes()]})
+def _grades(measured: DataFrame, cells: int) -> bytes:
+    """A byte for each cell: twice the logarithm of its count, 0 for those that no batch met twice. Spark adds up the
+    counts; the result has `cells` bytes at most."""
+    counts = measured.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = counts.select(F.floor(F.col("cell") / PACKED).cast("int").alias("part"), (F.col("cell") % PACKED).alias("at"), F.floor(2 * F.log2("n")).cast("int").alias("grade"))
+    out = bytearray(cells)
+    for r in rows.groupBy("part").applyInPandas(_packed, "part int, grades binary").collect():
+        out[r["part"] * PACKED : (r["part"] + 1) * PACKED] = r["grades"]
+    return bytes(out)
+
+
+def _packed(group: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(PACKED, np.uint8)
+    out[group["at"]] = group["grade"]
+    return pd.DataFrame({"part": group["part"].iloc[:1], "grades": [out.tobytes()]})
 
 
 def _entries(grades, width: int, percent: int, deals: int):
@@ -210,21 +220,31 @@ def _compared(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_overlaps, "a long, b long, overlap long")
 
 
-def components(vertices: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """row, label: the least row of its component. Labels go over edges and jump to their labels' labels until no
-    label moves; every round is written, so a lost executor costs one round."""
-    both = stored(edges.select(F.col("a").alias("row"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("row"), F.col("a").alias("other"))).distinct(), "edges")
-    labels = stored(vertices.select("row", F.col("row").alias("label")).join(both.select("row").distinct(), "row"), "labels")
-    for _ in range(most):
-        told = both.join(labels.withColumnRenamed("row", "other"), "other").groupBy("row").agg(F.min("label").alias("near"))
-        near = stored(labels.join(told, "row").select("row", F.col("label").alias("old"), F.least("label", "near").alias("label")), "near")
-        jump = near.select(F.col("row").alias("label"), F.col("label").alias("further"))
-        labels = stored(near.join(jump, "label").select("row", "old", F.least("label", "further").alias("label")), "labels")
-        moved = labels.where("label != old").limit(1).count()
-        labels = labels.select("row", "label")
-        if not moved:
-            return labels
-    raise RuntimeError(f"labels still move after {most} rounds")
+def _starred(edges: DataFrame, large: bool) -> DataFrame:
+    """One half-round on edges (a > b): every vertex tells its larger (or smaller) neighbours, in the second case itself
+    too, of its least neighbour or itself."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    told = both.join(least, "a")
+    told = told.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else told.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return stored(told.where("a != b").distinct(), "stars")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """row, label: the least row of its component, for rows that have an edge. Large and small stars in turn: each vertex
+    links its larger neighbours, then its smaller ones, to the least of them, until every component is a star of its
+    least row. The rounds grow with the logarithm of the longest path, not with the path; each is written, so a lost
+    executor costs one round at most."""
+    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "stars")
+    while True:
+        # A star forest: no vertex has two smaller neighbours, or a smaller and a larger one.
+        ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        loose = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1")
+        if not loose.limit(1).count():
+            break
+        edges = _starred(_starred(edges, True), False)
+    labels = edges.select(F.col("a").alias("row"), F.col("b").alias("label"))
+    return labels.unionByName(edges.select(F.col("b").alias("row"), F.col("b").alias("label")).distinct())
 
 
 def _admissible(a_size, b_size, a_at, b_at, percent: int):
@@ -239,14 +259,15 @@ def _admissible(a_size, b_size, a_at, b_at, percent: int):
 
 def _open_pairs(percent: int, turn: int | None):
     """Pairs of a list that are in two classes and not ruled out by their answers for the pivot: a, b, sure (ruled in).
-    With a turn, only long lists, and there the pairs of the sets outside the largest class with some of its sets."""
+    A group is a list, or two blocks of a long one. With a turn, only long lists, and there the pairs of the sets outside
+    the largest class of the group with some of its sets."""
 
     def judged(e, i, j):
         i, j = i[e["label"][i] != e["label"][j]], j[e["label"][i] != e["label"][j]]
         size, at, o = e["size"], e["at"], e["overlap"]
         fits = _admissible(size[i], size[j], at[i], at[j], percent)
         i, j = i[fits], j[fits]
-        need, known = least_overlap(size[i], size[j], percent), (o[i] >= 0) & (o[j] >= 0)
+        need, known = least_overlap(size[i], size[j], percent), (o[i] >= 0) & (o[j] >= 0) & (e["pivot"][i] == e["pivot"][j])
         upper = np.minimum(o[i], o[j]) + np.minimum(size[i] - o[i], size[j] - o[j])
         keep = ~known | (upper >= need)
         i, j, need, known = i[keep], j[keep], need[keep], known[keep]
@@ -255,7 +276,7 @@ def _open_pairs(percent: int, turn: int | None):
 
     def work(frame: pd.DataFrame):
         e = {c: frame[c].to_numpy() for c in frame.columns}
-        starts = _runs(e["h"])
+        starts = _runs(e["group"])
         lengths = np.diff(starts)
         end = np.repeat(starts[1:], lengths)
         short = np.repeat(lengths <= SHORT, lengths)
@@ -275,10 +296,14 @@ def _open_pairs(percent: int, turn: int | None):
                 for j in largest[np.argsort(rank)[:PIVOTS]].tolist():
                     found.append(judged(e, a + others, np.full(len(others), a + j)))
                 continue
+            block = e["block"][a:b]
+            across = bool((block != block[0]).any())
             for i in np.flatnonzero(number != counts.argmax()).tolist():
                 low, high = np.searchsorted(size, [-(-percent * int(size[i]) // 100), 100 * int(size[i]) // percent + 1])
                 j = np.arange(low, high)
                 j = j[(number[j] == counts.argmax()) | (j > i)]
+                if across:  # pairs within a block meet in its own group
+                    j = j[block[j] != block[i]]
                 found.append(judged(e, np.full(len(j), a + i), a + j))
                 if len(found) > 1000:
                     yield pd.concat(found).drop_duplicates()
@@ -290,7 +315,7 @@ def _open_pairs(percent: int, turn: int | None):
         rest = None
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = rest["h"].to_numpy() == rest["h"].iloc[-1] if len(rest) else np.zeros(0, bool)
+            last = rest["group"].to_numpy() == rest["group"].iloc[-1] if len(rest) else np.zeros(0, bool)
             if not last.all():
                 yield from work(rest[~last])
                 rest = rest[last]
@@ -300,6 +325,16 @@ def _open_pairs(percent: int, turn: int | None):
     return run
 
 
+def _blocked(lists: DataFrame) -> DataFrame:
+    """Entries with group and block: a list is one group; of one with over BLOCK entries, every entry falls in a block by
+    the hash of its row, and goes to the groups of its block with each block."""
+    long = lists.groupBy("h").count().where(F.col("count") > BLOCK).select("h", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # One row for each list of over BLOCK entries.
+    out = lists.join(long, "h", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("row"), F.col("blocks")), F.lit(0)).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return out.withColumn("group", F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other"))).drop("blocks", "other", "h")
+
+
 def _next_pow2(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
@@ -316,10 +351,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     texts = docs.select(place(docs).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = docs.select(place(docs).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
     cells = min(CELLS[1], max(CELLS[0], _next_pow2(32 * docs.count())))
-    measured = stored(texts.mapInArrow(_measure(cells, width), "row long, size long, part int, counts binary"), "measured")
+    measured = stored(texts.mapInArrow(_measure(cells, width), "row long, size long, cell int, n int"), "measured")
     sizes = measured.where("row is not null").select("row", "size")
-    parts = measured.where("part is not null").groupBy("part").applyInPandas(_added, "part int, grade binary").collect()  # `cells` bytes
-    grades = spark.sparkContext.broadcast(b"".join(bytes(r["grade"]) for r in sorted(parts)) or bytes(cells))
+    grades = spark.sparkContext.broadcast(_grades(measured, cells))
     total = sizes.agg(F.sum(F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)).first()[0] or 0
     deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // DEALT))
 
@@ -333,17 +367,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     size_of = lambda c: sizes.select(F.col("row").alias(c), F.col("size").alias(f"{c}_size"))
     linked = lambda df: df.where(100 * F.col("overlap") >= percent * (F.col("a_size") + F.col("b_size") - F.col("overlap"))).select("a", "b")
     links = stored(linked(answers.join(size_of("a"), "a").join(size_of("b"), "b")), "links")
-    labels = components(sizes, links)
+    labels = components(links)
 
     # What is left: lists that hold two classes or more.
     labelled = lambda df: df.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     mixed = labelled(lists.select("h", "row")).groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
     known = lists.join(stored(mixed, "mixed"), "h").join(answers.select(F.col("a").alias("row"), F.col("b").alias("pivot"), "overlap"), ["row", "pivot"], "left")
     overlap = F.when(F.col("row") == F.col("pivot"), F.col("size").cast("long")).otherwise(F.coalesce("overlap", F.lit(-1)))
-    known = stored(known.select("h", "row", *[F.col(c).cast("long").alias(c) for c in ("size", "at", "pivot_size")], overlap.alias("overlap")), "known")
+    known = stored(_blocked(known.select("h", "row", *[F.col(c).cast("long").alias(c) for c in ("size", "at", "pivot", "pivot_size")], overlap.alias("overlap"))), "known")
     turn: int | None = 0
     while True:
-        ordered = labelled(known).repartition("h").sortWithinPartitions("h", "size", "row")
+        ordered = labelled(known).repartition("group").sortWithinPartitions("group", "size", "row")
         open_ = ordered.mapInPandas(_open_pairs(percent, turn), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
         open_ = stored(open_, "open")
         joined = False
@@ -353,7 +387,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             joined = bool(more.limit(1).count())
         if joined:
             links = links.unionByName(more)
-            labels = components(sizes, links)
+            labels = components(links)
         if turn is None:
             break
         turn = turn + 1 if joined and turn + 1 < ROUNDS else None
