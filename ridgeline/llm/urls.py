@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm._common import lower_ascii
 
-#: Hex digits of the short hash that the join uses.
-SHORT = 8
+#: Hex digits of the short hash that the join uses; different shapes that rules may have, each of which is an expression
+#: of every url.
+SHORT, SHAPES = 8, 1024
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -27,7 +28,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
 
     rules: host, path (starting with "/"), verdict (block or allow). A rule fits its host and all subdomains, where
     the url's path starts with the rule's. The longest host and path together win; of equal ones the longer host,
-    then block. Rows with null host, path or verdict are no rules. Repeated pages each get a row; an empty rule table
+    then block. Rules of more than SHAPES shapes are refused. Rows with null host, path or verdict are no rules. Repeated pages each get a row; an empty rule table
     gives everyone the default.
     Returns key, host, path, rule (null if none), verdict.
     """
@@ -36,10 +37,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
         F.concat("host", "path").alias("expr"),
         F.size(F.split("host", r"\.")).alias("labels"),
         F.length("path").alias("path_length"),
-        (F.length(F.concat("host", "path")).cast("long") * 4096 + F.length("host") * 2 + (F.col("verdict") == "block").cast("int")).alias("precedence"),
+        F.struct(F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"), (F.col("verdict") == "block").alias("block")).alias("precedence"),
     )
-    #: The shapes of rules: a few dozens for any rule set, as labels and path lengths are short.
-    shapes = [(r.labels, r.path_length) for r in rules.select("labels", "path_length").distinct().collect()]
+    shapes = [(r.labels, r.path_length) for r in rules.select("labels", "path_length").distinct().limit(SHAPES + 1).collect()]
+    if len(shapes) > SHAPES:
+        raise ValueError(f"rules have over {SHAPES} shapes (labels of the host, length of the path)")
     base = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     labels = F.size(F.split("host", r"\."))
     made = [
@@ -58,12 +60,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
         .groupBy("row", "key", "host", "path")
         .agg(F.max("precedence").alias("best"))
     )
-    host_length = ((F.col("best") % 4096) / 2).cast("int")
-    rule = F.concat(F.expr("right(host, cast(best % 4096 as int) div 2)"), F.substring(F.col("path"), F.lit(1), (F.col("best") / 4096).cast("int") - host_length))
+    rule = F.concat(F.expr("right(host, best.host_length)"), F.substring(F.col("path"), F.lit(1), F.col("best.length") - F.col("best.host_length")))
     return best.select(
         F.col("key").alias(key),
         "host",
         "path",
         rule.alias("rule"),
-        F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best") % 2 == 1, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
+        F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.block"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
     )
