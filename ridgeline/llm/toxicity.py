@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm._common import stored
+from ridgeline.llm._common import least_hashed, stored
 
 #: Labelled rows that a model is fitted on at most (those of smallest hash); terms of a lexicon at most; toxic texts that
 #: a term needs; terms that may be expected by chance alone; the least share of toxic ones among the texts that have a
@@ -200,14 +200,14 @@ def featurizer(model: Model):
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, limit: int) -> DataFrame:
     """text and label of a bounded number of labelled documents: the ids of smallest hash are broadcast."""
     ids = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
-    ids = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(limit)
+    ids = least_hashed(ids.groupBy("id").agg(F.max("label").alias("label")), limit)
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = SAMPLE) -> Model:
     """Lexicon and coefficients from at most `limit` labelled rows. Copies of a text count once. Without toxic or
     without other rows the lexicon is empty and the constant is the prior."""
-    sample = _labelled(docs, labels, doc_id, text, label, limit).dropDuplicates(["text", "label"])
+    sample = stored(_labelled(docs, labels, doc_id, text, label, limit).dropDuplicates(["text", "label"]), "sample")
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     seen = sample.select("label", "text").mapInPandas(_vocabulary, "label int, word string")
