@@ -8,11 +8,9 @@ size do this side by side; each leaves one fractional document, and the left one
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm._common import WORD, place, stored
@@ -20,28 +18,45 @@ from ridgeline.llm._common import WORD, place, stored
 #: Documents of one group, fractional documents that meet in one node of the tree.
 GROUP, FAN_IN = 4096, 1024
 
-_NODE = "row long, doc_id long, source string, size long, p double, copies int, open boolean, node long"
-
-
-def targets(sizes: dict[str | None, int], weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Target words of each source: `share` of all words by weight (weights repeat over the sources in code point
-    order, null last), none above `most` times its source; the excess goes to the others by weight."""
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-8", "surrogatepass")) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out, left, open_ = {}, share * sum(sizes.values()), names
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        for s in full or open_:
-            out[s] = most * sizes[s] if full else left * weight[s] / total
-        open_ = [s for s in open_ if s not in out]
-        left = left - sum(out[s] for s in full)
-    return out
+_NODE = "row long, doc_id long, source string, size long, p double, copies int, open boolean, node long, key long, copy long"
+
+
+def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """source, source_size, target of a table with a row (source, source_size) for each source: `share` of all words by
+    weight (weights repeat over the sources in code point order, null last), none above `most` times its source; the
+    excess goes to the others by weight. Sources stay in Spark: they may be as many as there are hosts."""
+    spark = sources.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sources.repartitionByRange(parts, F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "sources")
+    # Places from one count for each partition of the ranges.
+    before, offsets = 0, []
+    for part, n in sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
+    offsets = spark.createDataFrame(offsets, "part int, before long")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("before") + F.col("within"), F.lit(len(weights))) + 1).cast("int"))
+    rows = ranged.withColumn("within", within).join(F.broadcast(offsets), "part").select("source", "source_size", weight.alias("weight"))
+    rows = stored(rows, "sources")
+    left, rate, level = share * (rows.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1.0
+    # The sources above the limit at one rate are above it at the next ones, which are higher: a few rounds.
+    while True:
+        open_ = rows.where(most * F.col("source_size") >= level * F.col("weight"))
+        r = open_.agg(F.sum("weight").alias("weight"), F.sum("source_size").alias("size")).first()
+        full = rows.where(most * F.col("source_size") < level * F.col("weight")).agg(F.sum("source_size")).first()[0] or 0
+        if not r["weight"]:
+            break
+        rate = (left - most * full) / r["weight"]
+        if not open_.where(rate * F.col("weight") > most * F.col("source_size")).limit(1).count():
+            break
+        level = rate
+    return rows.select("source", "source_size", F.least(most * F.col("source_size"), rate * F.col("weight")).alias("target"))
 
 
 def _settle(group: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Rounds the open documents of a group in turn; one at most stays open."""
-    group = group.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], ignore_index=True)
+    group = group.sort_values(["size", "key", "copy", "row"], ascending=[False, True, True, True], ignore_index=True)
     first = group.iloc[0]
     draw = np.random.Generator(np.random.Philox(key=[seed, abs(hash_of(first["source"])) ^ int(first["node"])])).random(len(group))
     size, p, copies, is_open = group["size"].tolist(), group["p"].tolist(), group["copies"].tolist(), [False] * len(group)
@@ -77,28 +92,32 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2
     """How often the mix takes each document.
 
     docs must be a stored table: its rows are numbered by their place. A document's size is its number of words; one
-    without words (null, empty) is taken but adds nothing. Null sources form one source; null ids and repeated rows
-    are documents like others. Equal runs give equal results; an empty table gives none.
+    without words (null, empty) adds nothing. Null sources form one source; null ids and repeated rows are documents
+    like others. Draws follow ids and texts, so equal tables give equal results however they are split (equal rows may
+    swap places); an empty table gives none.
     Returns row (the number), doc_id, size, source_size, target, copies, taken.
     """
+    body = F.coalesce(F.col(text), F.lit(""))
+    name = F.col(source).cast("string")
+    row = place(docs)
     sized = docs.select(
-        place(docs).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")
+        row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), name.alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(doc_id).cast("long"), name, body).alias("key")
     )
-    sized = stored(sized, "sizes")
-    # One row for each source: a mix names its sources, so they are few.
-    found = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    aim = targets({s: r["size"] for s, r in found.items()}, weights, share, most)
-    facts = [(s, r["size"], float(aim[s]), float(aim[s] / r["size"]) if r["size"] else 0.0, -(-r["n"] // GROUP)) for s, r in found.items()]
+    sized = stored(_numbered(sized), "sizes")
     spark = docs.sparkSession
-    facts_df = spark.createDataFrame(facts or [(None, 0, 0.0, 0.0, 1)], "source string, source_size long, target double, rate double, groups long")
-    joined = sized.join(F.broadcast(facts_df), sized["source"].eqNullSafe(facts_df["source"])).drop(facts_df["source"])
-    whole = joined.select(
-        "row", "doc_id", "source", "size", (F.col("rate") - F.floor("rate")).alias("p"), F.floor("rate").cast("int").alias("copies"), F.lit(False).alias("open"), F.expr("pmod(xxhash64(doc_id, row), groups)").alias("node")
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    aims = targets(sums.select("source", "source_size"), weights, share, most)
+    facts = stored(aims.join(sums.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
+    of = lambda df, *columns: df.join(facts.select(F.col("source").alias("s"), *columns), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # Spark broadcasts the sources only while they are small; else their rows are dealt by source, skewed ones apart.
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = of(sized, "source_size", "target", "n").select(
+        "row", "doc_id", "source", "size", (rate - F.floor(rate)).alias("p"), F.floor(rate).cast("int").alias("copies"), F.lit(False).alias("open"), F.pmod(F.xxhash64("key", "copy"), F.ceil(F.col("n") / GROUP)).alias("node"), "key", "copy"
     )
     fractional = (F.col("p") > 0) & (F.col("size") > 0)
     done = [whole.where(~fractional)]
     settle = lambda df: df.groupBy("source", "node").applyInPandas(lambda g: _settle(g, seed), _NODE)
-    nodes = max([1, *(f[4] for f in facts)])
+    nodes = -(-(facts.agg(F.max("n")).first()[0] or 1) // GROUP)
     level = stored(settle(whole.where(fractional)), "settled")
     while True:
         done.append(level.where(~F.col("open")))
@@ -113,10 +132,19 @@ def plan(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    facts_df = facts_df.drop("rate", "groups")
-    return out.join(F.broadcast(facts_df), out["source"].eqNullSafe(facts_df["source"])).select(
-        "row", "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    return of(out, "source_size", "target").select("row", "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Adds copy: equal rows, which have one key, are numbered from 0, whatever files and tasks they are in. Each split of
+    the table numbers its own ones; sums over the splits of a key tell where they begin."""
+    split = F.shiftright("row", 33)
+    again = sized.groupBy("key", split.alias("split")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = again.select(F.col("key").alias("k"), F.col("split").alias("s"), F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("key", split).orderBy("row")) - 1
+    joined = sized.withColumn("within", within).join(starts, (F.col("key") == F.col("k")) & (split == F.col("s")))
+    return joined.select("row", "doc_id", "source", "size", "key", (F.col("within") + F.col("before")).alias("copy"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
