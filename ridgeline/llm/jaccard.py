@@ -340,7 +340,7 @@ def _next_pow2(n: int) -> int:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """row, doc_id, n_shingles, component_id of every document.
+    """row, doc_id, n_shingles, component_id and label (the least row of its class) of every document.
 
     docs must be a stored table: its rows are numbered by their place. Sets are distinct shingles of `width` words
     (A-Z lower-cased), by 64-bit hashes; a text with fewer words is one shingle, one without words (null, empty) has
@@ -394,12 +394,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     out = ids.join(sizes, "row").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     least = stored(out.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    return out.join(least, "label").select("row", "doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return out.join(least, "label").select("row", "doc_id", F.col("size").alias("n_shingles"), "component_id", "label")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class: that of least id (then of first place); documents without words stay."""
     found = classes(docs, doc_id, text, **options)
-    same = F.when((F.col("n_shingles") == 0), F.concat(F.lit("row"), F.col("row"))).otherwise(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("row"), F.col("row"))))
-    chosen = found.groupBy(same.alias("class")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_rl_row"))
-    return docs.withColumn("_rl_row", place(docs)).join(chosen, "_rl_row").select(*docs.columns)
+    chosen = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_rl_kept"))
+    numbered = docs.select(F.struct(*docs.columns).alias("d"), place(docs).alias("_rl_kept"))
+    return numbered.join(chosen, "_rl_kept").select("d.*")

@@ -149,7 +149,6 @@ def _numbered(sized: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that plan() takes, each as often as it says, with all their columns."""
-    copies = plan(docs, **options).where("copies > 0").select(F.col("row").alias("_rl_row"), F.col("copies").alias("_rl_copies"))
-    numbered = docs.withColumn("_rl_row", place(docs))
-    joined = numbered.join(copies, "_rl_row").withColumn("_rl_copy", F.explode(F.sequence(F.lit(1), F.col("_rl_copies"))))
-    return joined.select(*docs.columns)
+    copies = plan(docs, **options).where("copies > 0").select(F.col("row").alias("_rl_row"), "copies")
+    numbered = docs.select(F.struct(*docs.columns).alias("d"), place(docs).alias("_rl_row"))
+    return numbered.join(copies, "_rl_row").select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")

@@ -171,9 +171,10 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     spans = spans.withColumn("run", F.sum("new").over(Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)))
     runs = spans.groupBy("row", "run").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
     cuts = runs.groupBy(F.col("row").alias("_rl_row")).agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind"))).alias("_rl_cuts"))
-    joined = docs.withColumn("_rl_row", place(docs)).join(cuts, "_rl_row", "left")
-    body, cut = F.col(text), F.col("_rl_cuts")
+    numbered = docs.select(F.struct(*docs.columns).alias("d"), place(docs).alias("_rl_row"))
+    joined = numbered.join(cuts, "_rl_row", "left")
+    body, cut = F.col("d")[text], F.col("_rl_cuts")
     # Before each cut: what follows the one before it.
     piece = F.transform(cut, lambda c, i: F.concat(F.substring(body, (F.coalesce(F.get(cut, i - 1)["e"], F.lit(0)) + 1).cast("int"), (c["s"] - F.coalesce(F.get(cut, i - 1)["e"], F.lit(0))).cast("int")), F.lit("<"), c["kind"], F.lit(">")))
     rest = F.substring(body, (F.element_at(cut, -1)["e"] + 1).cast("int"), F.length(body))
-    return joined.withColumn(text, F.when(cut.isNotNull(), F.concat(F.array_join(piece, ""), rest)).otherwise(body)).select(*docs.columns)
+    return joined.select("d.*", F.when(cut.isNotNull(), F.concat(F.array_join(piece, ""), rest)).otherwise(body).alias("_rl_text")).select(*[F.col("_rl_text").alias(c) if c == text else F.col(c) for c in docs.columns])

