@@ -5,6 +5,7 @@ Greedy selection keeps one distance column and sends one row a step. Candidate t
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -147,7 +148,7 @@ def poisson_disk(candidates: DataFrame, radius: float, m: int, seed: int = 0) ->
     return candidates.join(chosen, "id", "left_semi") if chosen is not None else candidates
 
 
-def greedy_cover(points: DataFrame, radius: float, most: int = 10_000) -> DataFrame:
+def greedy_cover(points: DataFrame, radius: float) -> DataFrame:
     """place, id, gained: points chosen so that all lie within the radius of one; each step takes the one with most
     uncovered neighbours, ties to the smaller id (at most ln n times as many as needed)."""
     a = points.select("id", "z")
@@ -160,7 +161,7 @@ def greedy_cover(points: DataFrame, radius: float, most: int = 10_000) -> DataFr
         far = far.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
     pairs = stored(a.select("id", "z", *cells("z")).join(far, ["c0", "c1"]).where(distance("z", "zb") <= radius).select("id", "other"), "near")
     chosen = []
-    for k in range(most):
+    for k in itertools.count():
         row = pairs.groupBy("id").count().orderBy(F.desc("count"), "id").limit(1).collect()
         if not row:
             break

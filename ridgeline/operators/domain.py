@@ -435,3 +435,9 @@ def sample_product(parts, spark: SparkSession, n: int, seed: int = 0) -> DataFra
         drawn = drawn.select(F.monotonically_increasing_id().alias("id"), "x") if isinstance(part, Domain) and not part.is_box else drawn
         out = drawn if out is None else out.join(drawn.withColumnRenamed("x", "y"), "id").select("id", F.concat("x", "y").alias("x"))
     return out
+
+
+def segment_sample(df: DataFrame, a, b, domain: Domain, alpha: Column, tol: float = TOL) -> DataFrame:
+    """df with x = alpha a + (1 - alpha) b, where x lies in the domain. alpha: a column of numbers in [0, 1]."""
+    x = [alpha * F.lit(float(p)) + (1 - alpha) * F.lit(float(q)) for p, q in zip(a, b, strict=True)]
+    return df.where(domain.contains(x, tol)).withColumn("x", F.array(*x))

@@ -141,7 +141,7 @@ def matrix_from_samples(samples: DataFrame, m: int, eps: float = 0.0, rounds: in
         P = np.vstack([P, np.stack(worst["p"].to_numpy()) / length[:, None]])
         D = np.concatenate([D, (worst["df"].to_numpy() / length) ** 2])
         H = _least_trace(P, D, diagonal)
-    return _make_feasible(samples, H, m, eps)
+    return _make_feasible(samples, H, m, eps, diagonal)
 
 
 def _least_trace(P: np.ndarray, D: np.ndarray, diagonal: bool, steps: int = 3000) -> np.ndarray:
@@ -175,15 +175,16 @@ def _least_trace(P: np.ndarray, D: np.ndarray, diagonal: bool, steps: int = 3000
     return H * scale / max(min(worst, 1.0), 1e-12) if worst > 0 else (H + np.eye(m)) * scale
 
 
-def _make_feasible(samples: DataFrame, H: np.ndarray, m: int, eps: float, rounds: int = 20) -> np.ndarray:
-    """Adds a rank-one term for the most violated pair until none is violated."""
-    for _ in range(rounds):
+def _make_feasible(samples: DataFrame, H: np.ndarray, m: int, eps: float, diagonal: bool = False) -> np.ndarray:
+    """Adds a rank-one (or diagonal) term for the most violated pair until none is violated. Terms are never negative,
+    so each round settles its pair for good."""
+    while True:
         worst = pair_slack(samples, H, m, eps, 1).collect()
         if not worst or worst[0]["slack"] >= -1e-13:
-            break
+            return H
         p = np.array(worst[0]["p"])
-        H = H + np.outer(p, p) * (-worst[0]["slack"] * (1 + 1e-12)) / (p @ p)
-    return H
+        term = np.diag(p * p) / (p**4).sum() * (p @ p) if diagonal else np.outer(p, p) / (p @ p)
+        H = H - term * worst[0]["slack"] * (1 + 1e-9)
 
 
 def uncertainty(test: DataFrame, train: DataFrame, L, eps: float = 0.0) -> DataFrame:
@@ -246,3 +247,19 @@ def bound_functions(test: DataFrame, train: DataFrame, L) -> DataFrame:
     b = _with_z(train, L).select(F.col("id").alias("other"), F.col("z").alias("zb"), "fx")
     d = distance("z", "zb")
     return a.join(b, F.lit(True)).select("id", "other", (F.col("fx") - d).alias("low"), (F.col("fx") + d).alias("high"))
+
+
+def feasible_for_gradients(gradients: DataFrame, H, m: int, tol: float = 1e-9) -> np.ndarray:
+    """H with g g' <= H for every gradient: where g' H^-1 g > 1 for the worst one, H grows along that gradient just as far
+    as it needs. gradients: grad. Terms are never negative, so each round settles its gradient for good."""
+    H = np.array(H, float)
+    g = coords("grad", m)
+    while True:
+        # A little of the identity makes directions that H lacks the worst ones.
+        inverse = np.linalg.inv(H + 1e-12 * (np.trace(H) + 1.0) * np.eye(m))
+        q = sum((F.lit(float(inverse[i, j])) * g[i] * g[j] for i in range(m) for j in range(m)), F.lit(0.0))
+        worst = gradients.agg(F.max(F.struct(q.alias("q"), "grad")).alias("w")).first()["w"]
+        if worst is None or worst["q"] is None or worst["q"] <= 1 + tol:
+            return H
+        v = np.array(worst["grad"], float)
+        H = H + np.outer(v, v) * (1 - 1 / worst["q"])

@@ -63,6 +63,25 @@ def univariate_derivative(kind: str, x, degree: int, one):
     return d
 
 
+def univariate_second(kind: str, x, degree: int, one):
+    """Second derivatives, by differentiating the recurrence twice."""
+    d, s = univariate_derivative(kind, x, degree, one), [one * 0.0]
+    for n in range(1, degree + 1):
+        d1, s1, s2 = d[n - 1], s[n - 1], s[n - 2] if n > 1 else one * 0.0
+        both = 2 * d1 + x * s1
+        if kind == "monomial" or kind == "chebyshev" and n == 1:
+            s.append(both)
+        elif kind == "legendre":
+            s.append(((2 * n - 1) * both - (n - 1) * s2) / n)
+        elif kind == "chebyshev":
+            s.append(2 * both - s2)
+        elif kind == "laguerre":
+            s.append(((2 * n - 1 - x) * s1 - 2 * d1 - (n - 1) * s2) / n)
+        else:
+            s.append(2 * both - 2 * (n - 1) * s2)
+    return s
+
+
 @dataclass(frozen=True)
 class Basis:
     """A tensor basis of total degree on inputs that are scaled to (x - shift) * factor."""
@@ -108,6 +127,19 @@ class Basis:
             out.append(column)
         return out
 
+    def second_columns(self, y: list[Column], k: int, j: int) -> list[Column]:
+        """Second derivatives of the basis functions by coordinates k and j, in the units of y."""
+        scaled, one = [(yi - s) * f for yi, s, f in zip(y, self.shift, self.factor, strict=True)], F.lit(1.0)
+        values = [univariate(self.kind, x, self.degree, one) for x in scaled]
+        changed = {k: univariate_second(self.kind, scaled[k], self.degree, one)} if k == j else {i: univariate_derivative(self.kind, scaled[i], self.degree, one) for i in (k, j)}
+        out = []
+        for a in self.indices:
+            column = F.lit(self.factor[k] * self.factor[j])
+            for i in range(self.dim):
+                column = column * (changed[i] if i in changed else values[i])[a[i]] if i in changed or a[i] else column
+            out.append(column)
+        return out
+
     def matrix(self, y: np.ndarray) -> np.ndarray:
         tables = self._tables(y.T, np.ones(len(y)))
         return np.stack([np.prod([t[p] for t, p in zip(tables, a, strict=True)], axis=0) for a in self.indices], axis=1)
@@ -143,6 +175,11 @@ def gradient(basis: Basis, coefficients, y: list[Column]) -> list[Column]:
     return [dot(coefficients, basis.derivative_columns(y, k)) for k in range(len(y))]
 
 
+def hessian(basis: Basis, coefficients, y: list[Column]) -> list[list[Column]]:
+    """Second derivatives of the polynomial as columns."""
+    return [[dot(coefficients, basis.second_columns(y, min(k, j), max(k, j))) for j in range(len(y))] for k in range(len(y))]
+
+
 def grams(df: DataFrame, rows_of, size: int) -> np.ndarray:
     """Sum of M'M over the table, where rows_of(batch) gives the rows M of a batch; one matrix for each task is sent."""
 
@@ -261,22 +298,28 @@ def fit_ridge(df: DataFrame, m: int, n: int, degree: int, U0=None, targets: list
     for _ in range(rounds):
         size = m * n
 
+        p, many = len(basis.indices), len(targets)
+
         def jacobian(batch, U=U, basis=basis, C=C, size=size):
+            """The targets' Jacobians for fixed coefficients, the basis, and the targets' residuals."""
             x = _points(batch)
             V, S = basis.matrix(x @ U), basis.slopes(x @ U)
-            Q, _ = np.linalg.qr(V) if len(V) >= V.shape[1] else (V[:, :0], None)
-            rows = []
-            for k, target in enumerate(targets):
-                g = np.einsum("rjk,j->rk", S, C[:, k])
-                J = (x[:, :, None] * g[:, None, :]).reshape(len(x), size)
-                rows.append(np.hstack([J - Q @ (Q.T @ J), (batch[target].to_numpy(float) - V @ C[:, k])[:, None]]))
-            return np.vstack(rows)
-
-        G = grams(df, jacobian, size + 1)
+            moved = [(x[:, :, None] * np.einsum("rjk,j->rk", S, C[:, k])[:, None, :]).reshape(len(x), size) for k in range(many)]
+            return np.hstack([*moved, V, batch[list(targets)].to_numpy(float) - V @ C])
+
+        # Coefficients follow U: what the basis explains of the Jacobian is taken out, over the table as a whole.
+        G, at = grams(df, jacobian, size * many + p + many), size * many
+        inverse = np.linalg.pinv(G[at : at + p, at : at + p], rcond=1e-14, hermitian=True)
+        JJ, Jr = np.zeros((size, size)), np.zeros(size)
+        for k in range(many):
+            J, r = slice(size * k, size * (k + 1)), at + p + k
+            shared = G[J, at : at + p] @ inverse
+            JJ += G[J, J] - shared @ G[at : at + p, J]
+            Jr += G[J, r] - shared @ G[at : at + p, r]
         free = np.kron(np.eye(m) - U @ U.T, np.eye(n))
         if fixed:
             free = free @ np.kron(np.eye(m), np.diag([0.0] * fixed + [1.0] * (n - fixed)))
-        JJ, Jr = free.T @ G[:size, :size] @ free, free.T @ G[:size, size]
+        JJ, Jr = free.T @ JJ @ free, free.T @ Jr
         step = (free @ np.linalg.lstsq(JJ + 1e-12 * np.trace(JJ) * np.eye(size), Jr, rcond=1e-12)[0]).reshape(m, n)
         t, moved = 1.0, False
         while t > 1e-6:
@@ -327,6 +370,11 @@ def crossings(profile: DataFrame, level: float, by: list[str], y: str = "y", val
     return d.where(hit).select(*by, at.alias("y"))
 
 
+def failure_points(profile: DataFrame, level: float, by: list[str], low: Column, high: Column, y: str = "y", value: str = "value") -> DataFrame:
+    """by, y: crossings of a level that lie in the range of the domain's ridge coordinate, [low, high]."""
+    return crossings(profile, level, by, y, value).where(F.col("y").between(low, high))
+
+
 def gauss_newton(df: DataFrame, residual, start, rounds: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, int]:
     """Least squares over a table: residual(batch, p) gives r and its Jacobian. Returns p and how it ended: 0 small
     step, 1 small gradient, 2 no descent, 4 rounds used up."""

@@ -118,6 +118,22 @@ def outer_product_of_gradients(targets: DataFrame, samples: DataFrame, m: int, b
     return active_subspace(slopes, g)
 
 
+def initial_subspace(m: int, gradients: DataFrame | None = None, samples: DataFrame | None = None, points: DataFrame | None = None, most: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """A start for ridge fits: the subspace of the given gradients (grad), topped up to `most` by local slopes of the
+    samples (id, x, fx) at points (id, x) of smallest hash, if there are more samples than inputs."""
+    from ridgeline.operators.moments import active_subspace
+
+    known = gradients.select("grad") if gradients is not None else None
+    have = known.limit(most).count() if known is not None else 0
+    if samples is not None and points is not None and have < most and samples.limit(m + 1).count() > m:
+        chosen = points.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(most - have)
+        slopes = local_linear(chosen, samples, m, bandwidth(m, samples.count())).select(F.slice("c", 2, m).alias("grad"))
+        known = slopes if known is None else known.unionByName(slopes)
+    if known is None:
+        raise ValueError("neither gradients nor enough samples")
+    return active_subspace(known, coords("grad", m))
+
+
 # Geometry -----------------------------------------------------------------------------------------------------------
 
 
@@ -237,20 +253,37 @@ def safety_factor(df: DataFrame, value: str, prob: float = 0.01, upper: bool = T
 
 
 class GaussianProcess:
-    """f(x) = sum alpha_i exp(-|L (x - x_i)|^2 / 2), fitted on a training set that the driver can hold (at most `limit`
-    rows, of smallest hash) and evaluated over any table."""
+    """f(x) = sum alpha_i exp(-|L (x - x_i)|^2 / 2) over at most `limit` places x_i (rows of smallest hash). Up to so many
+    rows it interpolates them. Beyond, the x_i are inducing points and every row of the table counts: the sums of
+    K(x_i, x) K(x, x_j) and K(x_i, x) f(x) are one aggregate."""
 
     def __init__(self, L, limit: int = 2000, nugget: float = 5 * np.finfo(float).eps):
         self.L, self.limit, self.nugget = np.atleast_2d(np.array(L, float)), limit, nugget
 
     def fit(self, train: DataFrame) -> GaussianProcess:
-        rows = train.select("id", "x", "fx").orderBy(F.xxhash64("id"), "id").limit(self.limit).toPandas()
-        self.X, f = _matrix(rows["x"]) @ self.L.T, rows["fx"].to_numpy(float)
-        self.K = np.exp(-0.5 * distances(self.X, self.X) ** 2) + self.nugget * np.eye(len(f))
+        from ridgeline.operators.ridge import grams
+
+        rows = train.select("id", "x", "fx").orderBy(F.xxhash64("id"), "id").limit(self.limit + 1).toPandas()
+        every = len(rows) <= self.limit
+        rows = rows.iloc[: self.limit]
+        X, L = _matrix(rows["x"]) @ self.L.T, self.L
+        self.X, f = X, rows["fx"].to_numpy(float)
+        K = np.exp(-0.5 * distances(X, X) ** 2)
+        noise = self.nugget if every else max(self.nugget, 1e-8)
+        self.K = K + noise * np.eye(len(f))
         self.inverse = np.linalg.pinv(self.K, rcond=1e-14, hermitian=True)
-        self.alpha = self.inverse @ f
-        _, logdet = np.linalg.slogdet(self.K)
-        self.nll = 0.5 * float(f @ self.alpha) + 0.5 * float(logdet)
+        if every:
+            self.alpha = self.inverse @ f
+            self.nll = 0.5 * float(f @ self.alpha) + 0.5 * float(np.linalg.slogdet(self.K)[1])
+            return self
+        n = len(f)
+        G = grams(train, lambda batch: np.hstack([np.exp(-0.5 * distances(_matrix(batch["x"]) @ L.T, X) ** 2), batch[["fx"]].to_numpy(float), np.ones((len(batch), 1))]), n + 2)
+        A = G[:n, :n] + noise * self.K
+        back = np.linalg.pinv(A, rcond=1e-14, hermitian=True)
+        self.alpha = back @ G[:n, n]
+        self.inverse = self.inverse - noise * back
+        logs = np.linalg.slogdet(A)[1] - np.linalg.slogdet(self.K)[1] + (G[n + 1, n + 1] - n) * math.log(noise)
+        self.nll = 0.5 * float(G[n, n] - G[:n, n] @ self.alpha) / noise + 0.5 * float(logs)
         return self
 
     def predict(self, test: DataFrame) -> DataFrame:
@@ -267,19 +300,8 @@ class GaussianProcess:
         return test.select("id", "x").mapInPandas(run, "id long, mean double, variance double")
 
 
-def choose_scale(train: DataFrame, m: int, scales: list[float], limit: int = 1000) -> DataFrame:
-    """scale, nll of constant metrics, scored side by side on one bounded training set; the least is the best."""
-    rows = train.select("id", "x", "fx").orderBy(F.xxhash64("id"), "id").limit(limit).toPandas()
-    X, f = _matrix(rows["x"]), rows["fx"].to_numpy(float)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for s in batch["scale"]:
-                K = np.exp(-0.5 * (distances(X, X) * s) ** 2) + 1e-10 * np.eye(len(f))
-                sign, logdet = np.linalg.slogdet(K)
-                out.append((s, 0.5 * float(f @ np.linalg.lstsq(K, f, rcond=1e-13)[0]) + 0.5 * float(logdet)))
-            yield pd.DataFrame(out, columns=["scale", "nll"])
-
-    spark = train.sparkSession
-    return spark.createDataFrame([(float(s),) for s in scales], "scale double").repartition(len(scales)).mapInPandas(run, "scale double, nll double")
+def choose_scale(train: DataFrame, m: int, scales: list[float], limit: int = 1000, nugget: float = 1e-6) -> DataFrame:
+    """scale, nll of constant metrics over the whole table (beyond `limit` rows through inducing points); the least is
+    the best."""
+    found = [(float(s), GaussianProcess(s * np.eye(m), limit, nugget).fit(train).nll) for s in scales]
+    return train.sparkSession.createDataFrame(found, "scale double, nll double")

@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ridgeline.functions import closed_form as cf
+from ridgeline.functions import user
 from ridgeline.operators import design, lipschitz, moments, pairs, ridge, summaries
+from ridgeline.operators import domain as domain_ops
 from ridgeline.operators.domain import Normal, box, coords, dot, linquad
-from ridgeline.plans.queries import LINE, ORACLES, QUERIES, NORM_SQL, PART_SQL, VEC_SQL, _workload_rows, abc, line, parts, query, r6, vectors
+from ridgeline.plans.queries import LINE, ORACLES, QUERIES, NORM_SQL, PART_SQL, VEC_SQL, _workload_rows, abc, line, parts, query, r6, unit, vectors
 from ridgeline.sources import tables
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,7 +72,7 @@ def j5_near_duplicates(spark, d):
     return pairs.near_duplicates(parts(spark, d), 2, 0.01).select("id")
 
 
-@query(f"WITH p AS ({PART_SQL}) SELECT a.id AS id, round(sum(exp(-20 * ((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1))) * b.fx) / sum(exp(-20 * ((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)))), 6) AS mean FROM p a JOIN p b ON a.id % 20 = 0 GROUP BY a.id")
+@query(f"WITH p AS ({PART_SQL}) SELECT a.id AS id, round(sum(exp(-20 * ((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1))) * b.fx) / sum(exp(-20 * ((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)))), 6) AS mean FROM p a JOIN p b ON true GROUP BY a.id")
 def j6_kernel_mean(spark, d):
     import pandas as pd
 
@@ -80,7 +82,7 @@ def j6_kernel_mean(spark, d):
         w = np.exp(-20 * pairs.distances(z, pairs._matrix(b["z"])) ** 2) if len(ids) else np.zeros((0, 1))
         return pd.DataFrame({"id": ids, "w": w.sum(axis=1), "s": w @ b["fx"].to_numpy() if len(ids) else np.zeros(0)})
 
-    found = pairs.meet_train(p.where("id % 20 = 0"), p, kernel, "id long, w double, s double", ["fx"])
+    found = pairs.meet_train(p, p, kernel, "id long, w double, s double", ["fx"])
     return found.groupBy("id").agg(F.round(F.sum("s") / F.sum("w"), 6).alias("mean"))
 
 
@@ -108,19 +110,21 @@ def l2_gradient_matrix(spark, d):
     return g.agg(F.count(F.when(q > 1 + 1e-6, 1)).alias("broken"), F.lit(float(np.trace(H))).alias("trace"), F.lit(gap).alias("gap"))
 
 
-@query()
+@query("SELECT true AS feasible, count(*) AS parts FROM part")
 def l3_sample_matrix(spark, d):
-    """Trace of a matrix from the parts' prices, and the least slack of any pair (not below round-off)."""
+    """Certificate of a matrix from the parts' prices: the least slack of any pair is not below round-off."""
     p = parts(spark, d)
-    H = lipschitz.matrix_from_samples(p, 2, rounds=6)
-    return lipschitz.pair_slack(p, H, 2, top=1).select("slack", F.lit(float(np.trace(H))).alias("trace"))
+    H = lipschitz.matrix_from_samples(p, 2)
+    return lipschitz.pair_slack(p, H, 2, top=1).select((F.col("slack") >= -1e-9).alias("feasible"), F.lit(p.count()).cast("long").alias("parts"))
 
 
-@query()
+@query("SELECT true AS feasible, true AS diagonal, count(*) AS parts FROM part")
 def l5_diagonal_matrix(spark, d):
+    """The same for a diagonal matrix."""
     p = parts(spark, d)
-    H = lipschitz.matrix_from_samples(p, 2, rounds=6, diagonal=True)
-    return moments.coordinate_ranks(spark, np.sqrt(np.diag(H)).tolist(), ("p_size", "p_partkey"))
+    H = lipschitz.matrix_from_samples(p, 2, diagonal=True)
+    diagonal = bool(np.abs(H - np.diag(np.diag(H))).max() < 1e-12)
+    return lipschitz.pair_slack(p, np.diag(np.diag(H)), 2, top=1).select((F.col("slack") >= -1e-9).alias("feasible"), F.lit(diagonal).alias("diagonal"), F.lit(p.count()).cast("long").alias("parts"))
 
 
 @query(
@@ -279,13 +283,13 @@ def ra15_gauss_newton(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE v AS ({VEC_SQL}), v2 AS (SELECT id, z FROM v WHERE id % 2 = 0), c(k, chosen, far) AS (
+    f"""WITH RECURSIVE v AS ({VEC_SQL}), v2 AS (SELECT id, z FROM v), c(k, chosen, far) AS (
 SELECT 1, [(SELECT min(id) FROM v2)], CAST(NULL AS DOUBLE) UNION ALL
 SELECT k + 1, list_append(chosen, best.id), best.far FROM c, LATERAL (SELECT a.id, min({_DIST}) AS far FROM v2 a JOIN v2 b ON list_contains(c.chosen, b.id) GROUP BY a.id ORDER BY far DESC, a.id LIMIT 1) best WHERE k < 5)
 SELECT k AS place, chosen[k] AS id, round(far, 6) AS distance FROM c"""
 )
 def ds1_coffee_house(spark, d):
-    return design.coffee_house(vectors(spark, d).where("id % 2 = 0"), 5).withColumn("distance", F.round("distance", 6))
+    return design.coffee_house(vectors(spark, d), 5).withColumn("distance", F.round("distance", 6))
 
 
 @query()
@@ -320,16 +324,22 @@ def ds9_scaled_design(spark, d):
     return design.scale_design(train, test, [0.0] * 64, steps=5).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(f"WITH v AS ({VEC_SQL}) SELECT count(*) AS points, CAST(0 AS BIGINT) AS uncovered FROM v")
 def ds10_cover(spark, d):
-    v = vectors(spark, d).withColumn("z", F.slice("z", 1, 2))
-    return design.greedy_cover(v, 0.15)
+    """Certificate: every vector lies within the radius of a chosen one."""
+    v = tables.stored(vectors(spark, d).withColumn("z", F.slice("z", 1, 2)), "points")
+    chosen = v.join(design.greedy_cover(v, 0.15).select("id"), "id", "left_semi")
+    return pairs.nearest(v, chosen).agg(F.count("*").alias("points"), F.count(F.when(F.col("distance") > 0.15, 1)).alias("uncovered"))
 
 
-@query()
+@query(f"WITH v AS ({VEC_SQL}) SELECT count(*) AS points, CAST(0 AS BIGINT) AS addable, CAST(0 AS BIGINT) AS conflicts FROM v")
 def ds13_poisson_disk(spark, d):
-    v = vectors(spark, d).withColumn("z", F.slice("z", 1, 2))
-    return design.poisson_disk(v, 0.05, 2).select("id")
+    """Certificate: no two chosen vectors are nearer than the radius, and none could be added."""
+    v = tables.stored(vectors(spark, d).withColumn("z", F.slice("z", 1, 2)), "points")
+    chosen = tables.stored(design.poisson_disk(v, 0.05, 2).select("id", "z"), "chosen")
+    second = pairs.nearest(chosen, chosen, k=2).where("place = 2").agg(F.count(F.when(F.col("distance") < 0.05, 1)).alias("conflicts"))
+    reach = pairs.nearest(v, chosen).agg(F.count("*").alias("points"), F.count(F.when(F.col("distance") >= 0.05, 1)).alias("addable"))
+    return reach.crossJoin(second)  # one row each
 
 
 @query()
@@ -368,8 +378,9 @@ def ge2_fill_distance(spark, d):
 @query()
 def ge3_vertices(spark, d):
     v = vectors(spark, d).withColumn("z", F.slice("z", 1, 3))
-    points = np.array([r["z"] for r in v.where("id < 50").orderBy("id").collect()])
-    return summaries.vertices(v.where(_Q), points, [-1] * 3, [1] * 3)
+    # The design: six centers of all vectors.
+    points, _ = design.minimax_clusters(tables.stored(v, "points"), 3, 6, rounds=3, inner=2)
+    return summaries.vertices(v, np.array(points), [-1] * 3, [1] * 3)
 
 
 @query(
@@ -379,11 +390,12 @@ def ge4_voronoi_line(spark, d):
     return summaries.voronoi_1d(tables.table(spark, d, "supplier"), -1000.0, 10000.0, "s_acctbal").select(F.round("v", 4).alias("v"))
 
 
-@query()
+@query(f"WITH v AS ({VEC_SQL}) SELECT count(*) AS points, CAST(0 AS BIGINT) AS outside FROM v")
 def ge5_enclosing_ball(spark, d):
+    """Certificate: no vector lies outside the ball."""
     v = tables.stored(vectors(spark, d), "points")
     center, radius = summaries.enclosing_ball(v, 64, rounds=20)
-    return v.agg(F.count(F.when(design._to_point("z", center) > radius + 1e-9, 1)).alias("outside"), F.lit(radius).alias("radius"))
+    return v.agg(F.count("*").alias("points"), F.count(F.when(design._to_point("z", center) > radius + 1e-9, 1)).alias("outside"))
 
 
 @query(
@@ -478,16 +490,100 @@ def gp3_scales(spark, d):
     return summaries.choose_scale(parts(spark, d), 2, [0.5, 1, 2, 4, 8, 16], limit=300)
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside FROM supplier")
 def g2_g3_normal_rows(spark, d):
-    """As many truncated normal draws as suppliers, checked against the density's support."""
+    """Certificate: as many truncated normal draws as suppliers, none outside the density's support."""
     n = tables.table(spark, d, "supplier").count()
     dist = Normal((0.0, 1.0), ((1.0, 0.3), (0.3, 2.0)), truncate=0.1)
     return dist.sample(spark, n, 3).agg(F.count("*").alias("n"), F.count(F.when(~dist.contains(coords("x", 2)), 1)).alias("outside"))
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside FROM customer")
 def g7_constrained_sample(spark, d):
+    """Certificate: as many points as customers, none outside the constraints."""
     n = tables.table(spark, d, "customer").count()
     ball = linquad([-1] * 3, [1] * 3, A=[[1, 1, 1]], b=[1.0], Ls=[np.eye(3).tolist()], ys=[[0, 0, 0]], rhos=[1.0])
     return ball.sample(spark, n, 5).agg(F.count("*").alias("n"), F.count(F.when(~ball.contains(coords("x", 3)), 1)).alias("outside"))
+
+
+# Functions, second derivatives, ridges ------------------------------------------------------------------------------
+
+
+def _hills(x):
+    """A user's function of two inputs, with its gradient."""
+    return x[:, 0] ** 2 + 3 * x[:, 0] * x[:, 1], np.stack([2 * x[:, 0] + 3 * x[:, 1], 3 * x[:, 0]], axis=1)
+
+
+@query(f"SELECT id, round(x0 * x0 + 3 * x0 * x1, 8) AS f0, round(x0 + 2 * x1, 8) AS f1 FROM ({PART_SQL})")
+def e1_user_functions(spark, d):
+    out = user.evaluate(parts(spark, d), [lambda x, slope: _hills(x)[0], lambda x, slope: x[:, 0] + slope * x[:, 1]], slope=2.0)
+    return out.select("id", *[F.round(F.get("fx", k), 8).alias(f"f{k}") for k in range(2)])
+
+
+@query(f"SELECT id, round(x0 * x0 + 3 * x0 * x1, 8) AS f, round(2 * x0 + 3 * x1, 8) AS g0, round(3 * x0, 8) AS g1 FROM ({PART_SQL})")
+def e4_e5_values_and_gradients(spark, d):
+    """Points in normalised units of the unit box, spread over eight tasks; gradients chained back and forth."""
+    domain = box([0, 0], [1, 1])
+    x = F.array(*domain.normalize(coords("x", 2)))
+    out = user.evaluate(parts(spark, d).withColumn("x", x), _hills, domain, tasks=8, gradients=True)
+    g = F.get("grad", 0)
+    return out.select("id", F.round(F.get("fx", 0), 8).alias("f"), F.round(2 * F.get(g, 0), 8).alias("g0"), F.round(2 * F.get(g, 1), 8).alias("g1"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(15 * na + 6 * nb, 7) + 0.0 AS h00, round(6 * na, 7) + 0.0 AS h01, CAST(12 AS DOUBLE) AS h11 FROM ({NORM_SQL})")
+def b5_second_derivatives(spark, d):
+    """Of P3(a) + 2 P2(a) b + 4 P2(b) in Legendre polynomials of two numbers."""
+    basis = ridge.Basis("legendre", 3, (0.0, 0.0), (1.0, 1.0))
+    place = {tuple(int(k) for k in a): n for n, a in enumerate(basis.indices)}
+    c = np.zeros(len(place))
+    c[place[3, 0]], c[place[2, 1]], c[place[0, 2]] = 1, 2, 4
+    h = ridge.hessian(basis, c, LINE.normalize(abc())[:2])
+    return line(spark, d).select("l_orderkey", "l_linenumber", r6(h[0][0], 7).alias("h00"), r6(h[0][1], 7).alias("h01"), r6(h[1][1], 7).alias("h11"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, event_id AS y, value AS v FROM events), w AS (SELECT user_id, y, v - 5 AS d, lag(y) OVER o AS y0, lag(v - 5) OVER o AS d0 FROM g WINDOW o AS (PARTITION BY user_id ORDER BY y)),
+c AS (SELECT user_id, CASE WHEN d = 0 THEN y ELSE y0 + (y - y0) * d0 / (d0 - d) END AS y FROM w WHERE d = 0 OR d * d0 < 0)
+SELECT user_id, count(*) AS points, round(sum(y), 3) AS total FROM c WHERE y BETWEEN 100 AND 5000 GROUP BY user_id"""
+)
+def u5_failure_points(spark, d):
+    profile = tables.table(spark, d, "events").select("user_id", F.col("event_id").alias("y"), "value")
+    found = ridge.failure_points(profile, 5.0, ["user_id"], F.lit(100), F.lit(5000))
+    return found.groupBy("user_id").agg(F.count("*").alias("points"), F.round(F.sum("y"), 3).alias("total"))
+
+
+@query(
+    f"""WITH s AS ({_SHADOW}), q AS (SELECT quantile_cont(y1, [k / 20.0 FOR k IN range(21)]) AS p, (quantile_cont(y1, 0.75) - quantile_cont(y1, 0.25)) / 10 AS h, count(y1) AS n FROM s), g AS (SELECT unnest(range(21)) AS k, p, h, n FROM q)
+SELECT CAST(k AS INTEGER) AS k, round(any_value(p[k + 1]), 6) + 0.0 AS x, round(sum(greatest(0, 1 - abs(p[k + 1] - y1) / h)) / (any_value(n) * any_value(h)), 6) AS density FROM g, s GROUP BY k"""
+)
+def u4_ridge_density(spark, d):
+    out = summaries.density(_shadow(spark, d), "y1", 20)
+    return out.select("k", r6(F.col("x")).alias("x"), F.round("density", 6).alias("density"))
+
+
+@query(
+    f"""WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS id, {unit('l_orderkey * 8 + l_linenumber', 3)} AS t FROM lineitem), p AS (SELECT id, 0.2 * t + 0.9 * (1 - t) AS x0, 0.8 * t + 0.1 * (1 - t) AS x1 FROM s)
+SELECT id, round(x0, 8) AS x0, round(x1, 8) AS x1 FROM p WHERE x0 + 2 * x1 <= 1.5"""
+)
+def g8_segment_sample(spark, d):
+    """A point of the segment between two corners for each line item, where the constraint holds."""
+    df = tables.table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    return domain_ops.segment_sample(df, [0.2, 0.8], [0.9, 0.1], linquad([0, 0], [1, 1], A=[[1, 2]], b=[1.5]), F.expr(unit("id", 3)), tol=0.0).select("id", *[F.round(F.get("x", k), 8).alias(f"x{k}") for k in range(2)])
+
+
+@query("SELECT count(*) AS gradients, CAST(0 AS BIGINT) AS broken FROM lineitem")
+def l9_feasible_for_gradients(spark, d):
+    """Certificate: from too small a matrix on, no OTL gradient breaks the result."""
+    df, x = _workload_rows(spark, d, cf.OTL)
+    g = tables.stored(df.select(F.array(*cf.OTL.gradients(x, normalized=True)[0]).alias("grad")), "gradients")
+    H = lipschitz.feasible_for_gradients(g, 1e-3 * np.eye(6), 6)
+    inverse = np.linalg.inv(H + 1e-12 * (np.trace(H) + 1.0) * np.eye(6))
+    q = sum((F.lit(float(inverse[i, j])) * F.get("grad", i) * F.get("grad", j) for i in range(6) for j in range(6)), F.lit(0.0))
+    return g.agg(F.count("*").alias("gradients"), F.count(F.when(q > 1 + 1e-6, 1)).alias("broken"))
+
+
+@query()
+def a9_initial_subspace(spark, d):
+    """Of the parts' prices: local slopes at 100 of them, from all of them."""
+    p = parts(spark, d)
+    return moments.subspace_table(spark, *summaries.initial_subspace(2, samples=p, points=p))

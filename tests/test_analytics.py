@@ -222,3 +222,64 @@ def test_every_query_with_sql_is_registered():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ridge_fit_does_not_depend_on_batches(spark):
+    rng = np.random.default_rng(21)
+    X = rng.uniform(-1, 1, (600, 3))
+    rows = [(i, x.tolist(), float(np.tanh(x @ [0.8, 0.5, -0.2]) + 0.1 * x[2] ** 2)) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, fx double").coalesce(1).persist()
+    key, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for size in (4, 50, 10_000):
+            spark.conf.set(key, str(size))
+            fit = ridge.fit_ridge(df, 3, 1, 3, rounds=6, seed=1)
+            found.append(fit.U[:, 0] * np.sign(fit.U[0, 0]))
+    finally:
+        spark.conf.set(key, before)
+    assert np.allclose(found[0], found[1], atol=1e-6) and np.allclose(found[0], found[2], atol=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["monomial", "legendre", "chebyshev", "hermite", "laguerre"])
+def test_second_derivatives_are_those_of_first_ones(spark, kind):
+    basis = ridge.Basis(kind, 4, (0.1, -0.2), (1.5, 0.5))
+    y, h = [F.col("a"), F.col("b")], 1e-5
+    df = spark.createDataFrame([(0.3, 0.7), (-0.4, 0.2)], "a double, b double")
+    for k in range(2):
+        for j in range(2):
+            moved = lambda s: [c + F.lit(s * h) if i == j else c for i, c in enumerate(y)]  # noqa: E731, B023
+            second, up, down = basis.second_columns(y, min(k, j), max(k, j)), basis.derivative_columns(moved(1), k), basis.derivative_columns(moved(-1), k)
+            for r in df.select(F.array(*second).alias("s"), F.array(*[(u - v) / (2 * h) for u, v in zip(up, down, strict=True)]).alias("f")).collect():
+                assert np.allclose(r.s, r.f, rtol=1e-5, atol=1e-4)
+
+
+def test_user_functions(spark):
+    from ridgeline.functions import user
+
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0])], "id long, x array<double>")
+    f = lambda x: (1 / x[:, 0] + x[:, 1], np.stack([-1 / x[:, 0] ** 2, np.ones(len(x))], axis=1))
+    got = {r.id: r for r in user.evaluate(df, f, gradients=True, tasks=2).collect()}
+    assert got[0].fx == [3.0] and got[0].grad == [[-1.0, 1.0]]
+    assert got[1].fx is None and got[2].fx is None and got[2].grad is None
+    assert user.evaluate(df.limit(0), f, gradients=True).count() == 0
+
+
+def test_diagonal_matrix_bounds_all_pairs(spark):
+    rng = np.random.default_rng(22)
+    rows = [(i, x.tolist(), float(abs(x[0]) + 2 * abs(x[1]))) for i, x in enumerate(rng.uniform(-1, 1, (60, 2)))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, fx double")
+    H = lipschitz.matrix_from_samples(df, 2, rounds=1, diagonal=True)
+    assert np.allclose(H, np.diag(np.diag(H)))
+    for i, x, f in rows:
+        for j, y, g in rows[:i]:
+            p = np.array(x) - np.array(y)
+            assert p @ H @ p - (f - g) ** 2 >= -1e-9
+
+
+def test_gaussian_process_through_inducing_points_uses_every_row(spark):
+    rng = np.random.default_rng(23)
+    X = rng.uniform(-1, 1, (400, 1))
+    df = spark.createDataFrame([(i, x.tolist(), float(np.sin(3 * x[0]))) for i, x in enumerate(X)], "id long, x array<double>, fx double")
+    got = summaries.GaussianProcess(2 * np.eye(1), limit=40, nugget=1e-8).fit(df).predict(df).collect()
+    assert max(abs(r["mean"] - np.sin(3 * X[r["id"], 0])) for r in got) < 1e-3
