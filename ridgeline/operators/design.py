@@ -77,6 +77,46 @@ def seq_maximin(candidates: dict[str, DataFrame] | DataFrame, design: DataFrame,
     return scored.where(F.col("score") >= slack * best).orderBy(F.desc("spread"), "id").limit(1)
 
 
+def batch_maximin(candidates: DataFrame, design: DataFrame, metrics: list[str], n: int, slack: float = 0.9) -> DataFrame:
+    """place, id of n further points, each by seq_maximin with the ones before it in the design, so all of them can be
+    evaluated at once. Ends early when every candidate lies on the design in some metric."""
+    spark, chosen = candidates.sparkSession, []
+    for place in range(1, n + 1):
+        found = seq_maximin(candidates, design, metrics, slack).collect()
+        if not found or not found[0]["score"] > 0:
+            break
+        chosen.append((place, found[0]["id"]))
+        # One row joins the design.
+        design = stored(design.unionByName(candidates.where(F.col("id") == found[0]["id"]).select(*design.columns)), "design")
+    return spark.createDataFrame(chosen, "place int, id long")
+
+
+def block_maximin(candidates: DataFrame, n: int, tol: float = 1e-9) -> DataFrame:
+    """place, id, distance: n candidates of which none can move to a candidate that is farther (by more than tol) from
+    the others; distance is the one to the nearest of these. From the greedy design on, the point that gains most moves
+    to the farthest candidate from the others. Each move raises the smallest of the distances that it changes, so the
+    moves end. One pass over the candidates a move, which returns n rows."""
+    spark = candidates.sparkSession
+    start = coffee_house(candidates, n).select("place", "id").join(candidates.select("id", "z"), "id").orderBy("place").collect()
+    ids, z = [r["id"] for r in start], np.array([r["z"] for r in start], float)
+    near = np.full(len(ids), np.inf)
+    while len(ids) > 1:
+        d = candidates.select("id", F.array(*[_to_point("z", p) for p in z]).alias("d"))
+        d = d.select("id", F.array_sort("d").alias("s"), (F.array_position("d", F.array_min("d")) - 1).alias("at"))
+        d = d.select("id", "at", F.get("s", 0).alias("first"), F.get("s", 1).alias("second"))
+        free = [F.when(F.col("at") == k, F.col("second")).otherwise(F.col("first")) for k in range(len(ids))]
+        row = d.agg(*[F.max(F.struct(c.alias("far"), (-F.col("id")).alias("neg"))).alias(f"k{k}") for k, c in enumerate(free)]).first()
+        apart = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)) + np.diag(np.full(len(ids), np.inf))
+        near = apart.min(axis=1)
+        gain = [row[f"k{k}"]["far"] - near[k] for k in range(len(ids))]
+        k = int(np.argmax(gain))
+        if gain[k] <= tol:
+            break
+        ids[k] = -row[f"k{k}"]["neg"]
+        z[k] = candidates.where(F.col("id") == ids[k]).select("z").first()["z"]
+    return spark.createDataFrame([(k + 1, i, None if math.isinf(x) else float(x)) for k, (i, x) in enumerate(zip(ids, near))], "place int, id long, distance double")
+
+
 def scale_design(candidates: DataFrame, design: DataFrame, center, low: float = 0.5, steps: int = 20) -> DataFrame:
     """alpha, distance: fill distances of the design shrunk toward a centre by each scale; the least is the best."""
     c = F.array(*[F.lit(float(v)) for v in center])

@@ -39,6 +39,72 @@ def lipschitz_constant(samples: DataFrame | None, m: int, gradients: DataFrame |
     return float(max(found))
 
 
+def nonlinearity(samples: DataFrame, m: int, tol: float = 1e-3, rounds: int = 50) -> tuple[float, np.ndarray, float]:
+    """The least Lipschitz constant of f - a'x over all a, divided by that of f (0 for affine data, 1 where no slope
+    helps; 0 for flat data), the best a, and the gap: how much smaller the share can be. samples: id, x, fx.
+
+    Each round looks at all pairs in blocks, every block returns its steepest one, and the driver solves the minimax
+    problem over the pairs so far. Their dual value is a lower bound; rounds go on until it is within tol of the share.
+    Raises if it isn't by then.
+    """
+    data = _with_z(samples, None)
+    rows = self_pairs(data, _steepest_pair(np.zeros(m)), "p array<double>, df double", ["fx"]).collect()
+    P, d = _scaled_pairs(rows, m)
+    whole = float(np.abs(d).max(initial=0.0))
+    if whole == 0:
+        return 0.0, np.zeros(m), 0.0
+    best, slope, low = whole, np.zeros(m), 0.0
+    for _ in range(rounds):
+        a, bound = _least_maximum(P, d, 0.1 * tol * whole)
+        low = max(low, bound)
+        rows = self_pairs(data, _steepest_pair(a), "p array<double>, df double", ["fx"]).collect()
+        Q, e = _scaled_pairs(rows, m)
+        steep = float(np.abs(e - Q @ a).max(initial=0.0))
+        if steep < best:
+            best, slope = steep, a
+        if best - low <= tol * whole:
+            return best / whole, slope, (best - low) / whole
+        P, d = np.vstack([P, Q]), np.concatenate([d, e])
+    raise RuntimeError(f"share {best / whole} is open by {(best - low) / whole} after {rounds} rounds")
+
+
+def _steepest_pair(a: np.ndarray):
+    """The pair of two blocks whose |df - a'dx| / |dx| is largest: dx and df."""
+
+    def kernel(left, right, same):
+        x, y = _matrix(left["z"]), _matrix(right["z"])
+        f, g = left["fx"].to_numpy(float), right["fx"].to_numpy(float)
+        d, r = distances(x, y), np.abs((f - x @ a)[:, None] - (g - y @ a)[None, :])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(d > 0, r / d, -1.0)
+        i, j = np.unravel_index(slope.argmax(), slope.shape)
+        if slope[i, j] < 0:
+            return pd.DataFrame({"p": [], "df": []})
+        return pd.DataFrame({"p": [x[i] - y[j]], "df": [f[i] - g[j]]})
+
+    return kernel
+
+
+def _scaled_pairs(rows, m: int) -> tuple[np.ndarray, np.ndarray]:
+    P = np.array([r["p"] for r in rows], float).reshape(-1, m)
+    length = np.linalg.norm(P, axis=1)
+    return P / length[:, None], np.array([r["df"] for r in rows], float) / length
+
+
+def _least_maximum(P: np.ndarray, d: np.ndarray, tol: float, rounds: int = 20_000) -> tuple[np.ndarray, float]:
+    """a that makes max |d - P a| small, and a lower bound of that maximum: with weights w of sum 1, the weighted
+    2-norm fit has a residual of sqrt(sum w r^2) at most the maximum of any fit. Lawson's weights."""
+    w, best, low = np.full(len(d), 1 / len(d)), (np.inf, np.zeros(P.shape[1])), 0.0
+    for _ in range(rounds):
+        a = np.linalg.lstsq(P * np.sqrt(w)[:, None], d * np.sqrt(w), rcond=None)[0]
+        r = np.abs(d - P @ a)
+        best, low = min(best, (float(r.max()), a), key=lambda t: t[0]), max(low, float(np.sqrt((w * r * r).sum())))
+        if best[0] - low <= tol or (w * r).sum() == 0:
+            break
+        w = w * r / (w * r).sum()
+    return best[1], low
+
+
 def _steepest(eps):
     def kernel(a, b, same):
         d, df = distances(_matrix(a["z"]), _matrix(b["z"])), np.abs(a["fx"].to_numpy()[:, None] - b["fx"].to_numpy()[None, :]) - eps

@@ -215,6 +215,73 @@ def least_squares(df: DataFrame, basis: Basis, U=None, weight: str | None = None
     return np.linalg.lstsq(G[:n, :n], G[:n, n], rcond=1e-14)[0]
 
 
+@dataclass(frozen=True)
+class OrthonormalBasis:
+    """A basis times an upper triangle: functions that are orthonormal on a table, by degree as in the basis."""
+
+    basis: Basis
+    triangle: np.ndarray
+
+    def columns(self, y: list[Column]) -> list[Column]:
+        return self._mixed(self.basis.columns(y))
+
+    def derivative_columns(self, y: list[Column], k: int) -> list[Column]:
+        return self._mixed(self.basis.derivative_columns(y, k))
+
+    def _mixed(self, columns):
+        return [dot(self.triangle[: n + 1, n], columns[: n + 1]) for n in range(len(columns))]
+
+    def matrix(self, y: np.ndarray) -> np.ndarray:
+        return self.basis.matrix(y) @ self.triangle
+
+
+def orthonormal_basis(df: DataFrame, basis: Basis, column: str = "x", tol: float = 1e-10, passes: int = 8) -> OrthonormalBasis:
+    """The functions whose sums of products over the table are 1 for equal ones and 0 for others. Each pass adds up the
+    Gram matrix of the functions so far and divides by its Cholesky factor, the first ones shifted so that they exist for
+    ill-conditioned bases; passes go on until the matrix is the identity within tol. Raises if that isn't reached, as
+    for tables of fewer different rows than functions."""
+    n = len(basis.indices)
+    found = OrthonormalBasis(basis, np.eye(n))
+    for _ in range(passes):
+        now = found
+        G = grams(df, lambda batch: now.matrix(_points(batch, column)), n)
+        if np.abs(G - np.eye(n)).max() <= tol:
+            return found
+        shift = 0.0
+        while True:
+            try:
+                R = np.linalg.cholesky(G + shift * np.eye(n)).T
+                break
+            except np.linalg.LinAlgError:
+                shift = max(100 * shift, 1e-15 * np.trace(G))
+                if shift > np.trace(G) or not np.isfinite(G).all():
+                    raise ValueError("the functions are not independent on these rows") from None
+        found = OrthonormalBasis(basis, found.triangle @ np.linalg.inv(R))
+    raise ValueError("the functions are not independent on these rows")
+
+
+def orthonormal_fit(df: DataFrame, basis: OrthonormalBasis, column: str = "x", target: str = "fx") -> np.ndarray:
+    """Coefficients of the 2-norm fit: sums of the target times each function, one pass."""
+    n = len(basis.basis.indices)
+    return grams(df, lambda batch: np.hstack([basis.matrix(_points(batch, column)), batch[target].to_numpy(float)[:, None]]), n + 1)[:n, n]
+
+
+def hessian_audit(df: DataFrame, f, second, x: list[Column], steps: list[float]) -> DataFrame:
+    """step, i, j, worst: the largest difference of the four-point stencil of f from second(x)[i][j] over all rows, for
+    each step and i <= j. f and second make columns of coordinate columns."""
+    m, df = len(x), df.select(F.array(*x).alias("_x"))
+    x, out = coords("_x", m), []
+    exact = second(x)
+    for n, h in enumerate(steps):
+        for i in range(m):
+            for j in range(i, m):
+                at = lambda a, b: f([c + F.lit(h * (a * (k == i) + b * (k == j))) for k, c in enumerate(x)])  # noqa: B023, E731
+                stencil = (at(1, 1) - at(1, -1) - at(-1, 1) + at(-1, -1)) / F.lit(4 * h * h)
+                out.append((n, h, i, j, F.max(F.abs(stencil - exact[i][j])).alias(f"e{n}_{i}_{j}")))
+    worst = df.agg(*[e for *_, e in out])
+    return worst.select(F.inline(F.array(*[F.struct(F.lit(h).alias("step"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"e{n}_{i}_{j}").alias("worst")) for n, h, i, j, _ in out])))
+
+
 def reweighted_fit(df: DataFrame, basis: Basis, norm: float, rounds: int = 30, bound: str | None = None) -> np.ndarray:
     """1-norm (weights 1 / |r|) or sup-norm (Lawson: weights w |r|) fit by weighted rounds; with bound "lower" or
     "upper" the constant is then moved until the polynomial stays below or above all rows. df: id, x, fx."""

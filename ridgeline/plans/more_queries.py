@@ -587,3 +587,58 @@ def a9_initial_subspace(spark, d):
     """Of the parts' prices: local slopes at 100 of them, from all of them."""
     p = parts(spark, d)
     return moments.subspace_table(spark, *summaries.initial_subspace(2, samples=p, points=p))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS total FROM range(21) a(i), range(21) b(j) WHERE i <= j")
+def b7_orthonormal_sums(spark, d):
+    """Certificate: sums of products over all parts of functions up to degree 5, from monomials."""
+    p = tables.stored(parts(spark, d), "parts")
+    q = ridge.orthonormal_basis(p, ridge.scaled_basis(p, coords("x", 2), 5, "monomial")).columns(coords("x", 2))
+    return moments.outer_sums(p.select(F.array(*q).alias("q")), coords("q", len(q)), F.lit(1.0)).select("i", "j", r6(F.col("value"), 8).alias("total"))
+
+
+@query(f"SELECT id, round(x0 * x0 * x1 + 3 * x0 - 2, 6) + 0.0 AS f, round(2 * x0 * x1 + 3, 6) + 0.0 AS g0 FROM ({PART_SQL})")
+def b8_orthonormal_fit(spark, d):
+    """A cubic, fitted in functions that are orthonormal on the parts, and its derivative."""
+    x = coords("x", 2)
+    p = tables.stored(parts(spark, d).withColumn("fx", x[0] * x[0] * x[1] + 3 * x[0] - 2), "parts")
+    basis = ridge.orthonormal_basis(p, ridge.scaled_basis(p, x, 4))
+    c = ridge.orthonormal_fit(p, basis)
+    return p.select("id", r6(dot(c, basis.columns(x))).alias("f"), r6(dot(c, basis.derivative_columns(x, 0))).alias("g0"))
+
+
+@query("SELECT * FROM (VALUES (0, 0), (0, 1), (1, 1)) t(i, j), (SELECT true AS near)")
+def e7_second_derivative_audit(spark, d):
+    """Of a cubic of two scaled numbers of all line items: whether its best step of ten is near."""
+    f = lambda y: y[0] * y[0] * y[1] + F.sin(y[1])
+    second = lambda y: [[2 * y[1], 2 * y[0]], [2 * y[0], -F.sin(y[1])]]
+    found = ridge.hessian_audit(line(spark, d), f, second, LINE.normalize(abc())[:2], [10.0 ** -(k / 2) for k in range(2, 12)])
+    return found.groupBy("i", "j").agg((F.min("worst") < 1e-5).alias("near"))
+
+
+@query(f"WITH p AS ({PART_SQL}) SELECT count(*) AS samples, true AS within, true AS closed FROM p")
+def ra17_nonlinearity(spark, d):
+    """Certificate: the share is in [0, 1], and the constant left by the slope found is that share of the whole."""
+    p = parts(spark, d)
+    share, a, gap = lipschitz.nonlinearity(p, 2, tol=1e-2)
+    x, whole = coords("x", 2), lipschitz.lipschitz_constant(p, 2)
+    left = lipschitz.lipschitz_constant(p.withColumn("fx", F.col("fx") - dot(a, x)), 2)
+    return p.agg(F.count("*").alias("samples")).select("samples", F.lit(bool(0 <= share <= 1 + 1e-9)).alias("within"), F.lit(bool(abs(left - share * whole) <= 1e-6 * whole and gap <= 1e-2)).alias("closed"))
+
+
+@query("SELECT 6::BIGINT AS points, 0::BIGINT AS movable")
+def ds2_block_maximin(spark, d):
+    """Certificate: how many of 6 vectors have a vector that is farther from the other ones."""
+    v = tables.stored(vectors(spark, d), "vectors")
+    found = design.block_maximin(v, 6)
+    chosen = found.join(v, "id").select("id", "z")
+    movable = 0
+    for r in found.collect():  # 6 rows
+        movable += int(design.fill_distance(v, chosen.where(F.col("id") != r["id"])).first()["distance"] > r["distance"] + 1e-6)
+    return found.agg(F.count("*").alias("points")).select("points", F.lit(movable).cast("long").alias("movable"))
+
+
+@query()
+def ds4_batch_design(spark, d):
+    v = tables.stored(vectors(spark, d).withColumn("first", F.slice("z", 1, 2)).withColumn("second", F.slice("z", 3, 2)), "vectors")
+    return design.batch_maximin(v.where(_T), v.where(_Q), ["first", "second"], 3)

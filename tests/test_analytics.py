@@ -283,3 +283,52 @@ def test_gaussian_process_through_inducing_points_uses_every_row(spark):
     df = spark.createDataFrame([(i, x.tolist(), float(np.sin(3 * x[0]))) for i, x in enumerate(X)], "id long, x array<double>, fx double")
     got = summaries.GaussianProcess(2 * np.eye(1), limit=40, nugget=1e-8).fit(df).predict(df).collect()
     assert max(abs(r["mean"] - np.sin(3 * X[r["id"], 0])) for r in got) < 1e-3
+
+
+def test_orthonormal_basis_of_high_degree(spark):
+    rng = np.random.default_rng(24)
+    X = rng.uniform(-1, 1, (300, 1))
+    df = spark.createDataFrame([(i, x.tolist(), float(np.exp(x[0]))) for i, x in enumerate(X)], "id long, x array<double>, fx double")
+    basis = ridge.orthonormal_basis(df, ridge.Basis("monomial", 18, (0.0,), (1.0,)))
+    assert np.allclose(basis.matrix(X).T @ basis.matrix(X), np.eye(19), atol=1e-9)
+    fit = basis.matrix(X) @ ridge.orthonormal_fit(df, basis)
+    assert np.abs(fit - np.exp(X[:, 0])).max() < 1e-9
+    with pytest.raises(ValueError, match="independent"):
+        ridge.orthonormal_basis(df.limit(3), ridge.Basis("monomial", 5, (0.0,), (1.0,)))
+
+
+def test_hessian_audit_finds_a_wrong_entry(spark):
+    df = spark.createDataFrame([(0.1, 0.2), (-0.4, 0.3)], "a double, b double")
+    f = lambda y: y[0] * y[0] * y[1]
+    second = lambda y: [[2 * y[1], y[0]], [y[0], F.lit(0.0)]]
+    got = ridge.hessian_audit(df, f, second, [F.col("a"), F.col("b")], [1e-2, 1e-3]).groupBy("i", "j").agg(F.min("worst").alias("w")).collect()
+    assert {(r.i, r.j): r.w < 1e-6 for r in got} == {(0, 0): True, (0, 1): False, (1, 1): True}
+
+
+def test_nonlinearity_of_affine_and_of_bent_data(spark):
+    X = np.random.default_rng(25).uniform(-1, 1, (40, 2))
+    share = lambda f: lipschitz.nonlinearity(frame(spark, X, [float(f(x)) for x in X]), 2)
+    found, a, gap = share(lambda x: 3 * x[0] - x[1] + 5)
+    assert found <= gap <= 1e-3 and np.allclose(a, [3, -1], atol=1e-2)
+    assert share(lambda x: 7.0)[0] == 0
+    found, a, gap = share(lambda x: 2 * x[0] + np.sin(3 * x[1]))
+    assert 0.3 < found < 1 and gap <= 1e-3
+
+
+def test_exchanged_design_cannot_be_improved_by_one_move(spark):
+    X = np.random.default_rng(26).uniform(0, 1, (150, 2))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, z array<double>")
+    got = design.block_maximin(df, 5).orderBy("place").collect()
+    ids = [r.id for r in got]
+    for r in got:
+        others = X[[i for i in ids if i != r.id]]
+        far = np.sqrt(((X[:, None] - others[None]) ** 2).sum(axis=2)).min(axis=1)
+        assert far.max() <= r.distance + 1e-8 and far[r.id] == pytest.approx(r.distance)
+    assert design.block_maximin(df, 1).count() == 1
+
+
+def test_batch_design_has_different_points(spark):
+    X = np.random.default_rng(27).uniform(0, 1, (60, 2))
+    df = spark.createDataFrame([(i, x.tolist(), [float(x[0])]) for i, x in enumerate(X)], "id long, z array<double>, first array<double>")
+    got = [r.id for r in design.batch_maximin(df.where("id >= 5"), df.where("id < 5"), ["first"], 3).orderBy("place").collect()]
+    assert len(set(got)) == 3 and min(got) >= 5
