@@ -247,6 +247,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("b").alias("row"), F.col("b").alias("label")).distinct())
 
 
+def _with_links(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels (row, label) with further links (a, b): components of the classes that these join, so that links of
+    earlier rounds aren't read again."""
+    of = lambda c: labels.select(F.col("row").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    merged = components(ends)
+    moved = labels.join(merged.select(F.col("row").alias("label"), F.col("label").alias("to")), "label", "left").select("row", F.coalesce("to", "label").alias("label"))
+    return stored(moved.unionByName(merged.join(labels.select("row"), "row", "left_anti")), "labels")
+
+
 def _admissible(a_size, b_size, a_at, b_at, percent: int):
     """Whether a and b can link with this shingle as their first common one: sizes are near enough, it stands in the
     shorter index prefix of the smaller set, and enough shingles follow in both. (Each pair that links meets at its
@@ -386,8 +396,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             more = stored(more.unionByName(open_.where("sure").select("a", "b")), "links")
             joined = bool(more.limit(1).count())
         if joined:
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = _with_links(labels, more)
         if turn is None:
             break
         turn = turn + 1 if joined and turn + 1 < ROUNDS else None

@@ -209,3 +209,13 @@ def test_url_rules_of_long_hosts_and_of_too_many_shapes(spark, monkeypatch):
     monkeypatch.setattr(urls, "SHAPES", 1)
     with pytest.raises(ValueError, match="shapes"):
         urls.judge_urls(pages, rules)
+
+
+def test_further_links_join_classes(spark):
+    rng = random.Random(19)
+    edges = [tuple(rng.sample(range(400), 2)) for _ in range(300)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    labels = join.components(frame(edges[:120]))
+    for k in (120, 130, 250):
+        labels = join._with_links(labels, frame(edges[k : {120: 130, 130: 250, 250: 300}[k]]))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, join.components(frame(edges)).collect()))
