@@ -48,6 +48,14 @@ def coffee_house(candidates: DataFrame, n: int, start: DataFrame | None = None)
     return spark.createDataFrame(chosen, "place int, id long, distance double")
 
 
+def spread_on_sphere(directions: DataFrame, n: int) -> DataFrame:
+    """place, id, distance: n directions that are far apart on the unit sphere, chosen greedily from rows of any length
+    other than 0. directions: id, z."""
+    length = F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, v: s + v * v))
+    unit = directions.withColumn("_length", length).where("_length > 0").select("id", F.transform("z", lambda v: v / F.col("_length")).alias("z"))
+    return coffee_house(stored(unit, "directions"), n)
+
+
 def min_distance(candidates: DataFrame, design: DataFrame) -> DataFrame:
     """id, distance to the nearest row of the design."""
     return nearest(candidates, design).select("id", "distance")
@@ -77,6 +85,29 @@ def seq_maximin(candidates: dict[str, DataFrame] | DataFrame, design: DataFrame,
     return scored.where(F.col("score") >= slack * best).orderBy(F.desc("spread"), "id").limit(1)
 
 
+def stretched(candidates: DataFrame, design: DataFrame, metrics: list[str], width: float) -> DataFrame:
+    """place, metric, id, distance, left: the metric in which a candidate can be farthest from the design comes first; the
+    candidates within `width` of that one in this metric stay (`left` of them), and the next metric is chosen among them.
+    The last id is the next point of the design. Ties go to the earlier metric, then to the smaller id.
+
+    candidates and design: id and one array column for each metric.
+    """
+    open_metrics, chosen, kept = list(metrics), [], candidates
+    for place in range(1, len(metrics) + 1):
+        best = None
+        for c in open_metrics:
+            far = fill_distance(kept.select("id", F.col(c).alias("z")), design.select("id", F.col(c).alias("z"))).first()
+            if far["distance"] is not None and (best is None or far["distance"] > best[2]):
+                best = (c, far["id"], far["distance"])
+        if best is None:
+            break
+        point = kept.where(F.col("id") == best[1]).select(best[0]).first()[0]
+        kept = stored(kept.where(_to_point(best[0], point) <= width), "slab")
+        open_metrics.remove(best[0])
+        chosen.append((place, *best, kept.count()))
+    return candidates.sparkSession.createDataFrame(chosen, "place int, metric string, id long, distance double, left long")
+
+
 def batch_maximin(candidates: DataFrame, design: DataFrame, metrics: list[str], n: int, slack: float = 0.9) -> DataFrame:
     """place, id of n further points, each by seq_maximin with the ones before it in the design, so all of them can be
     evaluated at once. Ends early when every candidate lies on the design in some metric."""

@@ -306,13 +306,18 @@ def predict(test: DataFrame, samples: DataFrame, L) -> DataFrame:
 
 
 def bound_functions(test: DataFrame, train: DataFrame, L) -> DataFrame:
-    """id, other, low, high: f_j -+ |L(x - x_j)| for every test and training row."""
-    from ridgeline.operators.pairs import distance
+    """id, other, low, high, slope: f_j -+ |L(x - x_j)| for every test and training row, and the gradient of high (that of
+    low is its negative; 0 at distance 0). One row for each pair by definition; they are made in blocks."""
 
-    a = _with_z(test, L).select("id", "z")
-    b = _with_z(train, L).select(F.col("id").alias("other"), F.col("z").alias("zb"), "fx")
-    d = distance("z", "zb")
-    return a.join(b, F.lit(True)).select("id", "other", (F.col("fx") - d).alias("low"), (F.col("fx") + d).alias("high"))
+    def kernel(ids, z, b):
+        p = z[:, None, :] - _matrix(b["z"])[None, :, :]
+        d, f = np.sqrt((p * p).sum(axis=2)), b["fx"].to_numpy()
+        slope = p / np.where(d > 0, d, 1.0)[:, :, None]
+        slope = slope @ np.asarray(L, float) if L is not None else slope
+        n = len(b)
+        return pd.DataFrame({"id": np.repeat(ids, n), "other": np.tile(b["id"].to_numpy(), len(ids)), "low": (f - d).ravel(), "high": (f + d).ravel(), "slope": list(slope.reshape(len(ids) * n, -1))})
+
+    return meet_train(_with_z(test, L), _with_z(train, L), kernel, "id long, other long, low double, high double, slope array<double>", ["fx"])
 
 
 def feasible_for_gradients(gradients: DataFrame, H, m: int, tol: float = 1e-9) -> np.ndarray:

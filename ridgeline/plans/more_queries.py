@@ -186,13 +186,29 @@ def l15_compatible_data(spark, d):
     return data.select("id", F.round("y", 6).alias("y"), F.round(F.abs(F.col("y") - F.col("fx")), 6).alias("change"))
 
 
-@query()
+@query(f"WITH q AS ({PART_SQL}), p AS (SELECT * FROM q WHERE id % 5 <> 0), {_COMPATIBLE} SELECT a.id AS id, round(max(b.y - {_LD}), 6) AS lb, round((max(b.y - {_LD}) + min(b.y + {_LD})) / 2, 6) AS c, round(min(b.y + {_LD}), 6) AS ub FROM q a JOIN y b ON a.id % 5 = 0 GROUP BY a.id")
 def l16_predict(spark, d):
     p = parts(spark, d)
     out = lipschitz.predict(p.where("id % 5 = 0").select("id", "x"), p.where("id % 5 <> 0"), _L)
     return out.select("id", *[F.round(c, 6).alias(c) for c in ("lb", "c", "ub")])
 
 
+_D0, _D1 = "(2 * (a.x0 - b.x0) + 0.5 * (a.x1 - b.x1))", "(a.x1 - b.x1)"
+_SLOPES = f"CASE WHEN {_LD} > 0 THEN 2 * {_D0} / {_LD} ELSE 0 END AS s0, CASE WHEN {_LD} > 0 THEN (0.5 * {_D0} + {_D1}) / {_LD} ELSE 0 END AS s1"
+
+
+@query(
+    f"""WITH p AS ({PART_SQL}), f AS (SELECT a.id AS id, b.id AS other, b.fx - {_LD} AS low, b.fx + {_LD} AS high, {_SLOPES} FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0)
+SELECT id, round(max(low), 6) AS low, round(min(high), 6) AS high, round(sum(s0), 4) + 0.0 AS s0, round(sum(s1), 4) + 0.0 AS s1, count(*) AS functions FROM f GROUP BY id"""
+)
+def l17_bound_functions(spark, d):
+    """Each test row's tightest bounds and the sums of the slopes of all its bounding functions."""
+    p = parts(spark, d)
+    out = lipschitz.bound_functions(p.where("id % 5 = 0").select("id", "x"), p.where("id % 5 <> 0"), _L)
+    sums = [(F.round(F.sum(F.get("slope", F.lit(k))), 4) + 0.0).alias(f"s{k}") for k in (0, 1)]
+    return out.groupBy("id").agg(F.round(F.max("low"), 6).alias("low"), F.round(F.min("high"), 6).alias("high"), *sums, F.count("*").alias("functions"))
+
+
 # Bases and regression -----------------------------------------------------------------------------------------------
 
 
@@ -292,10 +308,29 @@ def ds1_coffee_house(spark, d):
     return design.coffee_house(vectors(spark, d), 5).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+_SLICES = ", ".join(f"min({_DIST.replace('a.z', f'a.z[{i}:{j}]').replace('b.z', f'b.z[{i}:{j}]')}) AS {n}" for n, i, j in (("d1", 1, 2), ("d2", 3, 4), ("spread", 1, 64)))
+
+
+@query(f"WITH v AS ({VEC_SQL}), s AS (SELECT a.id AS id, {_SLICES} FROM v a JOIN v b ON a.{_T} AND b.{_Q} GROUP BY a.id), b AS (SELECT max(d1 * d2) AS best FROM s) SELECT id, round(d1 * d2, 6) AS score, round(spread, 6) AS spread FROM s, b WHERE d1 * d2 >= 0.9 * best ORDER BY s.spread DESC, id LIMIT 1")
 def ds3_seq_maximin(spark, d):
     v = vectors(spark, d).withColumn("first", F.slice("z", 1, 2)).withColumn("second", F.slice("z", 3, 2))
-    return design.seq_maximin(v.where(_T), v.where(_Q), ["first", "second"])
+    return design.seq_maximin(v.where(_T), v.where(_Q), ["first", "second"]).select("id", F.round("score", 6).alias("score"), F.round("spread", 6).alias("spread"))
+
+
+@query()
+def ds11_stretched(spark, d):
+    v = tables.stored(vectors(spark, d).select("id", F.slice("z", 1, 2).alias("first"), F.slice("z", 3, 2).alias("second"), F.slice("z", 5, 3).alias("third")), "vectors")
+    return design.stretched(v.where(_T), v.where(_Q), ["first", "second", "third"], 0.2).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    f"""WITH RECURSIVE w AS ({VEC_SQL}), n AS (SELECT id, z, sqrt(list_sum(list_transform(z, lambda t: t * t))) AS length FROM w), v2 AS MATERIALIZED (SELECT id, list_transform(z, lambda t: t / length) AS z FROM n WHERE length > 0), c(k, chosen, far) AS (
+SELECT 1, [(SELECT min(id) FROM v2)], CAST(NULL AS DOUBLE) UNION ALL
+SELECT k + 1, list_append(chosen, best.id), best.far FROM c, LATERAL (SELECT a.id, min({_DIST}) AS far FROM v2 a JOIN v2 b ON list_contains(c.chosen, b.id) GROUP BY a.id ORDER BY far DESC, a.id LIMIT 1) best WHERE k < 5)
+SELECT k AS place, chosen[k] AS id, round(far, 6) AS distance FROM c"""
+)
+def g21_spread_on_sphere(spark, d):
+    return design.spread_on_sphere(vectors(spark, d), 5).withColumn("distance", F.round("distance", 6))
 
 
 @query()

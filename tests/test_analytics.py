@@ -332,3 +332,38 @@ def test_batch_design_has_different_points(spark):
     df = spark.createDataFrame([(i, x.tolist(), [float(x[0])]) for i, x in enumerate(X)], "id long, z array<double>, first array<double>")
     got = [r.id for r in design.batch_maximin(df.where("id >= 5"), df.where("id < 5"), ["first"], 3).orderBy("place").collect()]
     assert len(set(got)) == 3 and min(got) >= 5
+
+
+def test_bound_functions_and_slopes(spark):
+    rng = np.random.default_rng(5)
+    X, f, L = rng.random((12, 2)), rng.random(12), np.array([[2.0, 0.5], [0.0, 1.0]])
+    df = spark.createDataFrame([(i, X[i].tolist(), float(f[i])) for i in range(12)], "id long, x array<double>, fx double")
+    rows = lipschitz.bound_functions(df.select("id", "x"), df, L).collect()
+    assert len(rows) == 144
+    for r in rows:
+        p = L @ (X[r["id"]] - X[r["other"]])
+        d = np.linalg.norm(p)
+        assert np.allclose([r["low"], r["high"]], [f[r["other"]] - d, f[r["other"]] + d])
+        assert np.allclose(r["slope"], L.T @ p / d if d else np.zeros(2))
+
+
+def test_stretched_sample_and_sphere_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    A, B = rng.random((60, 4)), rng.random((5, 4))
+    table = lambda M: spark.createDataFrame([(i, M[i, :2].tolist(), M[i, 2:].tolist()) for i in range(len(M))], "id long, p array<double>, q array<double>")
+    parts, left, want = {"p": slice(0, 2), "q": slice(2, 4)}, list(range(60)), []
+    while parts:
+        far = {c: max((np.linalg.norm(A[i, s] - B[:, s], axis=1).min(), -i) for i in left) for c, s in parts.items()}
+        c = max(far, key=lambda c: far[c][0])
+        s, i = parts.pop(c), -far[c][1]
+        left = [j for j in left if np.linalg.norm(A[j, s] - A[i, s]) <= 0.3]
+        want.append((c, i, len(left)))
+    got = design.stretched(table(A), table(B), ["p", "q"], 0.3).orderBy("place").collect()
+    assert [(r["metric"], r["id"], r["left"]) for r in got] == want
+
+    M = np.vstack([rng.normal(size=(40, 3)), np.zeros((1, 3))])
+    U, chosen = M[:40] / np.linalg.norm(M[:40], axis=1)[:, None], [0]
+    while len(chosen) < 4:
+        chosen.append(int(np.linalg.norm(U[:, None] - U[None, chosen], axis=2).min(axis=1).argmax()))
+    found = design.spread_on_sphere(spark.createDataFrame([(i, M[i].tolist()) for i in range(41)], "id long, z array<double>"), 4)
+    assert [r["id"] for r in found.orderBy("place").collect()] == chosen
