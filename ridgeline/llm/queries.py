@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, dac, jaccard, mixing, pii, quality, suffix, topk, toxicity, urls
+from ridgeline.llm import bpe, conversations, counts, dac, jaccard, mixing, pii, quality, runs, suffix, topk, toxicity, urls
 from ridgeline.llm._common import table
 
 #: The filter rules of the query: host, path, verdict.
@@ -71,9 +71,65 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op3_toxic_lexicon, op4_contextual_pii, op5_url_rules, op6_jaccard_classes, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk, op10_suffix_dedup)}
+def op11_prefix_trie(spark, sf_dir):
+    return conversations.nodes(conversations.crossed(table(spark, sf_dir, "conversations")))
+
+
+def op12_token_counts(spark, sf_dir):
+    return counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return runs.collapse(table(spark, sf_dir, "documents"), planted=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ratio, op2_token_codes, op3_toxic_lexicon, op4_contextual_pii, op5_url_rules, op6_jaccard_classes, op7_source_mix, op8_byte_bpe, op9_bit_sliced_topk, op10_suffix_dedup, op11_prefix_trie, op12_token_counts, op13_periodic_runs)}
+
+#: SQL for crc32 of a string of ASCII characters: eight steps for each, of which the first takes it in.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length({0}) + 1), lambda i: [CAST(ascii({0}[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295)"""
 
 ORACLES = {
+    "op11_prefix_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t GROUP BY conv_id),
+f AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS m FROM c LEFT JOIN c b ON b.conv_id = c.base),
+p AS (SELECT conv_id, 0 AS d, '' AS role, '' AS text FROM f
+      UNION ALL SELECT f.conv_id, k, role, text FROM f JOIN t ON t.conv_id = f.base AND k <= h
+      UNION ALL SELECT f.conv_id, k - h + m, role, text FROM f JOIN t ON t.conv_id = f.conv_id AND k > h),
+x AS (SELECT conv_id, d, text, max(d) OVER (PARTITION BY conv_id) AS size,
+             list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS prefix FROM p),
+g AS (SELECT d, prefix, min(conv_id) AS owner, count(*) AS n_convs, any_value(strlen(text)) AS bytes,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = size), '')) AS ends_sha256 FROM x GROUP BY d, prefix),
+m AS (SELECT x.conv_id, x.d, g.owner FROM x JOIN g ON x.d = g.d AND x.prefix = g.prefix),
+o AS (SELECT g.*, m.owner AS above FROM g LEFT JOIN m ON m.conv_id = g.owner AND m.d = g.d - 1),
+k AS (SELECT above AS owner, d - 1 AS d, count(*) AS n_children FROM o WHERE d > 0 GROUP BY ALL),
+v AS (SELECT o.owner, o.d, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM o LEFT JOIN k ON k.owner = o.owner AND k.d = o.d),
+s AS (SELECT DISTINCT a.owner, a.d, b.owner AS low, b.d AS low_d FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d),
+u AS (SELECT s.owner, s.d, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum(v.saved) AS saved_tokens FROM s JOIN v ON v.owner = s.low AND v.d = s.low_d GROUP BY ALL)
+SELECT o.owner AS conv_id, CAST(o.d AS BIGINT) AS depth, above AS parent_conv_id, n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM o JOIN v ON v.owner = o.owner AND v.d = o.d JOIN u ON u.owner = o.owner AND u.d = o.d
+""",
+    "op13_periodic_runs": rf"""
+WITH a AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+b AS (SELECT r, doc_id, w, len(w) AS n, coalesce(h % 10 = 0 AND len(w) > 0, false) AS planted, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM a),
+c AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM b),
+i AS (SELECT r, n, w, planted, a, p, unnest(range(n)) AS i FROM c),
+x AS MATERIALIZED (SELECT r, n, i, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM i),
+m AS (SELECT y.r, z.i - y.i AS q, y.i FROM x y JOIN x z ON y.r = z.r AND y.word = z.word AND z.i > y.i AND 3 * (z.i - y.i) <= y.n),
+k AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM m),
+s AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY r, q, part HAVING count(*) + q >= greatest(24, 3 * q)),
+t AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM s GROUP BY r, start, length),
+o AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM t GROUP BY r),
+e AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM t),
+d AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM t),
+l AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN d ON x.r = d.r AND x.i = d.i GROUP BY x.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, e.start, e.length, e.period, 1000 * e.length // e.period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM c LEFT JOIN o ON o.r = c.r LEFT JOIN e ON e.r = c.r AND e.k = 1 LEFT JOIN l ON l.r = c.r
+""",
     "op5_url_rules": """
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
