@@ -6,6 +6,8 @@ g'H^-1 g <= 1 for all gradients g.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ridgeline.operators.domain import coords, dot, norm
 from ridgeline.operators.moments import outer_matrix
 from ridgeline.operators.pairs import _matrix, distances, meet_train, project, self_pairs
+from ridgeline.operators.programs import least_trace
 
 
 def _with_z(df: DataFrame, L) -> DataFrame:
@@ -193,64 +196,206 @@ def matrix_from_gradients(gradients: DataFrame, m: int, rounds: int = 100, tol:
     return best, float(gap)
 
 
-def matrix_from_samples(samples: DataFrame, m: int, eps: float = 0.0, rounds: int = 30, diagonal: bool = False, top: int = 20) -> np.ndarray:
-    """H of small trace with p'Hp >= (|df| - eps)+^2 for all pairs, by constraint generation: the driver solves for the
-    pairs found so far, the join finds the most violated ones; a last scaling makes H feasible."""
-    P, D = np.zeros((0, m)), np.zeros(0)
-    H = np.zeros((m, m))
+@dataclass
+class Bounding:
+    """H that bounds all rows, a lower bound of the trace of any such H of its form, and the pairs and gradients that
+    the program used, with the matrix that their multipliers put on H."""
+
+    H: np.ndarray
+    bound: float
+    pairs: np.ndarray
+    need: np.ndarray
+    gradients: np.ndarray
+    weight: np.ndarray
+    closed: bool
+
+    @property
+    def gap(self) -> float:
+        trace = float(np.trace(self.H))
+        return (trace - self.bound) / trace if trace > 0 else 0.0
+
+
+def symmetric_shapes(m: int, U=None) -> list[np.ndarray]:
+    """Matrices that span the symmetric ones, on the columns of U if given."""
+    U, out = np.eye(m) if U is None else U, []
+    for i in range(U.shape[1]):
+        for j in range(i, U.shape[1]):
+            E = np.outer(U[:, i], U[:, j])
+            out.append((E + E.T) / (2 if i == j else 1))
+    return out
+
+
+def pair_excess(samples: DataFrame, H: np.ndarray, m: int, eps: float = 0.0, top: int = 10) -> DataFrame:
+    """i, j, excess, p, df of the pairs of largest (|df| - eps)+^2 / p'Hp, above 1 where H is too small. H is positive."""
+    R = np.linalg.cholesky(H).T
+
+    def kernel(a, b, same):
+        x, y = _matrix(a["z"]), _matrix(b["z"])
+        d2 = distances(x @ R.T, y @ R.T) ** 2
+        df = np.maximum(np.abs(a["fx"].to_numpy()[:, None] - b["fx"].to_numpy()[None, :]) - eps, 0)
+        excess = df * df / np.where(d2 > 0, d2, np.inf)
+        if same:
+            excess[a["id"].to_numpy()[:, None] >= b["id"].to_numpy()[None, :]] = 0
+        k = min(top, excess.size - 1)
+        at = np.argpartition(-excess, k, axis=None)[:top]
+        at = at[excess.ravel()[at] > 0]
+        i, j = np.unravel_index(at, excess.shape)
+        return pd.DataFrame({"i": a["id"].to_numpy()[i], "j": b["id"].to_numpy()[j], "excess": excess[i, j], "p": list(x[i] - y[j]), "df": df[i, j]})
+
+    found = self_pairs(_with_z(samples, None), kernel, "i long, j long, excess double, p array<double>, df double", ["fx"])
+    return found.orderBy(F.desc("excess"), "i", "j").limit(top)
+
+
+def gradient_excess(gradients: DataFrame, H: np.ndarray, m: int, top: int = 10) -> DataFrame:
+    """grad, excess of the gradients of largest g'H^-1 g, above 1 where H >= g g' fails. H is positive; the quotient is a
+    sum of squares, so that rows of all sizes count alike."""
+    rows, g = np.linalg.inv(np.linalg.cholesky(H)), coords("grad", m)
+    q = sum((dot(r, g) * dot(r, g) for r in rows), F.lit(0.0))
+    return gradients.select("grad", q.alias("excess")).orderBy(F.desc("excess"), "grad").limit(top)
+
+
+def least_matrix(m: int, samples: DataFrame | None = None, gradients: DataFrame | None = None, shapes: list[np.ndarray] | None = None, eps: float = 0.0, tol: float = 1e-3, rounds: int = 40, top: int = 20, start: Bounding | None = None) -> Bounding:
+    """H of least trace in the span of `shapes` (all symmetric matrices unless given) with p'Hp >= (|df| - eps)+^2 for all
+    pairs of samples (id, x, fx) and H >= g g' for all gradients (grad).
+
+    A program over the pairs and gradients so far gives H and a bound that no H beats; Spark finds the rows that H
+    misses most. Scaled by the worst of them, H holds for all rows: rounds end when its trace is within tol of the
+    bound. Data without any difference get H = 0.
+    """
+    shapes = symmetric_shapes(m) if shapes is None else shapes
+    pairs, need, steep = (start.pairs, start.need, start.gradients) if start else (np.zeros((0, m)), np.zeros(0), np.zeros((0, m)))
+    H, low, weight, best = np.eye(m), 0.0, np.zeros((m, m)), None
+    if len(need) or len(steep):
+        h, low, _, weight = least_trace(shapes, pairs, need, steep)
+        H = np.einsum("k,kij->ij", h, np.array(shapes))
     for _ in range(rounds):
-        worst = pair_slack(samples, H, m, eps, top).toPandas()
-        worst = worst[worst["slack"] < -1e-9 * max(1.0, D.max(initial=1.0))]
-        if not len(worst):
-            break
-        length = np.array([np.linalg.norm(p) for p in worst["p"]])
-        P = np.vstack([P, np.stack(worst["p"].to_numpy()) / length[:, None]])
-        D = np.concatenate([D, (worst["df"].to_numpy() / length) ** 2])
-        H = _least_trace(P, D, diagonal)
-    return _make_feasible(samples, H, m, eps, diagonal)
-
-
-def _least_trace(P: np.ndarray, D: np.ndarray, diagonal: bool, steps: int = 3000) -> np.ndarray:
-    """min tr H with p'Hp >= d, H >= 0, by ADMM between the half-spaces and the cone; rescaled to hold."""
-    m = P.shape[1]
-    scale = max(D.max(initial=0.0), 1e-300)
-    d = D / scale
-    H, U = np.eye(m), np.zeros((m, m))
-    A = np.stack([np.outer(p, p).ravel() for p in P])
-    gram = A @ A.T
-    dual = np.zeros(len(d))
-    step = 1.0 / max(np.linalg.eigvalsh(gram).max(), 1e-12)
+        over, new = 0.0, []
+        if samples is not None:
+            found = pair_excess(samples, H, m, eps, top).collect()
+            over = max([over, *(r["excess"] for r in found)])
+            p = np.array([r["p"] for r in found], float).reshape(-1, m)
+            length = np.linalg.norm(p, axis=1)
+            new.append((p / length[:, None], (np.array([r["df"] for r in found]) / length) ** 2))
+        if gradients is not None:
+            found = gradient_excess(gradients, H, m, top).collect()
+            over = max([over, *(r["excess"] for r in found)])
+            steep = np.unique(np.vstack([steep, np.array([r["grad"] for r in found], float).reshape(-1, m)]), axis=0)
+            steep = steep[(steep != 0).any(axis=1)]
+        if over == 0:
+            return Bounding(np.zeros((m, m)), 0.0, pairs, need, steep, weight, True)
+        holds = H * over * (1 + 1e-12)
+        if best is None or np.trace(holds) < np.trace(best):
+            best = holds
+        if np.trace(best) - low <= tol * np.trace(best):
+            return Bounding(best, low, pairs, need, steep, weight, True)
+        for p, d in new:
+            rows = np.unique(np.vstack([np.column_stack([pairs, need]), np.column_stack([p, d])]), axis=0)
+            pairs, need = rows[:, :m], rows[:, m]
+        h, bound, _, weight = least_trace(shapes, pairs, need, steep)
+        low, H = max(low, bound), np.einsum("k,kij->ij", h, np.array(shapes))
+    return Bounding(best, low, pairs, need, steep, weight, False)
+
+
+def matrix_from_samples(samples: DataFrame, m: int, eps: float = 0.0, rounds: int = 40, diagonal: bool = False, top: int = 20, gradients: DataFrame | None = None, tol: float = 1e-3) -> tuple[np.ndarray, float]:
+    """H of least trace (diagonal, if asked) for all pairs of samples and all gradients, and the relative gap to the bound
+    of the trace of any other one."""
+    found = least_matrix(m, samples, gradients, [np.diag(e) for e in np.eye(m)] if diagonal else None, eps, tol, rounds, top)
+    return found.H, found.gap
+
+
+@dataclass
+class Partial:
+    """H = U J U' + alpha (I - U U') with J diagonal and descending, and the gap of its trace for this U."""
+
+    U: np.ndarray
+    J: np.ndarray
+    alpha: float
+    gap: float
+    closed: bool
+
+    @property
+    def H(self) -> np.ndarray:
+        return self.U @ self.J @ self.U.T + self.alpha * (np.eye(len(self.U)) - self.U @ self.U.T)
+
+    @property
+    def L(self) -> np.ndarray:
+        return _root(self.H)
+
+
+def _partial_shapes(U: np.ndarray) -> list[np.ndarray]:
+    m, r = U.shape
+    return symmetric_shapes(m, U) + ([np.eye(m) - U @ U.T] if r < m else [])
+
+
+def partial_matrix(m: int, rank: int, samples: DataFrame | None = None, gradients: DataFrame | None = None, eps: float = 0.0, U0=None, rounds: int = 20, tol: float = 1e-3, starts: int = 2, seed: int = 0) -> Partial:
+    """A matrix of least trace that bounds all pairs of samples and all gradients and is a multiple alpha of the identity
+    outside of `rank` directions U: with few unknowns for many inputs. At full rank this is least_matrix.
+
+    For a fixed U the program is the one of least_matrix. U turns by its slope (the multipliers' matrix tells it) in
+    line searches over the pairs and gradients that Spark has found; Spark then looks for rows that the result misses,
+    until none changes the trace by more than tol. Searches start from U0, or else from the steepest directions of the
+    rows that bound a multiple of the identity and from `starts` random ones; the two of least trace go on.
+    """
+    if not 0 < rank <= m:
+        raise ValueError("rank is from 1 to the number of inputs")
+    found = least_matrix(m, samples, gradients, None if rank == m else [np.eye(m)], eps, tol)
+    steep = (found.pairs.T * found.need) @ found.pairs + found.gradients.T @ found.gradients
+    first = np.linalg.eigh(steep)[1][:, ::-1][:, :rank]
+    if rank == m or not found.H.any():
+        return _turned(first, found)
+    rng = np.random.default_rng(seed)
+    begin = [np.array(U0, float).reshape(m, rank)] if U0 is not None else [first, *rng.standard_normal((starts, m, rank))]
+    open_ = [np.linalg.qr(U)[0] for U in begin]
+    for _ in range(rounds):
+        tried = sorted((_descend(U, found) for U in open_), key=lambda t: t[0])[:2]
+        value, U = tried[0]
+        found = least_matrix(m, samples, gradients, _partial_shapes(U), eps, tol, start=found)
+        if np.trace(found.H) <= value * (1 + 2 * tol):
+            return _turned(U, found)
+        open_ = [U for _, U in tried]
+    return _turned(U, found)
+
+
+def _turned(U: np.ndarray, found: Bounding) -> Partial:
+    m, r = U.shape
+    values, W = np.linalg.eigh(U.T @ found.H @ U)
+    rest = (np.trace(found.H) - values.sum()) / (m - r) if r < m else 0.0
+    return Partial(U @ W[:, ::-1], np.diag(values[::-1]), float(rest), found.gap, found.closed)
+
+
+def _descend(U: np.ndarray, known: Bounding, steps: int = 40) -> tuple[float, np.ndarray]:
+    """The least trace over the known pairs and gradients that turns of U lead to, and that U."""
+
+    def value(U):
+        h, _, _, weight = least_trace(_partial_shapes(U), known.pairs, known.need, known.gradients, tol=1e-5)
+        H = np.einsum("k,kij->ij", h, np.array(_partial_shapes(U)))
+        return float(np.trace(H)), H, weight
+
+    m, r = U.shape
+    now, H, weight = value(U)
+    length = 0.5
     for _ in range(steps):
-        V = H - U - np.eye(m) / len(d) / 10
-        # Projection on the half-spaces by a few steps of projected dual ascent.
-        for _ in range(8):
-            dual = np.maximum(dual + step * (d - A @ V.ravel() - gram @ dual), 0)
-        X = V + (A.T @ dual).reshape(m, m)
-        W = X + U
-        if diagonal:
-            new = np.diag(np.maximum(np.diag(W), 0))
+        J = U.T @ H @ U
+        alpha = (np.trace(H) - np.trace(J)) / (m - r)
+        slope = 2 * weight @ U @ (J - alpha * np.eye(r))
+        slope -= U @ (U.T @ slope)
+        size = np.linalg.norm(slope)
+        if size <= 1e-9 * max(now, 1e-300):
+            break
+        while length > 1e-5:
+            trial = np.linalg.qr(U + slope / size * np.tan(length))[0]
+            new = value(trial)
+            if new[0] < now * (1 - 1e-7):
+                break
+            length /= 3
         else:
-            values, Q = np.linalg.eigh((W + W.T) / 2)
-            new = (Q * np.maximum(values, 0)) @ Q.T
-        U += X - new
-        if np.abs(new - H).max() < 1e-9:
-            H = new
             break
-        H = new
-    worst = ((A @ H.ravel()) / np.where(d > 0, d, 1))[d > 0].min(initial=1.0)
-    return H * scale / max(min(worst, 1.0), 1e-12) if worst > 0 else (H + np.eye(m)) * scale
-
-
-def _make_feasible(samples: DataFrame, H: np.ndarray, m: int, eps: float, diagonal: bool = False) -> np.ndarray:
-    """Adds a rank-one (or diagonal) term for the most violated pair until none is violated. Terms are never negative,
-    so each round settles its pair for good."""
-    while True:
-        worst = pair_slack(samples, H, m, eps, 1).collect()
-        if not worst or worst[0]["slack"] >= -1e-13:
-            return H
-        p = np.array(worst[0]["p"])
-        term = np.diag(p * p) / (p**4).sum() * (p @ p) if diagonal else np.outer(p, p) / (p @ p)
-        H = H - term * worst[0]["slack"] * (1 + 1e-9)
+        fall, U = (now - new[0]) / now, trial
+        now, H, weight = new
+        length = min(1.0, 2 * length)
+        if fall < 1e-6:
+            break
+    return now, U
 
 
 def uncertainty(test: DataFrame, train: DataFrame, L, eps: float = 0.0) -> DataFrame:
@@ -320,17 +465,32 @@ def bound_functions(test: DataFrame, train: DataFrame, L) -> DataFrame:
     return meet_train(_with_z(test, L), _with_z(train, L), kernel, "id long, other long, low double, high double, slope array<double>", ["fx"])
 
 
-def feasible_for_gradients(gradients: DataFrame, H, m: int, tol: float = 1e-9) -> np.ndarray:
-    """H with g g' <= H for every gradient: where g' H^-1 g > 1 for the worst one, H grows along that gradient just as far
-    as it needs. gradients: grad. Terms are never negative, so each round settles its gradient for good."""
-    H = np.array(H, float)
-    g = coords("grad", m)
+def feasible_for_gradients(gradients: DataFrame, H, m: int, top: int = 50, tol: float = 1e-9) -> np.ndarray:
+    """H with H >= g g' for every gradient (grad), grown from the given positive semidefinite matrix: along a gradient
+    that it misses, just as far as that one needs.
+
+    Coordinates are first scaled by the largest gradient in each, so that gradients of all sizes are seen, and a
+    millionth-millionth of the scaled identity stands for directions that H lacks. A round takes the `top` worst rows.
+    Terms are never negative, so each settles its gradient for good; at the end H grows by the tolerance.
+    """
+    H, g = np.array(H, float), coords("grad", m)
+    most = np.array(gradients.agg(*[F.max(F.abs(c)).alias(f"g{k}") for k, c in enumerate(g)]).first(), dtype=float)
+    most = np.where(most > 0, most, 0.0)  # nulls of an empty table are nan
+    used = most > 0
+    if not used.any():
+        return H
+    scale = np.where(used, most, 1.0)
+    near = gradients.select(F.array(*[c / F.lit(float(s)) for c, s in zip(g, scale, strict=True)]).alias("grad"))
+    K, floor = H / np.outer(scale, scale), 1e-12 * np.diag(used.astype(float))
+    K = (K + K.T) / 2 + np.diag(np.where(used, 0.0, np.maximum(1e-300, 1 - np.diag(K))))  # unused inputs don't matter
     while True:
-        # A little of the identity makes directions that H lacks the worst ones.
-        inverse = np.linalg.inv(H + 1e-12 * (np.trace(H) + 1.0) * np.eye(m))
-        q = sum((F.lit(float(inverse[i, j])) * g[i] * g[j] for i in range(m) for j in range(m)), F.lit(0.0))
-        worst = gradients.agg(F.max(F.struct(q.alias("q"), "grad")).alias("w")).first()["w"]
-        if worst is None or worst["q"] is None or worst["q"] <= 1 + tol:
-            return H
-        v = np.array(worst["grad"], float)
-        H = H + np.outer(v, v) * (1 - 1 / worst["q"])
+        worst = [r for r in gradient_excess(near, K + floor, m, top).collect() if r["excess"] > 1 + tol]
+        if not worst:
+            break
+        for r in worst:
+            v = np.array(r["grad"], float)
+            q = v @ np.linalg.solve(K + floor, v)
+            if q > 1:
+                K = K + np.outer(v, v) * (1 - 1 / q) * (1 + tol / 2)
+    out = (K + floor) * (1 + tol) * np.outer(scale, scale)
+    return np.where(np.outer(used, used), out, H)
