@@ -53,22 +53,29 @@ def hat_weights(df: DataFrame, bins: int, y: str = "y1") -> DataFrame:
 # Local linear models ------------------------------------------------------------------------------------------------
 
 
-def local_linear(targets: DataFrame, samples: DataFrame, m: int, beta: float) -> DataFrame:
-    """id, c: constant and slopes of the least-squares fit at each target, weights exp(-beta |x - x_t|^2). Normal
-    equations are added up by block; each target is then solved by itself. targets: id, x; samples: id, x, fx."""
+def local_linear(targets: DataFrame, samples: DataFrame, m: int, beta: float | None = None) -> DataFrame:
+    """id, c: constant and slopes of the least-squares fit at each target, weights exp(-beta |x - x_t|^2). Without beta,
+    the targets have one each in a column of that name. Normal equations are added up by block; each target is then
+    solved by itself. targets: id, x; samples: id, x, fx."""
     k = m + 2
 
     def kernel(ids, z, b):
         x, f = _matrix(b["z"]), b["fx"].to_numpy(float)
+        if not len(ids):
+            return pd.DataFrame({"id": ids, "s": []}).astype({"id": "int64"})
         out = []
-        for i, zi in zip(ids, z, strict=True) if len(ids) else ():
-            w = np.exp(-beta * ((x - zi) ** 2).sum(axis=1))
-            M = np.hstack([np.ones((len(x), 1)), x - zi, f[:, None]])
-            out.append((i, (M.T @ (M * w[:, None])).ravel()))
-        return pd.DataFrame(out, columns=["id", "s"]).astype({"id": "int64"})
-
-    named = lambda df: df.withColumn("z", F.col("x").cast("array<double>"))
-    sums = meet_train(named(targets), named(samples), kernel, "id long, s array<double>", ["fx"])
+        step = max(1, (1 << 21) // max(1, len(x) * k))
+        for lo in range(0, len(ids), step):
+            at = z[lo : lo + step]
+            p = x[None, :, :] - at[:, None, :m]
+            w = np.exp(-at[:, m:] * (p**2).sum(axis=2))
+            M = np.concatenate([np.ones((*w.shape, 1)), p, np.broadcast_to(f[None, :, None], (*w.shape, 1))], axis=2)
+            out += list(np.matmul(M.transpose(0, 2, 1), M * w[:, :, None]).reshape(len(at), k * k))
+        return pd.DataFrame({"id": ids, "s": out})
+
+    width = F.lit(float(beta)) if beta is not None else F.col("beta").cast("double")
+    asked = targets.select("id", F.concat(F.col("x").cast("array<double>"), F.array(width)).alias("z"))
+    sums = meet_train(asked, samples.withColumn("z", F.col("x").cast("array<double>")), kernel, "id long, s array<double>", ["fx"])
     total = sums.groupBy("id").agg(F.array(*[F.sum(F.get("s", i)) for i in range(k * k)]).alias("s"))
 
     def solve(batches):
@@ -82,6 +89,51 @@ def local_linear(targets: DataFrame, samples: DataFrame, m: int, beta: float) ->
     return total.mapInPandas(solve, "id long, c array<double>")
 
 
+def perplexity_bandwidths(targets: DataFrame, samples: DataFrame, m: int, perplexity: float, parts: int = 16, tol: float = 1e-9) -> DataFrame:
+    """id, x, beta: for each target the bandwidth whose weights exp(-beta |x - x_t|^2) over all samples have entropy
+    log(perplexity). The perplexity must be below the number of samples and above that of samples nearest to a target.
+
+    All targets go on together: each has a bracket of beta, a round adds up the sums of `parts` bandwidths of every
+    bracket in blocks of samples, and the bracket shrinks by as many parts. Entropies fall as beta grows.
+    """
+    from ridgeline.operators.pairs import nearest
+    from ridgeline.sources.tables import stored
+
+    named = lambda df, *more: df.select("id", F.col("x").cast("array<double>").alias("z"), *more)
+    rows = samples.count()
+    if not 1 <= perplexity < rows:
+        raise ValueError("perplexity is from 1 to below the number of samples")
+    x = coords("x", m)
+    size = samples.agg(*[F.var_pop(c).alias(f"v{k}") for k, c in enumerate(x)]).first()
+    scale = sum(v or 0.0 for v in size) or 1.0
+    low, high = math.log(1e-12 / scale), math.log(1e24 / scale)
+    near = nearest(named(targets), named(samples)).select("id", (F.col("distance") * F.col("distance")).alias("d0"))
+    state = targets.select("id", "x").join(near, "id").select("id", "x", "d0", F.lit(low).alias("low"), F.lit(high).alias("high"))
+    goal, steps, train = math.log(perplexity), np.arange(1, parts) / parts, named(samples)
+
+    def kernel(ids, z, b):
+        if not len(ids):
+            return pd.DataFrame({"id": ids, "s": []}).astype({"id": "int64"})
+        d2 = np.maximum(distances(z[:, :m], _matrix(b["z"])) ** 2 - z[:, m : m + 1], 0)
+        out = np.empty((len(ids), 2 * len(steps)))
+        for k, t in enumerate(steps):
+            w = np.exp(-np.exp(z[:, m + 1] + t * (z[:, m + 2] - z[:, m + 1]))[:, None] * d2)
+            out[:, 2 * k], out[:, 2 * k + 1] = w.sum(axis=1), (w * d2).sum(axis=1)
+        return pd.DataFrame({"id": ids, "s": list(out)})
+
+    n, span = 2 * len(steps), high - low
+    while span > tol:
+        state = stored(state, "brackets")
+        asked = state.select("id", F.concat(F.col("x").cast("array<double>"), F.array("d0", "low", "high")).alias("z"))
+        sums = meet_train(asked, train, kernel, "id long, s array<double>").groupBy("id").agg(F.array(*[F.sum(F.get("s", i)) for i in range(n)]).alias("s"))
+        at = lambda k: F.col("low") + F.lit(float(steps[k])) * (F.col("high") - F.col("low"))
+        above = sum((F.when(F.log(F.get("s", 2 * k)) + F.exp(at(k)) * F.get("s", 2 * k + 1) / F.get("s", 2 * k) > goal, 1).otherwise(0) for k in range(len(steps))), F.lit(0))
+        wide = (F.col("high") - F.col("low")) / parts
+        state = state.join(sums, "id").withColumn("above", above).select("id", "x", "d0", (F.col("low") + F.col("above") * wide).alias("low"), (F.col("low") + (F.col("above") + 1) * wide).alias("high"))
+        span /= parts
+    return state.select("id", "x", F.exp((F.col("low") + F.col("high")) / 2).alias("beta"))
+
+
 def perplexity_beta(d2: np.ndarray, perplexity: float) -> float:
     """The bandwidth whose weights exp(-beta d2) have entropy log(perplexity), by bisection."""
     d2 = d2 - d2.min()
