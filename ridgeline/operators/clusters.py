@@ -269,7 +269,7 @@ def swapped(designs: DataFrame, swaps: int = 200, seed: int = 0) -> DataFrame:
     coordinate if the sorted nearest distances get lexicographically greater. Designs go side by side, each in its group
     of as many rows as a design has."""
 
-    def search(key, group: pd.DataFrame) -> pd.DataFrame:
+    def search(key, group):
         group = group.sort_values("id")
         x = _matrix(group["x"])
         n, m = x.shape

@@ -93,6 +93,7 @@ def _by_rows(df, basis, norm, side, U, G, c, tol, rounds, start) -> Fit:
     X, f = start if start is not None and len(start[1]) else (np.zeros((0, m)), np.zeros(0))
     best, low = (math.inf, c), 0.0
     count = float(G[0, 0])  # the first function is the constant
+    total_size = size * {1: math.sqrt(count), 2: 1.0}.get(norm, 1 / math.sqrt(count))  # of losses that are round-off
 
     def total(c):
         """Of the residuals' norm, where sums give it."""
@@ -116,7 +117,7 @@ def _by_rows(df, basis, norm, side, U, G, c, tol, rounds, start) -> Fit:
             moved, loss = c, v[0]
         if loss < best[0]:
             best = (loss, moved)
-        if best[0] - low <= tol * best[0] or best[0] <= 1e-12 * size / math.sqrt(count):
+        if best[0] - low <= tol * best[0] or best[0] <= 1e-9 * total_size:
             return Fit(best[1], float(best[0]), float(low), X, f, True)
         X, f = np.vstack([X, Xs]), np.concatenate([f, fs])
         _, keep = np.unique(np.column_stack([X, f]), axis=0, return_index=True)
@@ -216,7 +217,7 @@ def _least_sum(df, basis, U, G, c, tol, rounds) -> Fit:
             best = (loss, c)
         balance = np.linalg.lstsq(G[:n, :n], slope, rcond=1e-14)[0]
         low = max(low, (turned - balance @ Vr) / (1 + np.abs(balance) @ largest))
-        if best[0] - low <= tol * best[0]:
+        if best[0] - low <= tol * best[0] or best[0] <= 1e-10 * math.sqrt(G[n, n] * G[0, 0]):
             return Fit(best[1], float(best[0]), float(low), np.zeros((0, 0)), np.zeros(0), True)
         newton = np.linalg.lstsq(inside + 1e-9 * weighted, slope, rcond=1e-14)[0]
         safe = np.linalg.lstsq(weighted, slope, rcond=1e-14)[0]

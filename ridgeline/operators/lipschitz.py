@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators.domain import coords, dot, norm
 from ridgeline.operators.moments import outer_matrix
-from ridgeline.operators.pairs import _matrix, distances, meet_train, project, self_pairs
+from ridgeline.operators.pairs import _matrix, _no_rows, distances, meet_train, project, self_pairs
 from ridgeline.operators.programs import least_trace
 
 
@@ -227,7 +227,7 @@ def symmetric_shapes(m: int, U=None) -> list[np.ndarray]:
 
 def pair_excess(samples: DataFrame, H: np.ndarray, m: int, eps: float = 0.0, top: int = 10) -> DataFrame:
     """i, j, excess, p, df of the pairs of largest (|df| - eps)+^2 / p'Hp, above 1 where H is too small. H is positive."""
-    R = np.linalg.cholesky(H).T
+    R, schema = np.linalg.cholesky(H).T, "i long, j long, excess double, p array<double>, df double"
 
     def kernel(a, b, same):
         x, y = _matrix(a["z"]), _matrix(b["z"])
@@ -239,10 +239,12 @@ def pair_excess(samples: DataFrame, H: np.ndarray, m: int, eps: float = 0.0, top
         k = min(top, excess.size - 1)
         at = np.argpartition(-excess, k, axis=None)[:top]
         at = at[excess.ravel()[at] > 0]
+        if not len(at):
+            return _no_rows(schema)
         i, j = np.unravel_index(at, excess.shape)
         return pd.DataFrame({"i": a["id"].to_numpy()[i], "j": b["id"].to_numpy()[j], "excess": excess[i, j], "p": list(x[i] - y[j]), "df": df[i, j]})
 
-    found = self_pairs(_with_z(samples, None), kernel, "i long, j long, excess double, p array<double>, df double", ["fx"])
+    found = self_pairs(_with_z(samples, None), kernel, schema, ["fx"])
     return found.orderBy(F.desc("excess"), "i", "j").limit(top)
 
 

@@ -41,6 +41,17 @@ def ra3_sup_norm_fits(spark, d):
     return spark.createDataFrame(rows, "side string, loss double")
 
 
+@query()
+def ra2_ra3_other_norms(spark, d):
+    """Quadratic fits of the parts' prices by size: sup-norm, 1-norm, and a lower and an upper bound."""
+    df = _sized(spark, d)
+    basis, out = ridge.scaled_basis(df, coords("x", 1), 2), df
+    for name, norm, bound in (("two", 2, None), ("one", 1, None), ("sup", math.inf, None), ("lower", 2, "lower"), ("upper", 2, "upper")):
+        c = fits.norm_fit(df, basis, norm, bound).coefficients
+        out = out.withColumn(name, F.col("fx") - ridge.evaluate(basis, c, coords("x", 1)))
+    return out.agg(*[F.max(F.abs(n)).alias(f"largest_{n}") for n in ("two", "one", "sup")], F.min("lower").alias("least_lower"), F.max("upper").alias("most_upper"))
+
+
 def _kept(df, fit, basis, side, tol):
     """Rows on the wrong side of a fit, and whether its loss, added up anew, is the one reported and near its bound."""
     r = F.col("fx") - ridge.evaluate(basis, fit.coefficients, coords("x", basis.dim))

@@ -120,7 +120,8 @@ def test_matrices_are_feasible(spark):
     assert lipschitz.gradient_slack(df, H).agg(F.min("slack")).first()[0] >= -1e-8
     x = RNG.uniform(-1, 1, (15, 2))
     samples = frame(spark, x, 2 * x[:, 0] + 0.3 * x[:, 1])
-    H = lipschitz.matrix_from_samples(samples, 2, rounds=5)
+    H, gap = lipschitz.matrix_from_samples(samples, 2)
+    assert gap <= 1e-3 and np.trace(H) == pytest.approx(4.09, rel=2e-3)
     assert lipschitz.pair_slack(samples, H, 2, top=1).first()["slack"] >= -1e-8
 
 
@@ -269,7 +270,8 @@ def test_diagonal_matrix_bounds_all_pairs(spark):
     rng = np.random.default_rng(22)
     rows = [(i, x.tolist(), float(abs(x[0]) + 2 * abs(x[1]))) for i, x in enumerate(rng.uniform(-1, 1, (60, 2)))]
     df = spark.createDataFrame(rows, "id long, x array<double>, fx double")
-    H = lipschitz.matrix_from_samples(df, 2, rounds=1, diagonal=True)
+    H, gap = lipschitz.matrix_from_samples(df, 2, diagonal=True)
+    assert gap <= 1e-3
     assert np.allclose(H, np.diag(np.diag(H)))
     for i, x, f in rows:
         for j, y, g in rows[:i]:
