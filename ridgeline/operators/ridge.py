@@ -334,6 +334,11 @@ class Ridge:
         inner = gradient(self.basis, self.coefficients, self.active(x))
         return [dot(self.U[i], inner) for i in range(len(self.U))]
 
+    def hessian(self, x: list[Column]) -> list[list[Column]]:
+        """Second derivatives: U H U' with the polynomial's H."""
+        inner = hessian(self.basis, self.coefficients, self.active(x))
+        return [[dot([a * b for a in self.U[i] for b in self.U[j]], [h for row in inner for h in row]) for j in range(len(self.U))] for i in range(len(self.U))]
+
     def profile(self, spark, n: int = 500) -> DataFrame:
         """y1.., value on a line (n points) or a mesh (n by n) over the scaled range."""
         k = self.U.shape[1]

@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ridgeline.operators import clusters, design, pairs, summaries
+from ridgeline.operators import clusters, design, pairs, ridge, summaries
+from ridgeline.operators.domain import coords, dot
+from ridgeline.plans.more_queries import _shadow
 from ridgeline.plans.proven import ORACLES, QUERIES
-from ridgeline.plans.queries import PART_SQL, parts, query, unit, vectors
+from ridgeline.plans.queries import PART_SQL, parts, query, r6, unit, vectors
 from ridgeline.sources import tables
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -155,6 +157,33 @@ def ds5_swapped_designs(spark, d):
     return found.groupBy("design_id").applyInPandas(score, kind).join(before, "design_id").select("design_id", "rows", "latin", (F.col("near") > F.col("before")).alias("better"))
 
 
+@query("SELECT count(*) AS items, 0::BIGINT AS outside, true AS tight, true AS inside_bins FROM lineitem")
+def sh3_tight_envelope(spark, d):
+    """Certificate of the tightest curves of seven bins around the prices of all line items: rows outside, whether no
+    others have an area less by a thousandth, and whether they lie within the extremes of the bins."""
+    s = tables.stored(_shadow(spark, d), "shadow")
+    nodes, gap = summaries.tight_envelope(s, 7, tol=1e-3)
+    loose = {r["node"]: r for r in summaries.envelope(s, 7).collect()}  # eight rows
+    found = nodes.orderBy("node").collect()
+    inside = sum(r["ub"] - r["lb"] for r in found) <= sum(loose[r["node"]]["ub"] - loose[r["node"]]["lb"] for r in found) + 1e-6
+    at = lambda name, k: F.get(F.array(*[F.lit(r[name]) for r in found]), (F.col("node") + k).cast("int"))
+    hats = summaries.hat_weights(s, 7)
+    low, high = (F.col("left") * at(name, 0) + F.col("right") * at(name, 1) for name in ("lb", "ub"))
+    outside = (F.col("fx") < low - 1e-6) | (F.col("fx") > high + 1e-6)
+    return hats.agg(F.count("*").alias("items"), F.count(F.when(outside, 1)).alias("outside"), F.lit(bool(gap <= 1e-3)).alias("tight"), F.lit(bool(inside)).alias("inside_bins"))
+
+
+@query(f"SELECT id, round(2 * x1, 6) + 0.0 AS h00, round(2 * x0, 6) + 0.0 AS h01, 0.0 AS h11 FROM ({PART_SQL})")
+def ra6_ridge_hessian(spark, d):
+    """Second derivatives of a cubic, as a ridge function of two turned inputs fitted to its values at all parts."""
+    x = coords("x", 2)
+    p = tables.stored(parts(spark, d).withColumn("fx", x[0] * x[0] * x[1]), "parts")
+    U = np.array([[0.6, -0.8], [0.8, 0.6]])
+    basis = ridge.scaled_basis(p, [dot(U[:, k], x) for k in range(2)], 3)
+    h = ridge.Ridge(U, basis, ridge.least_squares(p, basis, U)).hessian(x)
+    return p.select("id", r6(h[0][0]).alias("h00"), r6(h[0][1]).alias("h01"), r6(h[1][1]).alias("h11"))
+
+
 @query()
 def ds7_wide_vectors(spark, d):
     """Fill distances of eight centres of all embeddings: greedy, spread, and by particles."""

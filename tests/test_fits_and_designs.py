@@ -252,3 +252,37 @@ def test_swaps_and_low_rank_points(spark):
     x, z = np.array([r["x"] for r in p]), np.array([r["z"] for r in p])
     assert x.min() >= -1 - 1e-9 and x.max() <= 2 + 1e-9 and z == pytest.approx(x @ L.T)
     assert np.ptp(z) > 0.9 * 24  # nearly the whole range of L, which even points don't reach
+
+
+def test_tight_envelope_bounds_all_rows_with_the_least_area(spark):
+    rng = np.random.default_rng(12)
+    y = np.concatenate([[0.0, 1.0], rng.uniform(0, 1, 300)])
+    f = np.sin(6 * y) * 50 + rng.uniform(-5, 5, 302)
+    df = tables.stored(spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, f, strict=True)], "y1 double, fx double"), "shadow")
+    nodes, gap = summaries.tight_envelope(df, 6)
+    rows = nodes.orderBy("node").collect()
+    at, lb, ub = (np.array([r[c] for r in rows]) for c in ("y", "lb", "ub"))
+    assert gap <= 1e-4 and (np.interp(y, at, ub) >= f - 1e-6).all() and (np.interp(y, at, lb) <= f + 1e-6).all()
+    for _ in range(300):  # no lower curve above all rows
+        other = ub + rng.standard_normal(7) * 10.0 ** rng.uniform(-2, 1)
+        if (np.interp(y, at, other) >= f).all() and other.max() <= f.max():
+            assert np.trapezoid(other, at) >= np.trapezoid(ub, at) - 1e-3 * np.trapezoid(ub - lb, at)
+    assert summaries.tight_envelope(df.limit(0), 6)[0].count() == 0
+    flat, gap = summaries.tight_envelope(df.withColumn("fx", F.lit(2.0)), 3)
+    assert gap <= 1e-4 and all(r["lb"] == pytest.approx(2) and r["ub"] == pytest.approx(2) for r in flat.collect())
+
+
+def test_ridge_hessian_equals_differences(spark):
+    rng = np.random.default_rng(13)
+    U = np.linalg.qr(rng.standard_normal((3, 2)))[0]
+    basis = ridge.Basis("legendre", 3, (0.1, -0.2), (0.5, 0.7))
+    r = ridge.Ridge(U, basis, rng.standard_normal(len(basis.indices)))
+    df = spark.createDataFrame([([0.3, -0.4, 0.2],)], "x array<double>")
+    x, e = coords("x", 3), 1e-4
+    h = df.select(*[v for row in r.hessian(x) for v in row]).first()
+
+    def at(i, a, j, b):
+        return r.value([c + (a * e if k == i else 0) + (b * e if k == j else 0) for k, c in enumerate(x)])
+
+    d = df.select(*[(at(i, 1, j, 1) - at(i, 1, j, -1) - at(i, -1, j, 1) + at(i, -1, j, -1)) / (4 * e * e) for i in range(3) for j in range(3)]).first()
+    assert np.array(h) == pytest.approx(np.array(d), abs=1e-5)
