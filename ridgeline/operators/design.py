@@ -281,7 +281,8 @@ def simplex(spark: SparkSession, n: int, m: int, seed: int = 0) -> DataFrame:
 
 def sobol(spark: SparkSession, domain: Domain, n: int) -> DataFrame:
     """id, x: the first n Sobol points (without the origin) of the bounds that lie in the domain. Direction numbers come
-    from primitive polynomials found in order, with initial numbers of 1."""
+    from primitive polynomials found in order; initial numbers are odd ones from a seeded generator, so that high
+    dimensions with polynomials of one degree differ from the first bits on."""
     directions, bits = _directions(domain.m), 31
     drawn = n
     while True:
@@ -303,11 +304,12 @@ def sobol(spark: SparkSession, domain: Domain, n: int) -> DataFrame:
 
 def _directions(m: int, bits: int = 31) -> list[list[int]]:
     out = [[1 << (bits - 1 - b) for b in range(bits)]]
-    degree, code = 1, 0
+    degree, code, rng = 1, 0, np.random.default_rng(1)
     while len(out) < m:
         poly = (1 << degree) | (code << 1) | 1
         if _primitive(poly, degree):
-            v = [1 << (bits - 1 - b) for b in range(degree)]
+            # Any odd number below 2^(b + 1) keeps each axis a perfect binary net.
+            v = [(2 * int(rng.integers(1 << b)) + 1) << (bits - 1 - b) for b in range(degree)]
             for b in range(degree, bits):
                 new = v[b - degree] ^ (v[b - degree] >> degree)
                 for k in range(1, degree):

@@ -249,6 +249,10 @@ class Domain:
         inside = replace(self, A=(), b=(), A_eq=(), b_eq=(), quads=()).sample(spark, n, seed).agg(F.avg(self.contains(coords("x", self.m)).cast("double")))
         return box * inside.first()[0]
 
+    def volume_from(self, x: list[Column], tol: float = TOL) -> Column:
+        """The volume as an aggregate over points that fill the bounds evenly: the share of them inside, times the box."""
+        return F.lit(math.prod(high - low for low, high in zip(self.lb, self.ub, strict=True))) * F.avg(self.contains(x, tol).cast("double"))
+
     def __mul__(self, other: Domain) -> Domain:
         """Tensor product: coordinates side by side."""
         pad = lambda A, before, after: tuple((0.0,) * before + tuple(a) + (0.0,) * after for a in A)

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ridgeline.functions import audits
 from ridgeline.functions import closed_form as cf
 from ridgeline.operators import design, moments, pairs, summaries
 from ridgeline.operators.domain import LogNormal, Normal, Uniform, box, coords, dot, linquad, point
@@ -163,8 +164,8 @@ def a11_subspace_convergence(spark, d):
 
 @query(f"WITH n AS ({NORM_SQL}) SELECT round(8.0 * avg(CASE WHEN na * na + nb * nb + nc * nc <= 1 THEN 1.0 ELSE 0.0 END), 6) AS volume FROM n")
 def a12_volume_share(spark, d):
-    x = LINE.normalize(abc())
-    return line(spark, d).agg(F.round(8.0 * F.avg((x[0] * x[0] + x[1] * x[1] + x[2] * x[2] <= 1).cast("double")), 6).alias("volume"))
+    ball = linquad([-1] * 3, [1] * 3, Ls=[np.eye(3)], ys=[[0, 0, 0]], rhos=[1])
+    return line(spark, d).agg(F.round(ball.volume_from(LINE.normalize(abc()), tol=0.0), 6).alias("volume"))
 
 
 @query(
@@ -469,27 +470,13 @@ def e2_gradients(spark, d):
 def e3_forward_differences(spark, d):
     """Largest difference between forward differences (h = 1e-7, normalised) and exact gradients, for each input."""
     df, x = _workload_rows(spark, d, cf.OTL)
-    h, exact = 1e-7, cf.OTL.gradients(x, normalized=True)[0]
-    base = cf.OTL.values(x)[0]
-    scale = cf.OTL.domain.center_scale()[1]
-    errors = []
-    for k in range(6):
-        moved = [xi + F.lit(h / scale[k]) if i == k else xi for i, xi in enumerate(x)]
-        errors.append(F.max(F.abs((cf.OTL.values(moved)[0] - base) / F.lit(h) - exact[k])).alias(f"e{k}"))
-    return df.agg(*errors)
+    exact = cf.OTL.gradients(x, normalized=True)[0]
+    found = audits.forward_differences(lambda y: cf.OTL.values(y)[0], x, scale=cf.OTL.domain.center_scale()[1])
+    return df.agg(*[F.max(F.abs(a - b)).alias(f"e{k}") for k, (a, b) in enumerate(zip(found, exact, strict=True))])
 
 
 @query()
 def e6_derivative_audit(spark, d):
     """Best central difference over many step sizes against the exact gradient, worst row by input."""
     df, x = _workload_rows(spark, d, cf.PISTON)
-    exact, scale = cf.PISTON.gradients(x, normalized=True)[0], cf.PISTON.domain.center_scale()[1]
-    steps = F.explode(F.array(*[F.lit(10.0**-k) for k in range(3, 8)]))
-    df = df.withColumn("h", steps)
-    out = []
-    for k in range(7):
-        up = [xi + F.col("h") / F.lit(scale[k]) if i == k else xi for i, xi in enumerate(x)]
-        down = [xi - F.col("h") / F.lit(scale[k]) if i == k else xi for i, xi in enumerate(x)]
-        out.append(F.abs((cf.PISTON.values(up)[0] - cf.PISTON.values(down)[0]) / (2 * F.col("h")) - exact[k]).alias(f"e{k}"))
-    best = df.select("l_orderkey", "l_linenumber", *out).groupBy("l_orderkey", "l_linenumber").agg(*[F.min(f"e{k}").alias(f"e{k}") for k in range(7)])
-    return best.agg(*[F.max(f"e{k}").alias(f"e{k}") for k in range(7)])
+    return audits.derivative_audit(df, lambda y: cf.PISTON.values(y)[0], cf.PISTON.gradients(x, normalized=True)[0], x, cf.PISTON.domain.center_scale()[1])

@@ -286,3 +286,29 @@ def test_ridge_hessian_equals_differences(spark):
 
     d = df.select(*[(at(i, 1, j, 1) - at(i, 1, j, -1) - at(i, -1, j, 1) + at(i, -1, j, -1)) / (4 * e * e) for i in range(3) for j in range(3)]).first()
     assert np.array(h) == pytest.approx(np.array(d), abs=1e-5)
+
+
+def test_sobol_axes_are_nets_in_many_dimensions(spark):
+    from ridgeline.operators.design import sobol
+    from ridgeline.operators.domain import box
+
+    x = np.array([r["x"] for r in sobol(spark, box([0] * 12, [1] * 12), 255).collect()])
+    for axis in x.T:  # with the origin, each of 256 equal bins has one point
+        assert sorted(np.floor(axis * 256).astype(int)) == list(range(1, 256))
+    pairs = [np.histogram2d(x[:, i], x[:, j], bins=4, range=[[0, 1]] * 2)[0] for i in range(12) for j in range(i)]
+    assert max(h.max() for h in pairs) <= 48 and len({tuple(a) for a in x.T}) == 12  # even share: 16
+
+
+def test_derivative_audits(spark):
+    from ridgeline.functions.audits import derivative_audit, forward_differences
+
+    df = spark.createDataFrame([(0.3, -1.0), (2.0, 0.5), (0.3, -1.0)], "a double, b double")
+    x = [F.col("a"), F.col("b")]
+    f = lambda y: F.sin(y[0]) * y[1] + y[0] * y[0]
+    exact = [F.cos(x[0]) * x[1] + 2 * x[0], F.sin(x[0])]
+    good = derivative_audit(df, f, exact, x, steps=40).first()
+    assert max(good) < 1e-8
+    assert derivative_audit(df, f, [exact[0] + 0.1, exact[1]], x, steps=40).first()["e0"] == pytest.approx(0.1, abs=0.02)
+    near = df.select(*[F.abs(a - b) for a, b in zip(forward_differences(f, x), exact, strict=True)]).collect()
+    assert max(v for r in near for v in r) < 1e-5
+    assert derivative_audit(df.limit(0), f, exact, x, steps=5).first()["e0"] is None
