@@ -1,7 +1,7 @@
 """Distance joins: test rows against training rows, and rows against each other.
 
-A metric L is applied once, as a projection; joins then see Euclidean points. The training side of a test-by-train
-join is sent to every task only if it is small; otherwise both sides are dealt in blocks.
+A metric L is applied once, as a projection; joins then see Euclidean points. Both sides are dealt in blocks of bounded
+size that meet by an equi-join on block numbers; no side is sent whole.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators.domain import coords, dot
 
-#: Bytes of a side that is sent whole; rows of a block.
-SMALL, BLOCK = 64 << 20, 4096
+#: Rows of a block.
+BLOCK = 4096
 
 
 def project(df: DataFrame, L, column: str = "x", to: str = "z") -> DataFrame:
@@ -43,16 +43,19 @@ def meet_train(test: DataFrame, train: DataFrame, kernel, schema: str, payload:
     """kernel(test ids, test points, train frame) -> frame, over blocks of test rows and blocks of training rows.
 
     test: id, z. train: id, z and the payload columns. The kernel's rows are partial results; the caller aggregates
-    them. Blocks meet by an equi-join on a deal number, of which there is one for each block of training rows.
+    them. Each test row goes to every deal of training rows and each training row to every block of test rows; there are
+    more blocks than their size asks for only where the tasks would be fewer than partitions.
     """
-    rows = train.count()
+    rows, tests = train.count(), test.count()
     deals = max(1, -(-rows // BLOCK))
+    tasks = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-tests // BLOCK), min(tests, -(-tasks // deals)))
     packed = train.select((F.pmod(F.xxhash64("id"), F.lit(deals))).cast("int").alias("deal"), "id", "z", *payload)
     asked = test.select("id", "z").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)).cast("array<int>")))
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, int(test.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    asked = asked.withColumn("block", block)
-    blocks = asked.select((F.col("block") + 0).alias("block"), (F.col("deal") + 0).alias("deal")).distinct()
-    met = packed.join(blocks, "deal").select((F.col("block") + 0).alias("block"), (F.col("deal") + 0).alias("deal"), *[F.col(c).alias(c) for c in ("id", "z", *payload)])
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<int>")))
+    # Both may come from one table: columns of their own keep the sides of the join apart.
+    met = met.select(*[F.col(c).alias(c) for c in ("block", "deal", "id", "z", *payload)])
     left, right = asked.groupBy("block", "deal"), met.groupBy("block", "deal")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
