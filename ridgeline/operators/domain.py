@@ -217,6 +217,13 @@ class Domain:
             drawn *= 4
         return hit_and_run(self, spark, n, seed)
 
+    def from_units(self, df: DataFrame, u: list[Column], to: str = "x") -> DataFrame:
+        """df with a point of the bounds for each row, from numbers of its own in [0, 1); rows whose point breaks another
+        constraint are left out, so points are even over the domain."""
+        x = [F.lit(low) + F.lit(high - low) * ui for low, high, ui in zip(self.lb, self.ub, u, strict=True)]
+        out = df.withColumn(to, F.array(*x))
+        return out if self.is_box else out.where(self.contains(coords(to, self.m), 0.0))
+
     def boundary(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         """Corners of the box in random directions."""
         return spark.range(n).select("id", F.array(*self.corner([F.randn(seed + k) for k in range(self.m)])).alias("x"))
@@ -397,6 +404,18 @@ class Normal:
         d2 = self._distance2(x)
         return F.when(d2 <= self.clip2, F.exp(-0.5 * d2) / F.lit(scale)).otherwise(0.0) if self.truncate else F.exp(-0.5 * d2) / F.lit(scale)
 
+    def from_units(self, u: list[Column]) -> list[Column]:
+        """Coordinates of a draw for each row, from numbers of its own in [0, 1): two for each pair of coordinates (Box and
+        Muller; an odd last coordinate takes two as well). A truncated distribution keeps the rows that it contains."""
+        pairs = -(-self.m // 2)
+        if len(u) != 2 * pairs:
+            raise ValueError(f"{2 * pairs} numbers are needed")
+        z = []
+        for k in range(pairs):
+            far, turn = F.sqrt(-2 * F.log(F.greatest(u[2 * k], F.lit(1e-12)))), 2 * math.pi * u[2 * k + 1]
+            z += [far * F.cos(turn), far * F.sin(turn)]
+        return [F.lit(mu) + dot(row, z[: self.m]) for mu, row in zip(self.mean, self._chol, strict=True)]
+
     def sample(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         """id, x; a truncated one is oversampled and filtered until it has n rows."""
         drawn = n if not self.truncate else int(n / (1 - self.truncate) * 1.1) + 50

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ridgeline.operators import clusters, design, pairs, ridge, summaries
-from ridgeline.operators.domain import coords, dot
+from ridgeline.operators import clusters, design, lipschitz, pairs, ridge, summaries
+from ridgeline.operators.domain import Normal, coords, dot, linquad
 from ridgeline.plans.more_queries import _shadow
 from ridgeline.plans.proven import ORACLES, QUERIES
-from ridgeline.plans.queries import PART_SQL, parts, query, r6, unit, vectors
+from ridgeline.plans.queries import _QUADRATIC, PART_SQL, _inputs_sql, _workload_rows, parts, query, r6, unit, vectors
 from ridgeline.sources import tables
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -193,3 +193,40 @@ def ds7_wide_vectors(spark, d):
     spread = clusters.spread_designs(z, {0: greedy})[0]
     best = clusters.minimax_particles(z, 8)
     return clusters.fill_distances(z, {0: greedy, 1: spread[0], 2: best[0]}).select(F.element_at(F.array(*map(F.lit, ("greedy", "spread", "particles"))), (F.col("key") + 1).cast("int")).alias("method"), "distance")
+
+
+_U = [unit("c_custkey", k) for k in range(4)]
+
+
+@query(
+    f"""WITH z AS (SELECT c_custkey AS id, sqrt(-2 * ln(greatest({_U[0]}, 1e-12))) * cos(2 * pi() * {_U[1]}) AS z0, sqrt(-2 * ln(greatest({_U[0]}, 1e-12))) * sin(2 * pi() * {_U[1]}) AS z1 FROM customer)
+SELECT id, round(z0, 5) + 0.0 AS x0, round(1 + 0.3 * z0 + sqrt(1.91) * z1, 5) + 0.0 AS x1 FROM z WHERE z0 * z0 + z1 * z1 <= -2 * ln(0.1)"""
+)
+def g2_g3_normal_of_rows(spark, d):
+    """A truncated normal draw for each customer, from numbers of its key."""
+    dist = Normal((0.0, 1.0), ((1.0, 0.3), (0.3, 2.0)), truncate=0.1)
+    df = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(*dist.from_units([F.expr(u) for u in _U[:2]])).alias("x"))
+    return df.where(dist.contains(coords("x", 2))).select("id", *[r6(F.get("x", k), 5).alias(f"x{k}") for k in range(2)])
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey AS id, 2 * {_U[0]} - 1 AS x0, 2 * {_U[1]} - 1 AS x1, 2 * {_U[2]} - 1 AS x2 FROM customer)
+SELECT id, round(x0, 8) + 0.0 AS x0, round(x1, 8) + 0.0 AS x1, round(x2, 8) + 0.0 AS x2 FROM p WHERE x0 + x1 + x2 <= 1 AND x0 * x0 + x1 * x1 + x2 * x2 <= 1"""
+)
+def g7_constrained_rows(spark, d):
+    """A point of a cut ball for each customer whose numbers fall into it."""
+    ball = linquad([-1] * 3, [1] * 3, A=[[1, 1, 1]], b=[1.0], Ls=[np.eye(3).tolist()], ys=[[0, 0, 0]], rhos=[1.0])
+    df = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_custkey")
+    return ball.from_units(df, [F.expr(u) for u in _U[:3]]).select("id", *[r6(F.get("x", k), 8).alias(f"x{k}") for k in range(3)])
+
+
+@query(
+    f"""WITH g AS (SELECT l_orderkey * 8 + l_linenumber AS id, 2 * x0 + 0.5 * x1 AS g0, 0.5 * x0 + x1 AS g1 FROM ({_inputs_sql(_QUADRATIC, ['x0', 'x1'])})),
+h AS (SELECT id, 6 - g0 * g0 AS a, 1 - g0 * g1 AS b, 3 - g1 * g1 AS c FROM g)
+SELECT id, round((a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b), 6) + 0.0 AS slack FROM h"""
+)
+def l7_slack_of_quadratic(spark, d):
+    """How far a matrix is from bounding each gradient of a quadratic."""
+    df, x = _workload_rows(spark, d, _QUADRATIC)
+    g = df.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(*_QUADRATIC.gradients(x)[0]).alias("grad"))
+    return lipschitz.gradient_slack(g, np.array([[6.0, 1.0], [1.0, 3.0]])).select("id", r6(F.col("slack")).alias("slack"))

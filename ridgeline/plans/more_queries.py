@@ -458,7 +458,11 @@ def sh1_shadow(spark, d):
     return _shadow(spark, d).select("id", r6(F.col("y1"), 8).alias("y1"), "fx")
 
 
-@query()
+@query(
+    f"""WITH s AS ({_SHADOW}), e AS (SELECT min(y1) AS low, max(y1) - min(y1) AS width FROM s), g AS (SELECT n, least(floor((y1 - low) / width * n), n - 1) AS bin FROM s, e, range(3, 26) r(n)),
+b AS (SELECT n, bin, count(*) AS k FROM g GROUP BY n, bin), f AS (SELECT n FROM b GROUP BY n HAVING count(*) = n AND min(k) FILTER (WHERE bin < n - 1) >= 5)
+SELECT (SELECT count(*) FROM s) AS rows, CAST(coalesce((SELECT max(n) FROM f), 3) AS INTEGER) AS bins"""
+)
 def sh2_bin_count(spark, d):
     df = _shadow(spark, d)
     n = summaries.bin_count(df)
