@@ -2,8 +2,10 @@
 
 The split pattern cuts texts into words. A higher-order function folds ranked merges over the bytes of a word: its state
 is the array of pieces and, for each, the rank of the merge with its right neighbour; a step takes the leftmost least
-rank, looks up the two merges that the new piece allows, and does nothing once no merge is left. A word that is a piece
-itself is that piece, as in the library. The most frequent distinct words are folded once, into a table of bounded
+rank, looks up the two merges that the new piece allows, and does nothing once no merge is left. In a long run a step
+merges every place of the least rank, from left to right, unless one of these merges would allow another of lesser rank;
+then it merges the leftmost only. Long runs are cut first between bytes that no piece of the vocabulary spans, so that
+the time doesn't grow with the square of the length. A word that is a piece itself is that piece, as in the library. The most frequent distinct words are folded once, into a table of bounded
 size; the others by the same fold where they stand. Decoding looks ids up in the literal map of pieces and concatenates
 them.
 
@@ -22,6 +24,10 @@ from ridgeline.llm._common import stored
 
 #: Words in the table of frequent ones at most, and their characters at most; bits of an id in a key of two.
 FREQUENT, WIDEST, BITS = 1 << 19, 64, 24
+#: Pieces from which on a step of the fold looks for all places of a rank; both kinds of steps give the same ids.
+LONG = 128
+#: Pieces in a stretch that is searched for a rank at once.
+STRETCH = 128
 #: Steps of the logarithm by which words are graded for the table.
 GRADES = 8
 
@@ -124,16 +130,21 @@ class _Tables:
         self.bytes = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
         self.n_pairs, self.n_pieces = (1 << max(8, len(x).bit_length()) for x in (pairs, vocabulary))
         self._pairs = _bucketed(spark.createDataFrame(pairs or [(-1, 0)], "pair long, rank int"), "pair", "rank", self.n_pairs)
+        spans = {p[k] << 16 | p[k + 1] << 8 | p[k + 2] for p, _ in vocabulary for k in range(len(p) - 2)}
+        self.n_spans = 1 << max(8, len(spans).bit_length())
+        self._spans = _bucketed(spark.createDataFrame([(x, 1) for x in sorted(spans)] or [(-1, 0)], "span int, one int"), "span", "one", self.n_spans)
         # Words are looked up as strings; a piece that is no text can't be a word.
         texts = [(p.decode(), r) for p, r in vocabulary if _is_text(p)]
         self._pieces = _bucketed(spark.createDataFrame(texts, "piece string, rank int"), "piece", "rank", self.n_pieces)
 
     def columns(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_first", self._pairs.scalar()).withColumn("_later", self._pairs.scalar()).withColumn("_pieces", self._pieces.scalar())
+        out = df.withColumn("_first", self._pairs.scalar()).withColumn("_later", self._pairs.scalar())
+        return out.withColumn("_pieces", self._pieces.scalar()).withColumn("_spans", self._spans.scalar())
 
     def fold(self, word: Column) -> Column:
         """Ids of a word."""
         key = lambda a, b: F.shiftleft(a.cast("long"), BITS).bitwiseOR(b.cast("long"))
+        merged = lambda a, b: _look((F.col("_later"), self.n_pairs), key(a, b))
 
         def step(state: Column, i: Column) -> Column:
             """Merges piece i (from 1) with the next one."""
@@ -143,19 +154,79 @@ class _Tables:
             found = F.transform(F.slice(around, F.when(i > 1, 1).otherwise(2), F.lit(2)), lambda k: _look((F.col("_later"), self.n_pairs), k))
             return F.struct(
                 F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), found, F.slice(r, i + 2, F.size(p))).alias("r"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), found, F.slice(r, i + 2, F.size(r))).alias("r"),
             )
 
+        def hits(r: Column, i: Column, new: Column) -> Column:
+            """Places (from 0) of a rank, first at i (from 1): looked for in the stretches of r that contain it."""
+            inside = F.filter(F.sequence(i - 1, F.size(r) - 1, F.lit(STRETCH)), lambda b: F.array_contains(F.slice(r, b + 1, F.lit(STRETCH)), new))
+            return F.flatten(F.transform(inside, lambda b: F.filter(F.sequence(b, F.least(b + STRETCH, F.size(r)) - 1), lambda h: F.get(r, h) == new)))
+
+        def sweep(p: Column, r: Column, i: Column, new: Column, state: Column) -> Column:
+            """Merges all places of the least rank, which piece i (from 1) has first. Places that follow each other
+            overlap: every second one from the left of such a stretch is taken. A place is given (from 0) with what is
+            between it and the place before, and with the ranks of the new piece's merges to the left and right."""
+
+            def places(hits: Column) -> Column:
+                first = F.filter(hits, lambda h: ~F.get(r, h - 1).eqNullSafe(new))
+                last = F.filter(hits, lambda h: ~F.get(r, h + 1).eqNullSafe(new))
+                return F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b, F.lit(2))))
+
+            def described(at: Column, twin: Column) -> Column:
+                one = lambda h, k: F.struct(
+                    h.alias("at"),
+                    F.coalesce(F.get(at, k - 1) + 2, F.lit(0)).alias("from"),
+                    merged(F.get(p, h - 1), new).alias("left"),
+                    merged(new, F.get(p, h + 2)).alias("right"),
+                    F.when(F.get(at, k + 1) == h + 2, F.struct(twin.alias("rank"))).alias("next"),
+                )
+                return F.transform(at, one)
+
+            def put(found: Column) -> Column:
+                rest = F.get(F.transform(F.slice(found, F.lit(-1), F.lit(1)), lambda x: x["at"] + 3), F.lit(0))
+                pieces = F.transform(found, lambda x: F.when(x["at"] == x["from"], F.array(new)).otherwise(F.concat(F.slice(p, x["from"] + 1, x["at"] - x["from"]), F.array(new))))
+                after = lambda x: F.when(x["next"].isNotNull(), x["next"]["rank"]).otherwise(x["right"])
+                ranks = F.transform(
+                    found,
+                    lambda x: F.when(x["at"] == x["from"], F.array(after(x))).otherwise(
+                        F.concat(F.slice(r, x["from"] + 1, x["at"] - x["from"] - 1), F.array(x["left"], after(x)))
+                    ),
+                )
+                return F.struct(
+                    F.concat(F.flatten(pieces), F.slice(p, rest, F.size(p))).alias("p"),
+                    F.concat(F.flatten(ranks), F.slice(r, rest, F.size(r))).alias("r"),
+                )
+
+            def checked(found: Column) -> Column:
+                lesser = F.exists(found, lambda x: F.coalesce(F.least(x["left"], x["right"], x["next"]["rank"]) < new, F.lit(False)))
+                return F.when(lesser, step(state, i)).otherwise(put(found))
+
+            return _let(hits(r, i, new), lambda hits: _let(places(hits), lambda at: _let(F.struct(merged(new, new).alias("twin")), lambda t: _let(described(at, t["twin"]), checked))))
+
         def ids(start: Column) -> Column:
             ranks = F.transform(start, lambda a, k: _look((F.col("_first"), self.n_pairs), key(a, F.get(start, k + 1))))
             state = F.struct(start.alias("p"), ranks.alias("r"))
-            one = lambda s: _let(F.array_position(s["r"], F.array_min(s["r"])).cast("int"), lambda i: F.when(i > 0, step(s, i)).otherwise(s))
+            # Without a merge left, the ranks are emptied, so that the steps that remain cost nothing.
+            done = lambda s: F.struct(s["p"].alias("p"), F.slice(s["r"], F.lit(1), F.lit(0)).alias("r"))
+            one = lambda s: _let(
+                F.array_position(s["r"], F.array_min(s["r"])).cast("int"),
+                lambda i: F.when(i.isNull(), done(s)).when(F.size(s["r"]) < LONG, step(s, i)).otherwise(_let(s["p"], lambda p: _let(s["r"], lambda r: _let(F.get(r, i - 1), lambda new: sweep(p, r, i, new, s))))),
+            )
             return F.aggregate(F.slice(start, F.lit(2), F.size(start)), state, lambda s, _: one(s), lambda s: s["p"])
 
-        letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-        start = F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c)))
+        def cut(codes: Column) -> Column:
+            """Bytes in parts that no piece spans: two bytes are no piece, nor are they in one with a third byte."""
+            spanned = lambda j: _look((F.col("_spans"), self.n_spans), F.shiftleft(F.get(codes, j), 16) + F.shiftleft(F.get(codes, j + 1), 8) + F.get(codes, j + 2)).isNotNull()
+            piece = lambda j: merged(F.get(self.bytes, F.get(codes, j)), F.get(self.bytes, F.get(codes, j + 1))).isNotNull()
+            last = F.size(codes) - 1
+            ends = F.filter(F.sequence(F.lit(0), last - 1), lambda j: ~(piece(j) | spanned(j - 1) | spanned(j)))
+            return _let(ends, lambda ends: F.zip_with(F.concat(F.array(F.lit(-1)), ends), F.concat(ends, F.array(last)), lambda a, b: F.transform(F.sequence(a + 1, b), lambda j: F.get(codes, j))))
+
+        codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), F.ascii)
+        parts = lambda codes: F.when(F.size(codes) < LONG, F.array(codes)).otherwise(cut(codes))
+        folded = lambda parts: F.flatten(F.transform(parts, lambda part: _let(F.transform(part, lambda c: F.get(self.bytes, c)), ids)))
         whole = F.filter(F.array(_look((F.col("_pieces"), self.n_pieces), word)), lambda x: x.isNotNull())
-        return _let(whole, lambda whole: F.when(F.size(whole) > 0, whole).otherwise(_let(start, ids)))
+        return _let(whole, lambda whole: F.when(F.size(whole) > 0, whole).otherwise(_let(codes, lambda codes: _let(parts(codes), folded))))
 
 
 def _is_text(piece: bytes) -> bool:
@@ -213,7 +284,8 @@ def round_trip(docs: DataFrame, pattern: str, vocabulary: list[tuple[bytes, int]
     """Encodes and decodes every document: doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined), decoded_sha256.
 
     A null text is empty and has no tokens. Repeated rows and null ids get a row each; an empty table gives none; other
-    columns of docs don't matter. A run without a place to split takes time with the square of its length.
+    columns of docs don't matter. A run without a place to split takes time with the lengths of the parts into which it
+    can be cut, each times the different ranks in it.
     """
     return decode(encode(docs, pattern, vocabulary, doc_id, text, limit), vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
