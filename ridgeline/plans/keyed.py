@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ridgeline.operators import clusters, design, lipschitz, pairs, ridge, summaries
+from ridgeline.operators import clusters, design, lipschitz, pairs, processes, ridge, summaries
 from ridgeline.operators.domain import Normal, coords, dot, linquad
 from ridgeline.plans.more_queries import _shadow
 from ridgeline.plans.proven import ORACLES, QUERIES
@@ -230,3 +230,14 @@ def l7_slack_of_quadratic(spark, d):
     df, x = _workload_rows(spark, d, _QUADRATIC)
     g = df.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(*_QUADRATIC.gradients(x)[0]).alias("grad"))
     return lipschitz.gradient_slack(g, np.array([[6.0, 1.0], [1.0, 3.0]])).select("id", r6(F.col("slack")).alias("slack"))
+
+
+@query()
+def gp3_structures(spark, d):
+    """Metrics of three structures, each begun at the one before, with a linear trend: likelihood and metric."""
+    df = parts(spark, d)
+    scalar = processes.fit_process(df, 2, "scalar", 1, limit=40, nugget=1e-2, rounds=3)
+    both = processes.fit_process(df, 2, "diagonal", 1, start=[scalar.ell[0]] * 2, limit=40, nugget=1e-2, rounds=3)
+    lower = processes.fit_process(df, 2, "triangular", 1, start=[both.ell[0], 0.0, both.ell[1]], limit=40, nugget=1e-2, rounds=3)
+    rows = [(n, float(p.nll), p.L.ravel().tolist()) for n, p in (("scalar", scalar), ("diagonal", both), ("triangular", lower))]
+    return spark.createDataFrame(rows, "structure string, nll double, L array<double>")
