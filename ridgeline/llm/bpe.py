@@ -7,6 +7,10 @@ itself is that piece, as in the library. The most frequent distinct words are fo
 size; the others by the same fold where they stand. Decoding looks ids up in the literal map of pieces and concatenates
 them.
 
+A word of LONG bytes or more is cut first between bytes that no piece of the vocabulary spans. In parts that are still
+as long, a step merges every place of the least rank, from left to right, unless one of these merges would allow another
+of lesser rank; then it merges the leftmost only. So the time doesn't grow with the square of the length.
+
 Literal maps are arrays of small buckets by hash, as Spark searches a map value from its start.
 """
 
@@ -22,6 +26,9 @@ from ridgeline.llm._common import stored
 
 #: Words in the table of frequent ones at most, and their characters at most; bits of an id in a key of two.
 FREQUENT, WIDEST, BITS = 1 << 19, 64, 24
+#: Bytes from which on a word is cut and a step looks for all places of a rank (the ids are the same either way), and
+#: pieces in a stretch that is searched for a rank at once.
+LONG, STRETCH = 512, 128
 #: Steps of the logarithm by which words are graded for the table.
 GRADES = 8
 
@@ -88,8 +95,8 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + "".join(out)
 
 
-# A table is referred to once by each expression, so that the optimizer puts the literal in its place; as a column, it
-# would be copied for every row.
+# Every reference to a table is a column of its own, so that the optimizer puts the literal in its place; a column that is
+# referred to twice would be copied for every row.
 
 
 def _bucketed(df: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
@@ -114,48 +121,135 @@ def _let(value: Column, then) -> Column:
 
 
 class _Tables:
-    """The literal maps of a vocabulary: piece to rank, pair of ids to the rank of their merge, byte to id."""
+    """The literal maps of a vocabulary: piece to rank, pair of ids to the rank of their merge, byte to id, and the
+    sequences of three bytes that are in a piece."""
 
     def __init__(self, spark: SparkSession, vocabulary: list[tuple[bytes, int]]):
         ranks = dict(vocabulary)
         if max(ranks.values()) >= 1 << BITS or not all(bytes([b]) in ranks for b in range(256)):
             raise ValueError("ranks must be below 2^24, and every byte a piece")
         pairs = [(ranks[a] << BITS | ranks[b], r) for p, r in vocabulary for k in range(1, len(p)) if (a := p[:k]) in ranks and (b := p[k:]) in ranks]
-        self.bytes = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
-        self.n_pairs, self.n_pieces = (1 << max(8, len(x).bit_length()) for x in (pairs, vocabulary))
-        self._pairs = _bucketed(spark.createDataFrame(pairs or [(-1, 0)], "pair long, rank int"), "pair", "rank", self.n_pairs)
+        spans = sorted({int.from_bytes(p[k : k + 3]) for p, _ in vocabulary for k in range(len(p) - 2)})
         # Words are looked up as strings; a piece that is no text can't be a word.
         texts = [(p.decode(), r) for p, r in vocabulary if _is_text(p)]
-        self._pieces = _bucketed(spark.createDataFrame(texts, "piece string, rank int"), "piece", "rank", self.n_pieces)
-
-    def columns(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_first", self._pairs.scalar()).withColumn("_later", self._pairs.scalar()).withColumn("_pieces", self._pieces.scalar())
-
-    def fold(self, word: Column) -> Column:
+        self.bytes = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+        self.maps = {
+            "pairs": self._map(spark.createDataFrame(pairs or [(-1, 0)], "pair long, rank int"), len(pairs)),
+            "spans": self._map(spark.createDataFrame([(x, 1) for x in spans] or [(-1, 0)], "span int, one int"), len(spans)),
+            "pieces": self._map(spark.createDataFrame(texts, "piece string, rank int"), len(texts)),
+        }
+
+    @staticmethod
+    def _map(df: DataFrame, n: int) -> tuple[DataFrame, int]:
+        buckets = 1 << max(8, n.bit_length())
+        return _bucketed(df, *df.columns, buckets), buckets
+
+    def folded(self, df: DataFrame, with_ids) -> DataFrame:
+        """df with the columns of tables that with_ids' expression, a function of the fold, refers to, and with `ids`."""
+        used: dict[str, str] = {}
+
+        def look(name: str, key: Column) -> Column:
+            column = f"_{name}_{len(used)}"
+            used[column] = name
+            return _look((F.col(column), self.maps[name][1]), key)
+
+        ids = with_ids(lambda word: self._fold(word, look))
+        for column, name in used.items():
+            df = df.withColumn(column, self.maps[name][0].scalar())
+        return df.withColumn("ids", ids)
+
+    def _fold(self, word: Column, look) -> Column:
         """Ids of a word."""
         key = lambda a, b: F.shiftleft(a.cast("long"), BITS).bitwiseOR(b.cast("long"))
+        merged = lambda a, b: look("pairs", key(a, b))
 
         def step(state: Column, i: Column) -> Column:
             """Merges piece i (from 1) with the next one."""
             p, r = state["p"], state["r"]
             new = F.get(r, i - 1)
             around = F.array(key(F.get(p, i - 2), new), key(new, F.get(p, i + 1)))
-            found = F.transform(F.slice(around, F.when(i > 1, 1).otherwise(2), F.lit(2)), lambda k: _look((F.col("_later"), self.n_pairs), k))
+            found = F.transform(F.slice(around, F.when(i > 1, 1).otherwise(2), F.lit(2)), lambda k: look("pairs", k))
             return F.struct(
                 F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
                 F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), found, F.slice(r, i + 2, F.size(p))).alias("r"),
             )
 
-        def ids(start: Column) -> Column:
-            ranks = F.transform(start, lambda a, k: _look((F.col("_first"), self.n_pairs), key(a, F.get(start, k + 1))))
+        def places(p: Column, r: Column, i: Column, new: Column) -> Column:
+            """Where a step merges all pairs of the least rank, which piece i (from 1) has first: r is searched in the
+            stretches that have it. Places that follow each other overlap: every second one from the left is taken."""
+            inside = F.filter(F.sequence(i - 1, F.size(r) - 1, F.lit(STRETCH)), lambda b: F.array_contains(F.slice(r, b + 1, F.lit(STRETCH)), new))
+            hits = F.flatten(F.transform(inside, lambda b: F.filter(F.sequence(b, F.least(b + STRETCH, F.size(r)) - 1), lambda h: F.get(r, h) == new)))
+
+            def apart(hits: Column) -> Column:
+                first = F.filter(hits, lambda h: ~F.get(r, h - 1).eqNullSafe(new))
+                last = F.filter(hits, lambda h: ~F.get(r, h + 1).eqNullSafe(new))
+                return F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b, F.lit(2))))
+
+            def described(at: Column, twin: Column) -> Column:
+                """A place (from 0), the end of the one before, and the ranks of the new piece's merges on both sides."""
+                return F.transform(
+                    at,
+                    lambda h, k: F.struct(
+                        h.alias("at"),
+                        F.coalesce(F.get(at, k - 1) + 2, F.lit(0)).alias("from"),
+                        merged(F.get(p, h - 1), new).alias("left"),
+                        merged(new, F.get(p, h + 2)).alias("right"),
+                        F.when(F.get(at, k + 1) == h + 2, F.struct(twin.alias("rank"))).alias("next"),
+                    ),
+                )
+
+            return _let(hits, lambda hits: _let(apart(hits), lambda at: _let(F.struct(merged(new, new).alias("twin")), lambda t: described(at, t["twin"]))))
+
+        def sweep(state: Column, i: Column) -> Column:
+            """Merges all places of the least rank, or the first one if a merge of lesser rank would follow."""
+
+            def put(p: Column, r: Column, new: Column, found: Column) -> Column:
+                rest = F.get(F.transform(F.slice(found, F.lit(-1), F.lit(1)), lambda x: x["at"] + 3), F.lit(0))
+                after = lambda x: F.when(x["next"].isNotNull(), x["next"]["rank"]).otherwise(x["right"])
+                pieces = lambda x: F.when(x["at"] == x["from"], F.array(new)).otherwise(F.concat(F.slice(p, x["from"] + 1, x["at"] - x["from"]), F.array(new)))
+                ranks = lambda x: F.when(x["at"] == x["from"], F.array(after(x))).otherwise(F.concat(F.slice(r, x["from"] + 1, x["at"] - x["from"] - 1), F.array(x["left"], after(x))))
+                return F.struct(
+                    F.concat(F.flatten(F.transform(found, pieces)), F.slice(p, rest, F.size(p))).alias("p"),
+                    F.concat(F.flatten(F.transform(found, ranks)), F.slice(r, rest, F.size(r))).alias("r"),
+                )
+
+            def all_or_first(p: Column, r: Column, new: Column) -> Column:
+                lesser = lambda x: F.coalesce(F.least(x["left"], x["right"], x["next"]["rank"]) < new, F.lit(False))
+                return _let(places(p, r, i, new), lambda found: F.when(F.exists(found, lesser), step(state, i)).otherwise(put(p, r, new, found)))
+
+            return _let(state["p"], lambda p: _let(state["r"], lambda r: _let(F.get(r, i - 1), lambda new: all_or_first(p, r, new))))
+
+        def ids(start: Column, one) -> Column:
+            """Steps until no merge is left."""
+            ranks = F.transform(start, lambda a, k: look("pairs", key(a, F.get(start, k + 1))))
             state = F.struct(start.alias("p"), ranks.alias("r"))
-            one = lambda s: _let(F.array_position(s["r"], F.array_min(s["r"])).cast("int"), lambda i: F.when(i > 0, step(s, i)).otherwise(s))
-            return F.aggregate(F.slice(start, F.lit(2), F.size(start)), state, lambda s, _: one(s), lambda s: s["p"])
+            return F.aggregate(F.slice(start, F.lit(2), F.size(start)), state, lambda s, _: _let(F.array_position(s["r"], F.array_min(s["r"])).cast("int"), lambda i: one(s, i)), lambda s: s["p"])
+
+        def one_of_short(s: Column, i: Column) -> Column:
+            return F.when(i > 0, step(s, i)).otherwise(s)
+
+        def one_of_long(s: Column, i: Column) -> Column:
+            # Without a merge left, the ranks are emptied, so that the steps that remain cost nothing.
+            done = F.struct(s["p"].alias("p"), F.slice(s["r"], F.lit(1), F.lit(0)).alias("r"))
+            return F.when(i.isNull(), done).when(F.size(s["r"]) < LONG, step(s, i)).otherwise(sweep(s, i))
+
+        def cut(start: Column) -> Column:
+            """Bytes in parts that no piece spans: two bytes are no piece, nor are they in one with a third byte."""
+            spanned = lambda c, j: look("spans", F.shiftleft(F.get(c, j), 16) + F.shiftleft(F.get(c, j + 1), 8) + F.get(c, j + 2)).isNotNull()
+            piece = lambda c, j: merged(F.get(self.bytes, F.get(c, j)), F.get(self.bytes, F.get(c, j + 1))).isNotNull()
+
+            def parts(c: Column) -> Column:
+                last = F.size(c) - 1
+                ends = F.filter(F.sequence(F.lit(0), last - 1), lambda j: ~(piece(c, j) | spanned(c, j - 1) | spanned(c, j)))
+                return _let(ends, lambda e: F.zip_with(F.concat(F.array(F.lit(-1)), e), F.concat(e, F.array(last)), lambda a, b: F.transform(F.slice(c, a + 2, b - a), lambda x: F.get(self.bytes, x))))
+
+            return _let(start, parts)
 
         letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-        start = F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c)))
-        whole = F.filter(F.array(_look((F.col("_pieces"), self.n_pieces), word)), lambda x: x.isNotNull())
-        return _let(whole, lambda whole: F.when(F.size(whole) > 0, whole).otherwise(_let(start, ids)))
+        short = _let(F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c))), lambda start: ids(start, one_of_short))
+        long = F.flatten(F.transform(cut(F.transform(letters, F.ascii)), lambda part: ids(part, one_of_long)))
+        whole = F.filter(F.array(look("pieces", word)), lambda x: x.isNotNull())
+        return _let(whole, lambda whole: F.when(F.size(whole) > 0, whole).when(F.octet_length(word) < LONG, short).otherwise(long))
 
 
 def _is_text(piece: bytes) -> bool:
@@ -184,8 +278,8 @@ def frequent_words(texts: DataFrame, pattern: str, tables: _Tables, limit: int =
             break
         least = r["grade"]
     top = counts.where(F.col("grade") >= least if least is not None else F.lit(False)).select("word")
-    folded = tables.columns(top.repartition(texts.sparkSession.sparkContext.defaultParallelism * 2))
-    return stored(folded.select("word", tables.fold(F.col("word")).alias("ids")), "words")
+    folded = tables.folded(top.repartition(texts.sparkSession.sparkContext.defaultParallelism * 2), lambda fold: fold(F.col("word")))
+    return stored(folded.select("word", "ids"), "words")
 
 
 def encode(docs: DataFrame, pattern: str, vocabulary: list[tuple[bytes, int]], doc_id: str = "doc_id", text: str = "text", limit: int = FREQUENT) -> DataFrame:
@@ -194,9 +288,9 @@ def encode(docs: DataFrame, pattern: str, vocabulary: list[tuple[bytes, int]], d
     tables = _Tables(docs.sparkSession, vocabulary)
     words = frequent_words(texts, pattern, tables, limit)
     buckets = 1 << max(8, words.count().bit_length())
-    split = tables.columns(texts.withColumn("w", _split(pattern)).withColumn("_known", _bucketed(words, "word", "ids", buckets).scalar()))
-    ids = F.flatten(F.transform("w", lambda w: F.coalesce(_look((F.col("_known"), buckets), w), tables.fold(w))))
-    return split.select("doc_id", ids.alias("ids"))
+    split = texts.withColumn("w", _split(pattern)).withColumn("_known", _bucketed(words, "word", "ids", buckets).scalar())
+    every = lambda fold: F.flatten(F.transform("w", lambda w: F.coalesce(_look((F.col("_known"), buckets), w), fold(w))))
+    return tables.folded(split, every).select("doc_id", "ids")
 
 
 def decode(ids: DataFrame, vocabulary: list[tuple[bytes, int]]) -> DataFrame:
@@ -213,7 +307,8 @@ def round_trip(docs: DataFrame, pattern: str, vocabulary: list[tuple[bytes, int]
     """Encodes and decodes every document: doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined), decoded_sha256.
 
     A null text is empty and has no tokens. Repeated rows and null ids get a row each; an empty table gives none; other
-    columns of docs don't matter. A run without a place to split takes time with the square of its length.
+    columns of docs don't matter. A run that the pattern doesn't split takes time with the lengths of the parts into which
+    it can be cut, each times the different ranks in it.
     """
     return decode(encode(docs, pattern, vocabulary, doc_id, text, limit), vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

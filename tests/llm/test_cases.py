@@ -219,3 +219,22 @@ def test_further_links_join_classes(spark):
     for k in (120, 130, 250):
         labels = join._with_links(labels, frame(edges[k : {120: 130, 130: 250, 250: 300}[k]]))
     assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, join.components(frame(edges)).collect()))
+
+
+def test_bpe_of_long_runs(spark, P):
+    """Runs that the pattern doesn't split: cut where no piece spans, then merged by all places of a rank."""
+    tiktoken = pytest.importorskip("tiktoken")
+
+    vocabulary = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(vocabulary), special_tokens={})
+    rng = random.Random(7)
+    alphabets = ["ab", "aaab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "=-", "éèab", "日本語中文的"]
+    parts = ["the", "and", "ing", "tion", "er", "on", "re", "ab", "in", "th"]
+    texts = ["".join(rng.choices(a, k=rng.randint(100, 1500))) for a in alphabets for _ in range(6)]
+    texts += ["".join(rng.choices(parts, k=rng.randint(40, 700))) for _ in range(30)]
+    texts += [c * k for c in ("a", "=", "ab") for k in (127, 511, 512, 513, 1100)]
+    texts += ["".join(rng.choices(alphabets[3], k=100_000)), "a" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.ids_sha256 for r in bpe.round_trip(df, P.PATTERN, vocabulary).collect()}
+    for n, text in enumerate(texts):
+        assert got[n] == hashlib.sha256(",".join(map(str, library.encode_ordinary(text))).encode()).hexdigest(), text[:80]
