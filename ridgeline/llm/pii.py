@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
-Matches of the fixed patterns are the seeds. The words to the left of seeds are lexical patterns; the tokens that a
-pattern extracts are its instances. Scores spread over the pattern-instance graph in rounds: an instance is as sure
-as its best pattern, a pattern as sure as the share of sure instances of one kind among all it extracts. Tokens after
-sure patterns are new spans of that kind. Everything is DataFrame operations; only counts of code points and short
-contexts are shuffled, never texts.
+Matches of the fixed patterns are the seeds. The words to the left of seeds are lexical patterns; whatever follows a
+pattern anywhere, of any shape, is its instance: a token, or some tokens with digits in a row. Scores spread over the
+pattern-instance graph in rounds: an instance is as sure as its best pattern, a pattern as sure as the share of sure
+instances of one kind among all it extracts. What follows sure patterns is a new span of that kind, unless its first
+token mostly stands elsewhere, as common words do. Everything is DataFrame operations. Texts are cut into blocks of
+tokens where they stand; only what follows a pattern with enough seeds is shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm._common import GAP, lower_ascii, place, stored
+from ridgeline.llm._common import GAP, SPACE, lower_ascii, place, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; seeds that a pattern needs; least score of a pattern that extracts; code points of context kept.
 ROUNDS, SEEDS, SURE, CONTEXT = 3, 5, 0.8, 64
+#: Least share of seeds among a pattern's instances; least share of a first token's occurrences that sure patterns extract.
+SEEDED, OWN = 0.1, 0.5
+#: Tokens with digits in a row that are one instance at most; tokens in a block; rows of a table that is sent to all tasks.
+GROUPS, BLOCK, SENT = 4, 64, 1 << 16
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _LOCAL = "[A-Za-z0-9._%+\\x02-]"
@@ -56,7 +61,6 @@ SEARCH = {
     "ip": ("text", lambda t: F.rlike(t, F.lit(r"[0-9]\.[0-9]")), r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: F.rlike(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))),
     "card": ("joined", lambda t: F.rlike(t, F.lit(r"[0-9][0-9\x20-]{14}")), r"[0-9][0-9\x20-]++", lambda m: F.when(_between(F.length(_digits(m)), 16, 19), _luhn(m)).otherwise(False)),
     "phone": ("text", lambda t: F.contains(t, F.lit("+")), r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: _between(F.length(_digits(m)), 8, 15)),
-    "token": ("text", lambda t: F.rlike(t, F.lit("[0-9]")), rf"(?<!{_NOT_SPACE})(?=[^0-9\x20\x09-\x0D]*+[0-9]){_NOT_SPACE}{{6,}}+", lambda m: F.lit(True)),
 }
 
 
@@ -87,38 +91,107 @@ def _found(docs: DataFrame) -> DataFrame:
     return df.select("row", "doc_id", F.explode_outer(F.concat(*parts)).alias("f")).select("row", "doc_id", "f.*")
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, kind, start, end, match, context: fixed matches that hold, and tokens apart from them. A document
-    without any has one row with kind null."""
+def _fixed(docs: DataFrame) -> DataFrame:
+    """row, doc_id, kind, start, end, match, context: fixed matches that hold. A document without any has one row with
+    kind null."""
     at = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(at)
     df = _found(docs).withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     holds = F.lit(True)
     for kind, (*_, test) in SEARCH.items():
         holds = F.when(F.col("kind") == kind, test(F.col("match"))).otherwise(holds)
-    df = df.withColumn("kind", F.when(holds, F.col("kind")))
-    fixed = F.col("kind").isin(*KINDS)
+    return df.select("row", "doc_id", F.when(holds, F.col("kind")).alias("kind"), "start", "end", "match", "context")
+
+
+def _contexts(context: Column) -> Column:
+    """The patterns of a place: the last two words before it, and the last one."""
+    return F.array_distinct(F.array(context, F.regexp_extract(context, r"([^\x20]+)$", 1)))
+
+
+def _near(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """df joined with a stored table of keys, which is sent to all tasks if it has few rows and characters."""
+    size = keys.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(on)), F.lit(0)).alias("characters")).first()
+    return df.join(F.broadcast(keys) if size["rows"] <= SENT and size["characters"] <= CONTEXT * SENT else keys, on)
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """row, start, context, ahead of every token of every text: where it starts, the two words before it, and itself with
+    the next GROUPS - 1 tokens. Pieces are tokens with the white space before them; a block of pieces knows what is
+    before it, so that places are summed within blocks only."""
+    pieces = F.regexp_extract_all(F.rtrim("text", F.lit(SPACE)), F.lit(rf"[\x20\x09-\x0D]*+{_NOT_SPACE}++"), F.lit(0))
+    df = docs.select("row", pieces.alias("pieces")).where(F.size("pieces") > 0)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    sums = F.transform(F.sequence(F.lit(1), F.size("pieces"), F.lit(BLOCK)), lambda b: total(F.slice("pieces", b, F.lit(BLOCK))))
+    running = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    df = df.withColumn("bases", running(sums))
+    block = lambda b: F.struct(
+        F.get("bases", F.floor((b - 1) / BLOCK).cast("int")).alias("base"),
+        F.slice("pieces", F.greatest(b - 2, F.lit(1)), F.least(b - 1, F.lit(2))).alias("before"),
+        F.slice("pieces", b, F.lit(BLOCK)).alias("here"),
+        F.slice("pieces", b + BLOCK, F.lit(GROUPS - 1)).alias("after"),
+    )
+    df = df.select("row", F.explode(F.transform(F.sequence(F.lit(1), F.size("pieces"), F.lit(BLOCK)), block)).alias("b")).select("row", "b.*")
+    df = df.withColumn("ends", running(F.transform("here", lambda x: F.length(x)))).withColumn("skip", F.size("before"))
+    df = df.withColumn("every", F.concat("before", "here", "after")).withColumn("bare", F.transform(F.concat("before", "here"), lambda x: F.ltrim(lower_ascii(x), F.lit(SPACE))))
+
+    def item(piece: Column, k: Column) -> Column:
+        at = k + F.col("skip")
+        context = F.nullif(F.concat_ws(" ", F.get("bare", at - 2), F.get("bare", at - 1)), F.lit(""))
+        ahead = F.array_join(F.slice("every", at + 1, F.lit(GROUPS)), "")
+        start = F.col("base") + F.get("ends", k) + F.length(piece) - F.length(F.ltrim(piece, F.lit(SPACE)))
+        return F.struct(start.alias("start"), F.right(context, F.lit(CONTEXT)).alias("context"), F.ltrim(ahead, F.lit(SPACE)).alias("ahead"))
+
+    return df.select("row", F.explode(F.transform("here", item)).alias("t")).select("row", "t.*")
+
+
+def _candidates(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
+    """row, start, end, context, match, first of what follows patterns: tokens with digits in a row, or else one token, both
+    without the marks at their end. What has neither letter nor digit is left out."""
+    near = _near(tokens.where("context is not null").select("row", "start", F.explode(_contexts(F.col("context"))).alias("context"), "ahead"), patterns, "context")
+    number = rf"{_NOT_SPACE}*[0-9]{_NOT_SPACE}*"
+    match = F.regexp_extract("ahead", rf"^(?:{number}(?:\x20{number}){{0,{GROUPS - 1}}}|{_NOT_SPACE}+)", 0)
+    first = F.regexp_extract("ahead", rf"^{_NOT_SPACE}+", 0)
+    df = near.withColumn("match", F.regexp_replace(match, r"[.,;:!?]+$", "")).where(F.rlike("match", F.lit(r"[\p{L}\p{N}]")))
+    return df.select("row", "start", (F.col("start") + F.length("match")).alias("end"), "context", "match", first.alias("first"))
+
+
+def _apart(candidates: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Candidates that meet no fixed span of their document."""
+    spans = fixed.where("kind is not null").select("row", "start", "end", F.lit(True).alias("fixed"))
+    both = candidates.withColumn("fixed", F.lit(False)).unionByName(spans, allowMissingColumns=True)
     before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("reached", F.max(F.when(fixed, F.col("end"))).over(before)).withColumn("next", F.min(F.when(fixed, F.col("start"))).over(after))
+    both = both.withColumn("reached", F.max(F.when(F.col("fixed"), F.col("end"))).over(before)).withColumn("next", F.min(F.when(F.col("fixed"), F.col("start"))).over(after))
     meets = F.coalesce(F.col("reached") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
-    kind = F.when((F.col("kind") == "token") & meets, None).otherwise(F.col("kind"))
-    return df.select("row", "doc_id", kind.alias("kind"), "start", "end", "match", "context")
+    return both.where(~F.col("fixed") & ~meets).select(*candidates.columns)
 
 
-def sure_patterns(spans: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, sure: float = SURE) -> DataFrame:
+def seeded_patterns(fixed: DataFrame, tokens: DataFrame, seeds: int = SEEDS, share: float = SEEDED) -> DataFrame:
+    """context of the patterns that `seeds` different seeds of one kind follow and that may have `share` of seeds among
+    their instances: the estimate of their first tokens must not be twice what allows it."""
+    edges = fixed.where("kind is not null and context is not null").select(F.explode(_contexts(F.col("context"))).alias("context"), "match", "kind").distinct()
+    counts = edges.groupBy("context", "kind").count().groupBy("context").agg(F.max("count").alias("most")).where(F.col("most") >= seeds)
+    counts = stored(counts, "seeded")
+    first = F.regexp_extract("ahead", rf"^{_NOT_SPACE}+", 0)
+    followed = _near(tokens.where("context is not null").select(F.explode(_contexts(F.col("context"))).alias("context"), first.alias("first")), counts, "context")
+    wide = followed.groupBy("context", "most").agg(F.approx_count_distinct("first", 0.02).alias("n"))
+    return stored(counts.join(wide.where(F.col("n") * share > 2 * F.col("most")), "context", "left_anti").select("context"), "contexts")
+
+
+def sure_patterns(fixed: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, sure: float = SURE, share: float = SEEDED) -> DataFrame:
     """context, found_kind, score of the patterns that extract.
 
     A pattern is a context of one or two words. A seed's instance has score 1 for its kind; others start at 0. Each
-    round: score of a pattern = sum of its instances' scores / (instances + 1), if `seeds` of them are seeds; score of
-    an instance = that of its best pattern.
+    round: score of a pattern = sum of its instances' scores / (instances + 1), if `seeds` of them are seeds, and these
+    are `share` of all; score of an instance = that of its best pattern.
     """
-    both = F.array_distinct(F.array(F.col("context"), F.regexp_extract("context", r"([^\x20]+)$", 1)))
-    edges = spans.where("kind is not null and context is not null").select(F.explode(both).alias("context"), "match", F.when(F.col("kind") != "token", F.col("kind")).alias("seed"))
+    seen = fixed.where("kind is not null and context is not null").select(F.explode(_contexts(F.col("context"))).alias("context"), "match", F.col("kind").alias("seed"))
+    edges = seen.unionByName(candidates.select("context", "match", F.lit(None).cast("string").alias("seed")))
     edges = edges.groupBy("context", "match").agg(F.min("seed").alias("seed"))
     # Patterns without enough seeds never count; of the others, the graph is kept.
     counts = edges.groupBy("context").agg(F.count("*").alias("instances"), *[F.count(F.when(F.col("seed") == k, 1)).alias(k) for k in KINDS])
-    enough = F.greatest(*[F.col(k) for k in KINDS]) >= seeds
+    most = F.greatest(*[F.col(k) for k in KINDS])
+    enough = (most >= seeds) & (most >= share * F.col("instances"))
     # A pattern whose seeds of one kind and unseen instances together can't be sure is dropped for good.
     reach = F.greatest(*[(F.col("instances") - sum(F.col(o) for o in KINDS if o != k)) / (F.col("instances") + 1) for k in KINDS])
     counts = stored(counts.where(enough & (reach >= sure)), "patterns")
@@ -142,14 +215,20 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     has one row with kind null, so no document is lost; repeated rows and null ids are documents like others.
     """
     narrow = docs.select(place(docs).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = stored(_spans(narrow), "spans")
-    patterns = sure_patterns(spans)
-    short = F.regexp_extract("context", r"([^\x20]+)$", 1)
-    tokens = spans.where(F.col("kind") == "token").select("row", "doc_id", "start", "end", F.explode(F.array_distinct(F.array(F.col("context"), short))).alias("context"))
+    spans = stored(_fixed(narrow), "spans")
+    tokens = _tokens(narrow)
+    near = stored(_apart(_candidates(tokens, seeded_patterns(spans, tokens)), spans), "candidates")
+    patterns = stored(sure_patterns(spans, near), "sure")
     best = F.max_by("found_kind", F.struct("score", "found_kind"))
-    found = tokens.join(patterns, "context").groupBy("row", "doc_id", "start", "end").agg(best.alias("kind")).select("row", "doc_id", "kind", "start", "end", F.lit(False).alias("base"))
-    fixed = spans.select("row", "doc_id", F.when(F.col("kind") != "token", F.col("kind")).alias("kind"), "start", "end", F.lit(True).alias("base"))
-    return fixed.unionByName(found)
+    found = _near(near, patterns, "context").groupBy("row", "start", "end", "first").agg(best.alias("kind"))
+    found = stored(found, "found")
+    extracted = stored(found.groupBy("first").agg(F.count("*").alias("extracted")), "firsts")
+    words = narrow.select(F.explode(F.split("text", GAP)).alias("first"))
+    own = _near(words, extracted, "first").groupBy("first", "extracted").agg(F.count("*").alias("n")).where(F.col("extracted") >= OWN * F.col("n"))
+    found = found.join(own.select("first"), "first", "left_semi")
+    ids = spans.select("row", "doc_id").distinct()
+    found = found.join(ids, "row").select("row", "doc_id", "kind", "start", "end", F.lit(False).alias("base"))
+    return spans.select("row", "doc_id", "kind", "start", "end", F.lit(True).alias("base")).unionByName(found)
 
 
 def report(docs: DataFrame, **columns) -> DataFrame:

@@ -168,6 +168,27 @@ def test_private_patterns_find_unseen_identifiers(saved):
     assert got[101].spans == ""
 
 
+def test_private_patterns_find_any_shape(saved):
+    """Identifiers without digits, of several tokens and beyond a block of tokens; common words aren't taken for them."""
+    rows = [(i, f"Please write to mailbox user{i}@mail.example.org today, or ring desk +49 30 {1000000 + 7 * i} now", "en", "s", 0) for i in range(40)]
+    filler = " ".join(["lorem"] * 150)
+    rows += [
+        (100, "Please write to mailbox anna(at)example.", "en", "s", 0),
+        (101, "or ring desk 030 555 1234 now", "en", "s", 0),
+        (102, f"{filler}  write to mailbox\tbob-at-home, {filler}", "en", "s", 0),
+        (103, "Please write to mailbox today, it is today and not tomorrow; today", "en", "s", 0),
+        (104, "mailbox", "en", "s", 0),
+        (105, "anna writes 030 books", "en", "s", 0),
+    ]
+    docs = saved(rows, SCHEMA)
+    got = {r.doc_id: r.spans for r in private.report(docs).collect()}
+    assert got[100] == "email:24:39" and got[101] == "phone:13:25"
+    assert got[102] == f"email:{len(filler) + 19}:{len(filler) + 30}"
+    assert got[103] == got[104] == got[105] == ""
+    red = {r.doc_id: r.text for r in private.redact(docs).collect()}
+    assert red[101] == "or ring desk <phone> now" and red[100] == "Please write to mailbox <email>."
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
     cases = {
