@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm._common import GAP, SPACE, lower_ascii, place, stored
+from ridgeline.llm._common import GAP, SPACE, place, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; seeds that a pattern needs; least score of a pattern that extracts; code points of context kept.
@@ -66,7 +66,7 @@ SEARCH = {
 
 def _context(gap: Column) -> Column:
     """The last two words before a match, lower-cased; null if the gap has none."""
-    words = F.regexp_extract(lower_ascii(gap), rf"((?:{_NOT_SPACE}+{GAP})?{_NOT_SPACE}+)[\x20\x09-\x0D]*$", 1)
+    words = F.regexp_extract(F.lower(gap), rf"((?:{_NOT_SPACE}+{GAP})?{_NOT_SPACE}+)[\x20\x09-\x0D]*$", 1)
     return F.nullif(F.regexp_replace(words, GAP, " "), F.lit(""))
 
 
@@ -114,45 +114,51 @@ def _near(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if size["rows"] <= SENT and size["characters"] <= CONTEXT * SENT else keys, on)
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """row, start, context, ahead of every token of every text: where it starts, the two words before it, and itself with
-    the next GROUPS - 1 tokens. Pieces are tokens with the white space before them; a block of pieces knows what is
-    before it, so that places are summed within blocks only."""
+def _tokens(docs: DataFrame, places: bool) -> DataFrame:
+    """row, context, first of every token of every text and each of its two patterns (the two words before it, and the last
+    of them); with places also start and ahead, the token with the next GROUPS - 1 ones. Pieces are tokens with the
+    white space before them; a block of pieces knows what is before it, so places are summed within blocks only."""
     pieces = F.regexp_extract_all(F.rtrim("text", F.lit(SPACE)), F.lit(rf"[\x20\x09-\x0D]*+{_NOT_SPACE}++"), F.lit(0))
-    df = docs.select("row", pieces.alias("pieces")).where(F.size("pieces") > 0)
+    df = docs.select("row", pieces.alias("pieces"))
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    sums = F.transform(F.sequence(F.lit(1), F.size("pieces"), F.lit(BLOCK)), lambda b: total(F.slice("pieces", b, F.lit(BLOCK))))
     running = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    df = df.withColumn("bases", running(sums))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("pieces"), F.lit(1)), F.lit(BLOCK)), lambda b: b <= F.size("pieces"))
+    if places:
+        df = df.withColumn("bases", running(F.transform(starts, lambda b: total(F.slice("pieces", b, F.lit(BLOCK))))))
     block = lambda b: F.struct(
-        F.get("bases", F.floor((b - 1) / BLOCK).cast("int")).alias("base"),
+        *[F.get("bases", F.floor((b - 1) / BLOCK).cast("int")).alias("base")] * places,
         F.slice("pieces", F.greatest(b - 2, F.lit(1)), F.least(b - 1, F.lit(2))).alias("before"),
         F.slice("pieces", b, F.lit(BLOCK)).alias("here"),
         F.slice("pieces", b + BLOCK, F.lit(GROUPS - 1)).alias("after"),
     )
-    df = df.select("row", F.explode(F.transform(F.sequence(F.lit(1), F.size("pieces"), F.lit(BLOCK)), block)).alias("b")).select("row", "b.*")
-    df = df.withColumn("ends", running(F.transform("here", lambda x: F.length(x)))).withColumn("skip", F.size("before"))
-    df = df.withColumn("every", F.concat("before", "here", "after")).withColumn("bare", F.transform(F.concat("before", "here"), lambda x: F.ltrim(lower_ascii(x), F.lit(SPACE))))
-
-    def item(piece: Column, k: Column) -> Column:
-        at = k + F.col("skip")
-        context = F.nullif(F.concat_ws(" ", F.get("bare", at - 2), F.get("bare", at - 1)), F.lit(""))
-        ahead = F.array_join(F.slice("every", at + 1, F.lit(GROUPS)), "")
-        start = F.col("base") + F.get("ends", k) + F.length(piece) - F.length(F.ltrim(piece, F.lit(SPACE)))
-        return F.struct(start.alias("start"), F.right(context, F.lit(CONTEXT)).alias("context"), F.ltrim(ahead, F.lit(SPACE)).alias("ahead"))
-
-    return df.select("row", F.explode(F.transform("here", item)).alias("t")).select("row", "t.*")
+    df = df.select("row", F.explode(F.transform(starts, block)).alias("b")).select("row", "b.*")
+    none = F.array_repeat(F.lit(None).cast("string"), 2 - F.size("before"))
+    df = df.withColumn("every", F.concat(none, "before", "here", "after")).withColumn("n", F.size("here"))
+    # What is before and after each token stands beside it in arrays that are moved by one, so no function is called for each.
+    columns = [F.slice("every", F.lit(1 + k), F.col("n")).alias(f"p{k}") for k in range(2 + (GROUPS if places else 1))]
+    if places:
+        columns += [F.slice(running(F.transform("here", F.length)), F.lit(1), F.col("n")).alias("from"), F.array_repeat("base", F.col("n")).alias("base")]
+    names = [f"p{k}" for k in range(2 + (GROUPS if places else 1))] + ["from", "base"] * places
+    df = df.select("row", *columns).select("row", F.explode(F.arrays_zip(*names)).alias("t")).select("row", "t.*")
+    bare = lambda c: F.ltrim(c, F.lit(SPACE))
+    last = F.lower(bare(F.col("p1")))
+    two = F.concat(F.lower(bare(F.col("p0"))), F.lit(" "), last)
+    cut = lambda c: F.substring(c, -CONTEXT, CONTEXT)
+    out = [F.explode(F.array(cut(two), cut(last))).alias("context"), bare(F.col("p2")).alias("first")]
+    if places:
+        start = F.col("base") + F.col("from") + F.length("p2") - F.length(bare(F.col("p2")))
+        out += [start.alias("start"), F.concat_ws("", *[f"p{k}" for k in range(2, 2 + GROUPS)]).alias("ahead")]
+    return df.select("row", *out).where("context is not null")
 
 
 def _candidates(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
     """row, start, end, context, match, first of what follows patterns: tokens with digits in a row, or else one token, both
     without the marks at their end. What has neither letter nor digit is left out."""
-    near = _near(tokens.where("context is not null").select("row", "start", F.explode(_contexts(F.col("context"))).alias("context"), "ahead"), patterns, "context")
+    near = _near(tokens, patterns, "context").withColumn("ahead", F.ltrim("ahead", F.lit(SPACE)))
     number = rf"{_NOT_SPACE}*[0-9]{_NOT_SPACE}*"
     match = F.regexp_extract("ahead", rf"^(?:{number}(?:\x20{number}){{0,{GROUPS - 1}}}|{_NOT_SPACE}+)", 0)
-    first = F.regexp_extract("ahead", rf"^{_NOT_SPACE}+", 0)
     df = near.withColumn("match", F.regexp_replace(match, r"[.,;:!?]+$", "")).where(F.rlike("match", F.lit(r"[\p{L}\p{N}]")))
-    return df.select("row", "start", (F.col("start") + F.length("match")).alias("end"), "context", "match", first.alias("first"))
+    return df.select("row", "start", (F.col("start") + F.length("match")).alias("end"), "context", "match", "first")
 
 
 def _apart(candidates: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -172,9 +178,7 @@ def seeded_patterns(fixed: DataFrame, tokens: DataFrame, seeds: int = SEEDS, sha
     edges = fixed.where("kind is not null and context is not null").select(F.explode(_contexts(F.col("context"))).alias("context"), "match", "kind").distinct()
     counts = edges.groupBy("context", "kind").count().groupBy("context").agg(F.max("count").alias("most")).where(F.col("most") >= seeds)
     counts = stored(counts, "seeded")
-    first = F.regexp_extract("ahead", rf"^{_NOT_SPACE}+", 0)
-    followed = _near(tokens.where("context is not null").select(F.explode(_contexts(F.col("context"))).alias("context"), first.alias("first")), counts, "context")
-    wide = followed.groupBy("context", "most").agg(F.approx_count_distinct("first", 0.02).alias("n"))
+    wide = _near(tokens.select("context", "first"), counts, "context").groupBy("context", "most").agg(F.approx_count_distinct("first", 0.02).alias("n"))
     return stored(counts.join(wide.where(F.col("n") * share > 2 * F.col("most")), "context", "left_anti").select("context"), "contexts")
 
 
@@ -216,8 +220,8 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     narrow = docs.select(place(docs).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = stored(_fixed(narrow), "spans")
-    tokens = _tokens(narrow)
-    near = stored(_apart(_candidates(tokens, seeded_patterns(spans, tokens)), spans), "candidates")
+    seeded = seeded_patterns(spans, _tokens(narrow, places=False))
+    near = stored(_apart(_candidates(_tokens(narrow, places=True), seeded), spans), "candidates")
     patterns = stored(sure_patterns(spans, near), "sure")
     best = F.max_by("found_kind", F.struct("score", "found_kind"))
     found = _near(near, patterns, "context").groupBy("row", "start", "end", "first").agg(best.alias("kind"))
