@@ -113,21 +113,7 @@ SELECT 0 AS component, CASE WHEN sum(CASE WHEN p0 <> 0 THEN df / p0 END) < 0 THE
 UNION ALL SELECT 1, CASE WHEN sum(CASE WHEN p1 <> 0 THEN df / p1 END) < 0 THEN -1 ELSE 1 END FROM q"""
 )
 def a4_slope_signs(spark, d):
-    import pandas as pd
-
-    def kernel(a, b, same):
-        x, y = pairs._matrix(a["z"]), pairs._matrix(b["z"])
-        keep = a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :] if same else np.ones((len(a), len(b)), bool)
-        df = a["fx"].to_numpy()[:, None] - b["fx"].to_numpy()[None, :]
-        out = []
-        for k in range(2):
-            p = x[:, None, k] - y[None, :, k]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out.append(np.where((p != 0) & keep, df / p, 0.0).sum())
-        return pd.DataFrame({"component": [0, 1], "s": out})
-
-    found = pairs.self_pairs(parts(spark, d).withColumnRenamed("x", "z"), kernel, "component int, s double", ["fx"])
-    return found.groupBy("component").agg(F.when(F.sum("s") < 0, -1).otherwise(1).alias("sign"))
+    return pairs.slope_signs(parts(spark, d), 2)
 
 
 @query()
