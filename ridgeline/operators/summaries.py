@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators.domain import coords, dot
 from ridgeline.operators.pairs import _matrix, distances, meet_train
+from ridgeline.sources.tables import stored
 
 
 def shadow(df: DataFrame, U: np.ndarray, m: int) -> DataFrame:
@@ -105,29 +106,37 @@ def hat_weights(df: DataFrame, bins: int, y: str = "y1") -> DataFrame:
 # Local linear models ------------------------------------------------------------------------------------------------
 
 
+def _different(rows: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """id, keys, sums: rows of equal keys once, with their smallest id."""
+    return stored(rows.groupBy(*keys).agg(F.min("id").alias("id"), *sums), "different")
+
+
 def local_linear(targets: DataFrame, samples: DataFrame, m: int, beta: float | None = None) -> DataFrame:
     """id, c: constant and slopes of the least-squares fit at each target, weights exp(-beta |x - x_t|^2). Without beta,
-    the targets have one each in a column of that name. Normal equations are added up by block; each target is then
-    solved by itself. targets: id, x; samples: id, x, fx."""
+    the targets have one each in a column of that name. Samples of equal x are added up first, and targets of equal x and
+    beta have one fit. Normal equations are added up by block; each target is then solved by itself. targets: id, x;
+    samples: id, x, fx."""
     k = m + 2
 
     def kernel(ids, z, b):
-        x, f = _matrix(b["z"]), b["fx"].to_numpy(float)
+        x, f, n = _matrix(b["z"]), b["fx"].to_numpy(float), b["n"].to_numpy(float)
         if not len(ids):
             return pd.DataFrame({"id": ids, "s": []}).astype({"id": "int64"})
         out = []
-        step = max(1, (1 << 21) // max(1, len(x) * k))
+        step = max(1, (1 << 20) // max(1, len(x) * k))
         for lo in range(0, len(ids), step):
             at = z[lo : lo + step]
             p = x[None, :, :] - at[:, None, :m]
             w = np.exp(-at[:, m:] * (p**2).sum(axis=2))
-            M = np.concatenate([np.ones((*w.shape, 1)), p, np.broadcast_to(f[None, :, None], (*w.shape, 1))], axis=2)
-            out += list(np.matmul(M.transpose(0, 2, 1), M * w[:, :, None]).reshape(len(at), k * k))
+            M = np.concatenate([np.ones((*w.shape, 1)), p, np.broadcast_to((f / n)[None, :, None], (*w.shape, 1))], axis=2)
+            out += list(np.matmul(M.transpose(0, 2, 1), M * (w * n)[:, :, None]).reshape(len(at), k * k))
         return pd.DataFrame({"id": ids, "s": out})
 
     width = F.lit(float(beta)) if beta is not None else F.col("beta").cast("double")
     asked = targets.select("id", F.concat(F.col("x").cast("array<double>"), F.array(width)).alias("z"))
-    sums = meet_train(asked, samples.withColumn("z", F.col("x").cast("array<double>")), kernel, "id long, s array<double>", ["fx"])
+    known = _different(samples.select("id", F.col("x").cast("array<double>").alias("z"), "fx"), ["z"], F.sum("fx").alias("fx"), F.count("fx").alias("n"))
+    places = _different(asked, ["z"])
+    sums = meet_train(places, known, kernel, "id long, s array<double>", ["fx", "n"])
     total = sums.groupBy("id").agg(F.array(*[F.sum(F.get("s", i)) for i in range(k * k)]).alias("s"))
 
     def solve(batches):
@@ -138,7 +147,8 @@ def local_linear(targets: DataFrame, samples: DataFrame, m: int, beta: float | N
                 out.append(np.linalg.lstsq(G[: m + 1, : m + 1], G[: m + 1, m + 1], rcond=1e-13)[0])
             yield pd.DataFrame({"id": batch["id"], "c": out})
 
-    return total.mapInPandas(solve, "id long, c array<double>")
+    fits = total.mapInPandas(solve, "id long, c array<double>")
+    return asked.join(places.join(fits, "id").drop("id"), "z").select("id", "c")
 
 
 def perplexity_bandwidths(targets: DataFrame, samples: DataFrame, m: int, perplexity: float, parts: int = 16, tol: float = 1e-9) -> DataFrame:
@@ -146,12 +156,11 @@ def perplexity_bandwidths(targets: DataFrame, samples: DataFrame, m: int, perple
     log(perplexity). The perplexity must be below the number of samples and above that of samples nearest to a target.
 
     All targets go on together: each has a bracket of beta, a round adds up the sums of `parts` bandwidths of every
-    bracket in blocks of samples, and the bracket shrinks by as many parts. Entropies fall as beta grows.
+    bracket in blocks of samples, and the bracket shrinks by as many parts. Entropies fall as beta grows. Equal targets
+    have one bracket, and equal samples count as often as they occur.
     """
     from ridgeline.operators.pairs import nearest
-    from ridgeline.sources.tables import stored
 
-    named = lambda df, *more: df.select("id", F.col("x").cast("array<double>").alias("z"), *more)
     rows = samples.count()
     if not 1 <= perplexity < rows:
         raise ValueError("perplexity is from 1 to below the number of samples")
@@ -159,31 +168,39 @@ def perplexity_bandwidths(targets: DataFrame, samples: DataFrame, m: int, perple
     size = samples.agg(*[F.var_pop(c).alias(f"v{k}") for k, c in enumerate(x)]).first()
     scale = sum(v or 0.0 for v in size) or 1.0
     low, high = math.log(1e-12 / scale), math.log(1e24 / scale)
-    near = nearest(named(targets), named(samples)).select("id", (F.col("distance") * F.col("distance")).alias("d0"))
-    state = targets.select("id", "x").join(near, "id").select("id", "x", "d0", F.lit(low).alias("low"), F.lit(high).alias("high"))
-    goal, steps, train = math.log(perplexity), np.arange(1, parts) / parts, named(samples)
+    train = _different(samples.select("id", F.col("x").cast("array<double>").alias("z")), ["z"], F.count("*").alias("n"))
+    places = _different(targets.select("id", F.col("x").cast("array<double>").alias("z")), ["z"])
+    near = nearest(places, train).select("id", (F.col("distance") * F.col("distance")).alias("d0"))
+    state = places.join(near, "id").select("id", "z", "d0", F.lit(low).alias("low"), F.lit(high).alias("high"))
+    goal, steps = math.log(perplexity), np.arange(1, parts) / parts
 
     def kernel(ids, z, b):
         if not len(ids):
             return pd.DataFrame({"id": ids, "s": []}).astype({"id": "int64"})
-        d2 = np.maximum(distances(z[:, :m], _matrix(b["z"])) ** 2 - z[:, m : m + 1], 0)
-        out = np.empty((len(ids), 2 * len(steps)))
-        for k, t in enumerate(steps):
-            w = np.exp(-np.exp(z[:, m + 1] + t * (z[:, m + 2] - z[:, m + 1]))[:, None] * d2)
-            out[:, 2 * k], out[:, 2 * k + 1] = w.sum(axis=1), (w * d2).sum(axis=1)
+        to, count, out = _matrix(b["z"]), b["n"].to_numpy(float), np.empty((len(ids), 2 * len(steps)))
+        few = max(1, (1 << 16) // max(1, len(b)))  # rows whose arrays stay in the cache
+        for lo in range(0, len(ids), few):
+            at = z[lo : lo + few]
+            d2 = np.maximum(distances(at[:, :m], to) ** 2 - at[:, m : m + 1], 0)
+            d2n, w = d2 * count, np.empty_like(d2)
+            for k, t in enumerate(steps):
+                np.multiply(d2, -np.exp(at[:, m + 1] + t * (at[:, m + 2] - at[:, m + 1]))[:, None], out=w)
+                np.exp(w, out=w)
+                out[lo : lo + few, 2 * k], out[lo : lo + few, 2 * k + 1] = w @ count, np.einsum("ij,ij->i", w, d2n)
         return pd.DataFrame({"id": ids, "s": list(out)})
 
     n, span = 2 * len(steps), high - low
     while span > tol:
         state = stored(state, "brackets")
-        asked = state.select("id", F.concat(F.col("x").cast("array<double>"), F.array("d0", "low", "high")).alias("z"))
-        sums = meet_train(asked, train, kernel, "id long, s array<double>").groupBy("id").agg(F.array(*[F.sum(F.get("s", i)) for i in range(n)]).alias("s"))
+        asked = state.select("id", F.concat("z", F.array("d0", "low", "high")).alias("z"))
+        sums = meet_train(asked, train, kernel, "id long, s array<double>", ["n"]).groupBy("id").agg(F.array(*[F.sum(F.get("s", i)) for i in range(n)]).alias("s"))
         at = lambda k: F.col("low") + F.lit(float(steps[k])) * (F.col("high") - F.col("low"))
         above = sum((F.when(F.log(F.get("s", 2 * k)) + F.exp(at(k)) * F.get("s", 2 * k + 1) / F.get("s", 2 * k) > goal, 1).otherwise(0) for k in range(len(steps))), F.lit(0))
         wide = (F.col("high") - F.col("low")) / parts
-        state = state.join(sums, "id").withColumn("above", above).select("id", "x", "d0", (F.col("low") + F.col("above") * wide).alias("low"), (F.col("low") + (F.col("above") + 1) * wide).alias("high"))
+        state = state.join(sums, "id").withColumn("above", above).select("id", "z", "d0", (F.col("low") + F.col("above") * wide).alias("low"), (F.col("low") + (F.col("above") + 1) * wide).alias("high"))
         span /= parts
-    return state.select("id", "x", F.exp((F.col("low") + F.col("high")) / 2).alias("beta"))
+    found = stored(state.select("z", F.exp((F.col("low") + F.col("high")) / 2).alias("beta")), "bandwidths")
+    return targets.select("id", "x", F.col("x").cast("array<double>").alias("z")).join(found, "z").select("id", "x", "beta")
 
 
 def perplexity_beta(d2: np.ndarray, perplexity: float) -> float:
