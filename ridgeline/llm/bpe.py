@@ -64,10 +64,10 @@ def _java_classes(names: tuple[str, ...]) -> dict[str, str]:
     """Each class as Java has to be told it: its own one, with what the library's newer Unicode tables add or remove."""
     spark = SparkSession.getActiveSession()
     points = spark.range(0x110000).where("id not between 55296 and 57343").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
-    rows = points.select("id", *[F.rlike("c", F.lit(f"(?U)^{n}\\z")).alias(f"n{k}") for k, n in enumerate(names)]).where(" or ".join(f"n{k}" for k in range(len(names)))).collect()
+    found = points.agg(*[F.collect_list(F.when(F.rlike("c", F.lit(f"(?U)^{n}\\z")), F.col("id").cast("int"))) for n in names]).first()
     out = {}
-    for k, name in enumerate(names):
-        java, library = {r["id"] for r in rows if r[f"n{k}"]}, _library_class(name)
+    for java, name in zip(map(set, found), names, strict=True):
+        library = _library_class(name)
         more, less = library - java, java - library
         text = f"[{name}&&[^{_ranges(less)}]]" if less else name
         # The quick test of the lowest one keeps ordinary characters off the long list.
@@ -100,11 +100,12 @@ def java_pattern(pattern: str) -> str:
 
 
 def _bucketed(df: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
-    """One row with one array: at each hash of a key, the small map of the keys that fall there."""
+    """A stored table of one row with one array: at each hash of a key, the small map of the keys that fall there. All
+    references to it read the same file, so Spark makes the array once for all columns of a query."""
     full = df.groupBy(_bucket(key, buckets).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("e"))
     every = df.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b"))
     pairs = every.join(full, "b", "left").agg(F.collect_list(F.struct("b", F.map_entries("e").alias("e"))).alias("s"))
-    return pairs.select(F.transform(F.sort_array("s"), lambda x: F.map_from_entries(x["e"])).alias("t"))
+    return stored(pairs.select(F.transform(F.sort_array("s"), lambda x: F.map_from_entries(x["e"])).alias("t")), "map")
 
 
 def _bucket(key, buckets: int) -> Column:
