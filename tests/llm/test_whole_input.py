@@ -11,5 +11,5 @@ def test_literal_maps_are_read_not_made_again(spark):
     """The plan that encodes refers to the maps some ten times; it groups nothing, as they are stored."""
     docs = spark.createDataFrame([(1, "some words, some more words"), (2, None)], "doc_id long, text string")
     vocabulary = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))[:2000]
-    plan = bpe.round_trip(docs, P.PATTERN, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    plan = bpe.encode(docs, P.PATTERN, vocabulary)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "SortMergeJoin" not in plan
