@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as P
 
-from ridgeline.llm import bpe
+from ridgeline.llm import bpe, quality
 
 
 def test_literal_maps_are_read_not_made_again(spark):
@@ -13,3 +13,15 @@ def test_literal_maps_are_read_not_made_again(spark):
     vocabulary = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))[:2000]
     plan = bpe.encode(docs, P.PATTERN, vocabulary)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_every_trusted_document_is_in_the_target(spark):
+    ids = spark.range(25_000).withColumnRenamed("id", "doc_id")
+    assert quality.target_ids(ids.unionByName(ids)).count() == 25_000
+
+
+def test_trusted_ids_that_are_not_sent_give_the_same(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 37}" for k in range(80))) for i in range(60)] + [(None, "a b"), (60, None)], "doc_id long, text string")
+    trusted = docs.where("doc_id % 3 = 0")
+    rows = lambda df: sorted(df.collect(), key=str)
+    assert rows(quality.judge(docs, trusted, sent=0)) == rows(quality.judge(docs, trusted))
