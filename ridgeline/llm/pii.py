@@ -22,6 +22,8 @@ ROUNDS, SEEDS, SURE, CONTEXT = 3, 5, 0.8, 64
 SEEDED, OWN = 0.1, 0.5
 #: Tokens with digits in a row that are one instance at most; tokens in a block; rows of a table that is sent to all tasks.
 GROUPS, BLOCK, SENT = 4, 64, 1 << 16
+#: Patterns whose last words are looked for in whole texts before these are cut into tokens.
+LISTED = 1 << 12
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _LOCAL = "[A-Za-z0-9._%+\\x02-]"
@@ -151,6 +153,21 @@ def _tokens(docs: DataFrame, places: bool) -> DataFrame:
     return df.select("row", *out).where("context is not null")
 
 
+def _with_pattern(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """docs without texts that can have none of the patterns, a stored table: a text with a pattern has its last word. Words
+    are compared whole; where a pattern's word may be cut, texts with a word as long stay too. Many patterns leave docs as
+    they are."""
+    word = F.regexp_extract("context", r"([^\x20]+)$", 1)
+    size = patterns.agg(F.count("*").alias("rows"), F.coalesce(F.max(F.length(word)), F.lit(0)).alias("longest")).first()
+    if size["rows"] > LISTED:
+        return docs
+    listed = patterns.agg(F.collect_set(word).alias("words"))
+    has = F.arrays_overlap(F.split(F.lower("text"), GAP), F.col("_words"))
+    if size["longest"] >= CONTEXT:
+        has = has | F.rlike(F.lower("text"), F.lit(rf"{_NOT_SPACE}{{{CONTEXT}}}"))
+    return docs.withColumn("_words", listed.scalar()).where(has).drop("_words")
+
+
 def _candidates(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
     """row, start, end, context, match, first of what follows patterns: tokens with digits in a row, or else one token, both
     without the marks at their end. What has neither letter nor digit is left out."""
@@ -221,7 +238,7 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     narrow = docs.select(place(docs).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = stored(_fixed(narrow), "spans")
     seeded = seeded_patterns(spans, _tokens(narrow, places=False))
-    near = stored(_apart(_candidates(_tokens(narrow, places=True), seeded), spans), "candidates")
+    near = stored(_apart(_candidates(_tokens(_with_pattern(narrow, seeded), places=True), seeded), spans), "candidates")
     patterns = stored(sure_patterns(spans, near), "sure")
     best = F.max_by("found_kind", F.struct("score", "found_kind"))
     found = _near(near, patterns, "context").groupBy("row", "start", "end", "first").agg(best.alias("kind"))

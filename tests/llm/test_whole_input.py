@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as P
 
-from ridgeline.llm import bpe, quality
+from ridgeline.llm import bpe, pii, quality
 
 
 def test_literal_maps_are_read_not_made_again(spark):
@@ -25,3 +25,13 @@ def test_trusted_ids_that_are_not_sent_give_the_same(spark):
     trusted = docs.where("doc_id % 3 = 0")
     rows = lambda df: sorted(df.collect(), key=str)
     assert rows(quality.judge(docs, trusted, sent=0)) == rows(quality.judge(docs, trusted))
+
+
+def test_texts_without_a_pattern_are_not_cut_into_tokens(spark):
+    texts = ["mail\tTO x", "nothing here", "ΌΣΟΣ x", "q " + "A" * 70 + " x", "tomorrow x", "", "\nto"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    patterns = lambda *c: spark.createDataFrame([(x,) for x in c], "context string")
+    kept = lambda p: {r.row for r in pii._with_pattern(docs, p).collect()}
+    assert kept(patterns("mail to", "όσος")) == {0, 2, 6}
+    assert kept(patterns("a" * 64)) == {3}
+    assert kept(patterns("to").limit(0)) == set()
