@@ -5,7 +5,6 @@ Greedy selection keeps one distance column and sends one row a step. Candidate t
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.domain import Domain
-from ridgeline.operators.pairs import _matrix, distances, meet_train, nearest
+from ridgeline.operators.pairs import CELLS, _matrix, by_coordinate, distances, meet_cells, meet_train, nearest
 from ridgeline.sources.tables import stored
 
 #: Steps of a loop after which its column is written.
@@ -219,27 +218,38 @@ def poisson_disk(candidates: DataFrame, radius: float, m: int, seed: int = 0) ->
     return candidates.join(chosen, "id", "left_semi") if chosen is not None else candidates
 
 
+def _counts_within(asked: DataFrame, counted: DataFrame, radius: float) -> DataFrame:
+    """id, within: the sum of n of the counted points in the radius around each asked one, if there are any."""
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        z, to, n = _matrix(a["z"]), _matrix(b["z"]), b["n"].to_numpy(float)
+        within, step = np.zeros(len(a)), max(1, CELLS // len(b))
+        for k in range(0, len(a), step):
+            within[k : k + step] = (by_coordinate(z[k : k + step], to) <= radius) @ n
+        return pd.DataFrame({"id": a["id"], "within": within.astype("int64")})[within > 0]
+
+    found = meet_cells(asked.select("id", "z"), counted.select("id", "z", "n"), radius, kernel, "id long, within long")
+    return found.groupBy("id").agg(F.sum("within").alias("within"))
+
+
 def greedy_cover(points: DataFrame, radius: float) -> DataFrame:
     """place, id, gained: points chosen so that all lie within the radius of one; each step takes the one with most
-    uncovered neighbours, ties to the smaller id (at most ln n times as many as needed)."""
-    a = points.select("id", "z")
-    b = points.select(F.col("id").alias("other"), F.col("z").alias("zb"))
-    from ridgeline.operators.pairs import distance
-
-    cells = lambda c: [F.floor(F.get(c, k) / radius).alias(f"c{k}") for k in (0, 1)]
-    far = b.select("other", "zb", *cells("zb"))
-    for k in ("c0", "c1"):
-        far = far.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
-    pairs = stored(a.select("id", "z", *cells("z")).join(far, ["c0", "c1"]).where(distance("z", "zb") <= radius).select("id", "other"), "near")
-    chosen = []
-    for k in itertools.count():
-        row = pairs.groupBy("id").count().orderBy(F.desc("count"), "id").limit(1).collect()
+    uncovered neighbours, ties to the smaller id (at most ln n times as many as needed). Equal points are one with a
+    count. A step takes the points that it covers from the counts of those around them, so every pair is looked at
+    twice altogether and none is stored."""
+    spark, chosen = points.sparkSession, []
+    at = stored(points.where("z is not null").groupBy("z").agg(F.min("id").alias("id"), F.count("*").alias("n")), "places")
+    state = stored(at.join(_counts_within(at, at, radius), "id").withColumn("open", F.lit(True)), "gains")
+    while True:
+        row = state.where("within > 0").orderBy(F.desc("within"), "id").limit(1).collect()
         if not row:
-            break
-        chosen.append((k + 1, row[0]["id"], row[0]["count"]))
-        covered = pairs.where(F.col("id") == row[0]["id"]).select("other")
-        pairs = stored(pairs.join(covered, "other", "left_anti"), "near")
-    return points.sparkSession.createDataFrame(chosen, "place int, id long, gained long")
+            return spark.createDataFrame(chosen, "place int, id long, gained long")
+        chosen.append((len(chosen) + 1, row[0]["id"], row[0]["within"]))
+        away = _to_point("z", row[0]["z"])
+        hit = F.col("open") & (away <= radius)
+        lost = _counts_within(state.where(away <= 2.001 * radius), stored(state.where(hit), "covered"), radius)
+        left = state.join(lost.withColumnRenamed("within", "lost"), "id", "left")
+        state = stored(left.select("id", "z", "n", (F.col("within") - F.coalesce("lost", F.lit(0))).alias("within"), (F.col("open") & ~hit).alias("open")), "gains")
 
 
 def latin_hypercube(spark: SparkSession, domain: Domain, n: int, seed: int = 0, designs: int = 1) -> DataFrame:
