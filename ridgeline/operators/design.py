@@ -195,29 +195,40 @@ def minimax_clusters(candidates: DataFrame, m: int, n: int, rounds: int = 20, q:
 
 def poisson_disk(candidates: DataFrame, radius: float, m: int, seed: int = 0) -> DataFrame:
     """A maximal set of candidates with all distances above the radius: rows of least random rank among their open
-    neighbours enter, their neighbours leave, until none is open. Neighbours are found by an equi-join on grid cells
-    of the first two coordinates."""
-    rank = F.xxhash64(F.lit(seed), "id")
-    x = [F.get("z", i) for i in range(min(m, 2))]
-    cell = [F.floor(xi / radius).alias(f"c{k}") for k, xi in enumerate(x)]
-    open_ = stored(candidates.select("id", "z", rank.alias("rank"), *cell), "open")
-    keys = [f"c{k}" for k in range(len(cell))]
-    near = open_.select(F.col("id").alias("other"), F.col("z").alias("zb"), F.col("rank").alias("other_rank"), *keys)
-    for k in keys:
-        near = near.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
-    d = F.sqrt(F.aggregate(F.zip_with("z", "zb", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    pairs = stored(open_.join(near, keys).where((F.col("id") != F.col("other")) & (d <= radius)).select("id", "other", "rank", "other_rank"), "near")
-    chosen, left = None, open_.select("id", "rank")
+    neighbours enter, their neighbours leave, until none is open. Neighbours meet in cells, and no pair is stored; of
+    equal points only the one of least rank can enter. Rows that meet a neighbour of lesser rank are compared no more."""
+    first = F.min(F.struct(F.xxhash64(F.lit(seed), "id").alias("rank"), "id")).alias("s")
+    left = stored(candidates.where("z is not null").groupBy("z").agg(first).select("s.id", "s.rank", "z"), "open")
+    chosen = None
     while left.limit(1).count():
-        live = pairs.join(left.select("id"), "id").join(left.select(F.col("id").alias("other")), "other")
-        beaten = live.where((F.col("other_rank") < F.col("rank")) | ((F.col("other_rank") == F.col("rank")) & (F.col("other") < F.col("id")))).select("id").distinct()
-        enter = stored(left.join(beaten, "id", "left_anti").select("id"), "enter")
-        chosen = enter if chosen is None else chosen.unionByName(enter)
-        gone = live.join(enter.withColumnRenamed("id", "other"), "other").select("id").distinct().unionByName(enter)
-        left = stored(left.join(gone, "id", "left_anti"), "left")
+        beaten = _near_lesser(left, left, radius)
+        enter = stored(left.join(beaten, "id", "left_anti"), "enter")
+        chosen = enter.select("id") if chosen is None else chosen.unionByName(enter.select("id"))
+        gone = _near_lesser(left.join(enter.select("id"), "id", "left_anti"), enter, radius)
+        left = stored(left.join(gone.unionByName(enter.select("id")), "id", "left_anti"), "left")
     return candidates.join(chosen, "id", "left_semi") if chosen is not None else candidates
 
 
+def _near_lesser(asked: DataFrame, near: DataFrame, radius: float) -> DataFrame:
+    """id of the asked rows that have a row of `near` in the radius with a lesser rank, or the same rank and a lesser id."""
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        order = pd.concat([a, b]).groupby(["rank", "id"]).ngroup().to_numpy()
+        place, b = order[: len(a)], b.assign(place=order[len(a) :]).sort_values("place")
+        z, to, places, beaten = _matrix(a["z"]), _matrix(b["z"]), b["place"].to_numpy(), np.zeros(len(a), bool)
+        step = 64
+        for j in range(0, len(b), step):
+            still = np.flatnonzero(~beaten & (place > places[j]))
+            if not len(still):
+                break
+            for k in range(0, len(still), max(1, CELLS // step)):
+                at = still[k : k + max(1, CELLS // step)]
+                beaten[at] = ((by_coordinate(z[at], to[j : j + step]) <= radius) & (places[j : j + step] < place[at, None])).any(axis=1)
+        return pd.DataFrame({"id": a["id"][beaten]})
+
+    return meet_cells(asked.select("id", "z", "rank"), near.select("id", "z", "rank"), radius, kernel, "id long").distinct()
+
+
 def _counts_within(asked: DataFrame, counted: DataFrame, radius: float) -> DataFrame:
     """id, within: the sum of n of the counted points in the radius around each asked one, if there are any."""
 

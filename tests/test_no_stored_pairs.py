@@ -43,3 +43,14 @@ def test_cover_is_greedy_and_writes_no_pairs(points, written, monkeypatch):
         open_ &= ~near[k]
     assert [tuple(r) for r in design.greedy_cover(points, 0.15).orderBy("place").collect()] == expected
     assert max(written) <= len(Z)
+
+
+def test_thinning_takes_least_ranks_and_writes_no_pairs(spark, points, written, monkeypatch):
+    monkeypatch.setattr(pairs, "LARGE", 40)
+    ranks = {r["id"]: r["rank"] for r in points.select("id", F.xxhash64(F.lit(0), "id").alias("rank")).collect()}
+    expected = []
+    for i in sorted(ranks, key=lambda i: (ranks[i], i)):
+        if not expected or D[i, expected].min() > 0.1:
+            expected.append(i)
+    assert sorted(r["id"] for r in design.poisson_disk(points, 0.1, 2).collect()) == sorted(expected)
+    assert max(written) <= len(Z)
