@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.domain import Domain
-from ridgeline.operators.pairs import CELLS, _matrix, by_coordinate, distances, meet_cells, meet_train, nearest
+from ridgeline.operators.pairs import CELLS, _matrix, by_coordinate, closest, distances, meet_cells, meet_train, nearest
 from ridgeline.sources.tables import stored
 
 #: Steps of a loop after which its column is written.
@@ -66,22 +66,34 @@ def fill_distance(candidates: DataFrame, design: DataFrame) -> DataFrame:
     return min_distance(candidates, design).agg(worst).select((-F.col("w.neg")).alias("id"), F.col("w.distance").alias("distance"))
 
 
-def seq_maximin(candidates: dict[str, DataFrame] | DataFrame, design: DataFrame, metrics: list[str], slack: float = 0.9) -> DataFrame:
-    """id, score, spread of the next point: candidates are scored by the product of their distances to the design in
-    all metrics; of those with at least slack of the best, the one that is farthest in the first column `z` wins.
-
-    candidates and design: id, z and one array column for each metric.
-    """
+def _scores(candidates: DataFrame, design: DataFrame, metrics: list[str]) -> DataFrame:
+    """id and the distance to the design in each metric, d_ and its name, stored."""
     score = None
-    for c in [*metrics, "z"]:
+    for c in metrics:
         d = nearest(candidates.select("id", F.col(c).alias("z")), design.select("id", F.col(c).alias("z"))).select("id", F.col("distance").alias(f"d_{c}"))
         score = d if score is None else score.join(d, "id")
+    return stored(score, "scores")
+
+
+def _farthest_scored(scores: DataFrame, candidates: DataFrame, design: DataFrame, metrics: list[str], slack: float) -> DataFrame:
     product = F.lit(1.0)
     for c in metrics:
         product = product * F.col(f"d_{c}")
-    scored = score.select("id", product.alias("score"), F.col("d_z").alias("spread"))
+    scored = scores.select("id", product.alias("score"))
     best = scored.agg(F.max("score")).first()[0]
-    return scored.where(F.col("score") >= slack * best).orderBy(F.desc("spread"), "id").limit(1)
+    # Only those with enough score are looked at in the space of all inputs.
+    open_ = stored(scored.where(F.col("score") >= slack * best if best is not None else F.lit(False)), "open")
+    spread = nearest(candidates.select("id", "z").join(open_, "id", "left_semi"), design.select("id", "z")).select("id", F.col("distance").alias("spread"))
+    return open_.join(spread, "id").orderBy(F.desc("spread"), "id").limit(1)
+
+
+def seq_maximin(candidates: DataFrame, design: DataFrame, metrics: list[str], slack: float = 0.9) -> DataFrame:
+    """id, score, spread of the next point: candidates are scored by the product of their distances to the design in
+    all metrics; of those with at least slack of the best, the one that is farthest in the first column `z` wins.
+
+    candidates and design: id, z and one array column for each metric.
+    """
+    return _farthest_scored(_scores(candidates, design, metrics), candidates, design, metrics, slack)
 
 
 def stretched(candidates: DataFrame, design: DataFrame, metrics: list[str], width: float) -> DataFrame:
@@ -111,13 +123,17 @@ def batch_maximin(candidates: DataFrame, design: DataFrame, metrics: list[str],
     """place, id of n further points, each by seq_maximin with the ones before it in the design, so all of them can be
     evaluated at once. Ends early when every candidate lies on the design in some metric."""
     spark, chosen = candidates.sparkSession, []
+    scores = _scores(candidates, design, metrics)
     for place in range(1, n + 1):
-        found = seq_maximin(candidates, design, metrics, slack).collect()
+        found = _farthest_scored(scores, candidates, design, metrics, slack).collect()
         if not found or not found[0]["score"] > 0:
             break
         chosen.append((place, found[0]["id"]))
-        # One row joins the design.
-        design = stored(design.unionByName(candidates.where(F.col("id") == found[0]["id"]).select(*design.columns)), "design")
+        # One row joins the design, and only its distances are new.
+        row = stored(candidates.where(F.col("id") == found[0]["id"]).select(*design.columns), "row")
+        design = stored(design.unionByName(row), "design")
+        new = _scores(candidates, row, metrics).withColumnsRenamed({f"d_{c}": f"n_{c}" for c in metrics})
+        scores = stored(scores.join(new, "id").select("id", *[F.least(f"d_{c}", f"n_{c}").alias(f"d_{c}") for c in metrics]), "scores")
     return spark.createDataFrame(chosen, "place int, id long")
 
 
@@ -158,7 +174,7 @@ def scale_design(candidates: DataFrame, design: DataFrame, center, low: float =
         out = []
         for step, part in b.groupby("step"):
             if len(ids):
-                out.append(pd.DataFrame({"id": ids, "step": step, "distance": distances(z, _matrix(part["z"])).min(axis=1)}))
+                out.append(pd.DataFrame({"id": ids, "step": step, "distance": closest(z, _matrix(part["z"]))[2]}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "step": [], "distance": []}).astype({"id": "int64", "step": "int32", "distance": float})
 
     near = meet_train(candidates, grown, kernel, "id long, step int, distance double", ["step"]).groupBy("id", "step").agg(F.min("distance").alias("distance"))

@@ -84,3 +84,25 @@ def test_nearest_of_many_coordinates_takes_few_differences(monkeypatch):
     pairs.closest(RNG.standard_normal((200, 64)), RNG.standard_normal((1000, 64)), 5)
     pairs.reach(RNG.standard_normal((200, 64)), RNG.standard_normal((1000, 64)))
     assert taken[0] == 1000 and sum(taken[1:]) < 1000
+
+
+def test_batches_measure_a_candidate_once_in_each_metric(spark, monkeypatch):
+    z = RNG.standard_normal((60, 8))
+    df = spark.createDataFrame([(i, x.tolist(), x[:2].tolist(), x[2:4].tolist()) for i, x in enumerate(z)], "id long, z array<double>, first array<double>, second array<double>")
+    design_rows, expected = list(range(10)), []
+    for _ in range(3):
+        near = lambda s: np.linalg.norm(z[10:, None, s] - z[None, design_rows, s], axis=2).min(axis=1)
+        score, spread = near(slice(0, 2)) * near(slice(2, 4)), near(slice(0, 8))
+        k = max(np.flatnonzero(score >= 0.9 * score.max()), key=lambda k: (spread[k], -k))
+        expected.append(int(k) + 10)
+        design_rows.append(int(k) + 10)
+    met, nearest = [], design.nearest
+
+    def counted(test, train, k=1):
+        met.append(test.count() * train.count())
+        return nearest(test, train, k)
+
+    monkeypatch.setattr(design, "nearest", counted)
+    got = design.batch_maximin(df.where("id >= 10"), df.where("id < 10"), ["first", "second"], 3).orderBy("place").collect()
+    assert [r["id"] for r in got] == expected
+    assert sum(met) < 3 * 50 * 10
