@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.design import coffee_house
-from ridgeline.operators.pairs import _matrix, distances, nearest
+from ridgeline.operators.pairs import _matrix, distances
 from ridgeline.operators.programs import least_quadratic
 from ridgeline.sources.tables import stored
 
@@ -28,9 +28,33 @@ def _checked(designs: dict) -> dict:
     return designs
 
 
-def _batches(z: np.ndarray, n: int):
+def _batches_at(z: np.ndarray, n: int):
     step = max(1, (1 << 22) // max(1, n * z.shape[1]))
-    return (z[k : k + step] for k in range(0, len(z), step))
+    return ((k, z[k : k + step]) for k in range(0, len(z), step))
+
+
+def _batches(z: np.ndarray, n: int):
+    return (part for _, part in _batches_at(z, n))
+
+
+def places(candidates: DataFrame) -> DataFrame:
+    """id, z, n of the different points, stored: least id and number of rows. What only depends on points and counts is
+    worked out from these."""
+    return stored(candidates.groupBy("z").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "z", "n"), "places")
+
+
+def owned_by(candidates: DataFrame, centers: np.ndarray) -> DataFrame:
+    """key, distance, z: the nearest centre of each candidate, by tasks that hold all centres; ties to the first."""
+    _checked({0: centers})
+
+    def run(batches):
+        for batch in batches:
+            for k, z in _batches_at(_matrix(batch["z"]), len(centers)) if len(batch) else ():
+                d = distances(z, centers)
+                at = d.argmin(axis=1)
+                yield pd.DataFrame({"key": at, "distance": d[np.arange(len(z)), at], "z": batch["z"].iloc[k : k + len(z)].to_numpy()})
+
+    return candidates.select("z").mapInPandas(run, "key long, distance double, z array<double>")
 
 
 def fill_distances(candidates: DataFrame, designs: dict[int, np.ndarray], sizes: list[int] | None = None) -> DataFrame:
@@ -54,7 +78,8 @@ def fill_distances(candidates: DataFrame, designs: dict[int, np.ndarray], sizes:
 
 def moved_centers(candidates: DataFrame, designs: dict[int, np.ndarray], q: float = 10.0) -> tuple[dict[int, np.ndarray], dict[int, float]]:
     """Each centre moved toward the q-norm centre of the candidates next to it (a Newton step: weighted mean with
-    weights distance^(q - 2), by 1 / (q - 1)), and the fill distance of each design before the move. One pass."""
+    weights distance^(q - 2), by 1 / (q - 1)), and the fill distance of each design before the move. One pass. A column n of
+    the candidates is how many rows each stands for."""
     _checked(designs)
     scale = {key: max(1e-300, float(np.abs(c).max(initial=1.0))) for key, c in designs.items()}
 
@@ -63,12 +88,14 @@ def moved_centers(candidates: DataFrame, designs: dict[int, np.ndarray], q: floa
         most = {key: np.zeros(len(c)) for key, c in designs.items()}
         for batch in batches:
             for key, c in designs.items():
-                for z in _batches(_matrix(batch["z"]), len(c)) if len(batch) else ():
+                for start, z in _batches_at(_matrix(batch["z"]), len(c)) if len(batch) else ():
                     d = distances(z, c)
                     at = d.argmin(axis=1)
                     near = d[np.arange(len(z)), at]
                     np.maximum.at(most[key], at, near)
                     w = np.maximum(near / scale[key], 1e-9) ** (q - 2)
+                    if "n" in batch:
+                        w *= batch["n"].to_numpy(float)[start : start + len(z)]
                     np.add.at(sums[key], at, np.column_stack([w, w[:, None] * z]))
         rows = [(key, k, s.tolist(), float(d)) for key in designs for k, (s, d) in enumerate(zip(sums[key], most[key], strict=True)) if s[0] > 0]
         yield pd.DataFrame(rows, columns=["key", "place", "s", "far"])
@@ -139,12 +166,11 @@ def minimax_lloyd(candidates: DataFrame, m: int, n: int, rounds: int = 20, tol:
     """Centres that keep the farthest candidate near, each the middle of the least ball around the candidates next to it,
     and their fill distance. From the greedy design on; a centre without candidates stays. Ends when a round gains less
     than tol of the distance."""
-    spark = candidates.sparkSession
-    first = coffee_house(candidates, n).join(candidates, "id").orderBy("place").select("z").collect()
+    at = places(candidates)
+    first = coffee_house(at, n).join(at, "id").orderBy("place").select("z").collect()
     centers, best = np.array([r["z"] for r in first], float), (None, math.inf)
     for _ in range(rounds):
-        table = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "id long, z array<double>")
-        owned = stored(nearest(candidates, table).select("id", F.col("other").alias("key"), "distance").join(candidates.select("id", "z"), "id"), "owned")
+        owned = stored(owned_by(at, centers), "owned")
         fill = owned.agg(F.max("distance")).first()[0]
         if not fill < best[1] * (1 - tol):
             break
@@ -168,15 +194,15 @@ def minimax_particles(candidates: DataFrame, n: int, particles: int = 8, rounds:
     """Centres that keep the farthest candidate near, by several designs that learn from each other: each moves by its
     clusters, then to a random convex mix of that, its own best, the best of all (centres matched first) and random
     candidates; after each round the worst starts again next to the best. One pass a round for all particles."""
-    rng = np.random.default_rng(seed)
-    first = coffee_house(candidates, n).join(candidates, "id").orderBy("place").select("z").collect()
+    rng, at = np.random.default_rng(seed), places(candidates)
+    first = coffee_house(at, n).join(at, "id").orderBy("place").select("z").collect()
     greedy = np.array([r["z"] for r in first], float)
     drawn = candidates.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n * particles).select("z").collect()
     pool = np.array([r["z"] for r in drawn], float)
     now = {0: greedy} | {k: pool[rng.permutation(len(pool))[: len(greedy)]] for k in range(1, particles)}
     own, best = {key: (c, math.inf) for key, c in now.items()}, (greedy, math.inf)
     for step in range(rounds):
-        new, fill = moved_centers(candidates, now, q)
+        new, fill = moved_centers(at, now, q)
         for key, d in fill.items():
             if d < own[key][1]:
                 own[key] = (now[key], d)
@@ -192,7 +218,7 @@ def minimax_particles(candidates: DataFrame, n: int, particles: int = 8, rounds:
         if worst != 0:
             now[worst] = best[0] + rng.standard_normal(best[0].shape) * best[1] / 4
             own[worst] = (now[worst], math.inf)
-    final = spread_designs(candidates, {0: best[0]}, rounds=5, q=q)[0]
+    final = spread_designs(at, {0: best[0]}, rounds=5, q=q)[0]
     return final if final[1] < best[1] else best
 
 
@@ -203,7 +229,7 @@ def cover_size(candidates: DataFrame, radius: float, at_once: int = 4, rounds: i
     The greedy design gives both ends: points that entered it more than two radii from the others need a centre each,
     and it covers once it comes within the radius. In between, `at_once` sizes a round are spread side by side.
     """
-    n = 8
+    candidates, n = places(candidates), 8
     while True:
         order = coffee_house(candidates, n).orderBy("place").collect()
         if len(order) < n or order[-1]["distance"] is not None and order[-1]["distance"] <= radius:

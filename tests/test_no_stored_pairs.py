@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import design, pairs
+from ridgeline.operators import clusters, design, pairs
 
 RNG = np.random.default_rng(37)
 # A tight cluster with copies, and points around it.
@@ -106,3 +106,23 @@ def test_batches_measure_a_candidate_once_in_each_metric(spark, monkeypatch):
     got = design.batch_maximin(df.where("id >= 10"), df.where("id < 10"), ["first", "second"], 3).orderBy("place").collect()
     assert [r["id"] for r in got] == expected
     assert sum(met) < 3 * 50 * 10
+
+
+def test_designs_pass_over_different_points(spark, monkeypatch):
+    z = RNG.integers(0, 6, (300, 2)) / 6.0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "id long, z array<double>")
+    at = clusters.places(df)
+    centers = z[[0, 50, 90]] + 0.01
+    (once, far), (every, far_every) = clusters.moved_centers(at, {0: centers}), clusters.moved_centers(df, {0: centers})
+    assert once[0] == pytest.approx(every[0]) and far == far_every
+    assert at.count() == len(np.unique(z, axis=0)) and at.agg(F.sum("n")).first()[0] == 300
+    d = np.linalg.norm(z[:, None] - centers, axis=2)
+    owned = clusters.owned_by(df, centers).groupBy("key").agg(F.count("*"), F.max("distance")).orderBy("key").collect()
+    assert [tuple(r) for r in owned] == [(k, (d.argmin(axis=1) == k).sum(), pytest.approx(d.min(axis=1)[d.argmin(axis=1) == k].max())) for k in range(3)]
+    passed, moved, balls = [], clusters.moved_centers, clusters.enclosing_balls
+    monkeypatch.setattr(clusters, "moved_centers", lambda c, *a: passed.append(c.count()) or moved(c, *a))
+    monkeypatch.setattr(clusters, "enclosing_balls", lambda c, *a: passed.append(c.count()) or balls(c, *a))
+    clusters.minimax_lloyd(df, 2, 3, rounds=2)
+    clusters.minimax_particles(df, 3, particles=2, rounds=2)
+    clusters.cover_size(df, 0.3, rounds=2)
+    assert passed and max(passed) <= 36
