@@ -376,7 +376,7 @@ def safety_factor(df: DataFrame, value: str, prob: float = 0.01, upper: bool = T
 class GaussianProcess:
     """f(x) = sum alpha_i exp(-|L (x - x_i)|^2 / 2) over at most `limit` places x_i (rows of smallest hash). Up to so many
     rows it interpolates them. Beyond, the x_i are inducing points and every row of the table counts: the sums of
-    K(x_i, x) K(x, x_j) and K(x_i, x) f(x) are one aggregate."""
+    K(x_i, x) K(x, x_j) and K(x_i, x) f(x) are one aggregate over the different points x, each with its rows' count and sum."""
 
     def __init__(self, L, limit: int = 2000, nugget: float = 5 * np.finfo(float).eps):
         self.L, self.limit, self.nugget = np.atleast_2d(np.array(L, float)), limit, nugget
@@ -398,13 +398,20 @@ class GaussianProcess:
             self.nll = 0.5 * float(f @ self.alpha) + 0.5 * float(np.linalg.slogdet(self.K)[1])
             return self
         n = len(f)
-        G = grams(train, lambda batch: np.hstack([np.exp(-0.5 * distances(_matrix(batch["x"]) @ L.T, X) ** 2), batch[["fx"]].to_numpy(float), np.ones((len(batch), 1))]), n + 2)
+        at = train.groupBy("x").agg(F.count("*").alias("n"), F.sum("fx").alias("s"))
+
+        def weighed(batch):
+            root = np.sqrt(batch[["n"]].to_numpy(float))
+            return np.hstack([np.exp(-0.5 * distances(_matrix(batch["x"]) @ L.T, X) ** 2) * root, batch[["s"]].to_numpy(float) / root])
+
+        G = grams(at, weighed, n + 1)
+        rows, squares = train.agg(F.count("*"), F.sum(F.col("fx") * F.col("fx"))).first()
         A = G[:n, :n] + noise * self.K
         back = np.linalg.pinv(A, rcond=1e-14, hermitian=True)
         self.alpha = back @ G[:n, n]
         self.inverse = self.inverse - noise * back
-        logs = np.linalg.slogdet(A)[1] - np.linalg.slogdet(self.K)[1] + (G[n + 1, n + 1] - n) * math.log(noise)
-        self.nll = 0.5 * float(G[n, n] - G[:n, n] @ self.alpha) / noise + 0.5 * float(logs)
+        logs = np.linalg.slogdet(A)[1] - np.linalg.slogdet(self.K)[1] + (rows - n) * math.log(noise)
+        self.nll = 0.5 * float(squares - G[:n, n] @ self.alpha) / noise + 0.5 * float(logs)
         return self
 
     def predict(self, test: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import clusters, design, pairs
+from ridgeline.operators import clusters, design, pairs, ridge, summaries
 
 RNG = np.random.default_rng(37)
 # A tight cluster with copies, and points around it.
@@ -126,3 +126,17 @@ def test_designs_pass_over_different_points(spark, monkeypatch):
     clusters.minimax_particles(df, 3, particles=2, rounds=2)
     clusters.cover_size(df, 0.3, rounds=2)
     assert passed and max(passed) <= 36
+
+
+def test_processes_add_up_different_points(spark, monkeypatch):
+    x, summed, grams = RNG.integers(0, 5, (200, 2)) / 5.0, [], ridge.grams
+    f = np.sin(3 * x[:, 0]) + x[:, 1] + 0.1 * RNG.standard_normal(200)
+    df = spark.createDataFrame([(i, p.tolist(), float(v)) for i, (p, v) in enumerate(zip(x, f, strict=True))], "id long, x array<double>, fx double")
+    monkeypatch.setattr(ridge, "grams", lambda at, *a: summed.append(at.count()) or grams(at, *a))
+    gp, noise = summaries.GaussianProcess(3 * np.eye(2), limit=20, nugget=0.1).fit(df), 0.1
+    assert summed == [len(np.unique(x, axis=0))]
+    K = np.exp(-0.5 * pairs.distances(3 * x, gp.X) ** 2)
+    A = K.T @ K + noise * gp.K
+    assert gp.alpha == pytest.approx(np.linalg.solve(A, K.T @ f))
+    logs = np.linalg.slogdet(A)[1] - np.linalg.slogdet(gp.K)[1] + (200 - 20) * np.log(noise)
+    assert gp.nll == pytest.approx(0.5 * (f @ f - (K.T @ f) @ gp.alpha) / noise + 0.5 * logs)
