@@ -95,8 +95,8 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + "".join(out)
 
 
-# Every reference to a table is a column of its own, so that the optimizer puts the literal in its place; a column that is
-# referred to twice would be copied for every row.
+# Every table is a column that is referred to once, so that the optimizer puts the literal in its place; a column that is
+# referred to twice would be copied for every row, and a literal in several places would be sent to the tasks as often.
 
 
 def _bucketed(df: DataFrame, key: str, value: str, buckets: int) -> DataFrame:
@@ -146,18 +146,18 @@ class _Tables:
         return _bucketed(df, *df.columns, buckets), buckets
 
     def folded(self, df: DataFrame, with_ids) -> DataFrame:
-        """df with the columns of tables that with_ids' expression, a function of the fold, refers to, and with `ids`."""
-        used: dict[str, str] = {}
-
-        def look(name: str, key: Column) -> Column:
-            column = f"_{name}_{len(used)}"
-            used[column] = name
-            return _look((F.col(column), self.maps[name][1]), key)
-
-        ids = with_ids(lambda word: self._fold(word, look))
-        for column, name in used.items():
-            df = df.withColumn(column, self.maps[name][0].scalar())
-        return df.withColumn("ids", ids)
+        """df with a column for each table and with `ids`: with_ids' expression, a function of the fold. All places of the
+        fold that look into a table share one variable, so that a task is sent each table once."""
+
+        def bound(names: list[str], tables: dict[str, Column]) -> Column:
+            if names:
+                return _let(F.col(f"_{names[0]}"), lambda t: bound(names[1:], {**tables, names[0]: t}))
+            look = lambda name, key: _look((tables[name], self.maps[name][1]), key)
+            return with_ids(lambda word: self._fold(word, look))
+
+        for name, (table, _) in self.maps.items():
+            df = df.withColumn(f"_{name}", table.scalar())
+        return df.withColumn("ids", bound(list(self.maps), {}))
 
     def _fold(self, word: Column, look) -> Column:
         """Ids of a word."""

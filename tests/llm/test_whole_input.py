@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers as P
 
 from ridgeline.llm import bpe, pii, quality
@@ -15,6 +17,17 @@ def test_literal_maps_are_read_not_made_again(spark):
     assert "Aggregate" not in plan and "SortMergeJoin" not in plan
 
 
+def test_a_task_is_sent_each_literal_map_once(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    vocabulary = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))[:2000]
+    plan = bpe.encode(docs, P.PATTERN, vocabulary)._jdf.queryExecution().optimizedPlan()
+    expressions = plan.expressions().mkString("\n")
+    while plan.children().size():
+        plan = plan.children().head()
+        expressions += "\n" + plan.expressions().mkString("\n")
+    assert len(re.findall("scalar-subquery#", expressions)) == 4  # pairs, spans, pieces and frequent words
+
+
 def test_every_trusted_document_is_in_the_target(spark):
     ids = spark.range(25_000).withColumnRenamed("id", "doc_id")
     assert quality.target_ids(ids.unionByName(ids)).count() == 25_000
