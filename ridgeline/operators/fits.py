@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators.domain import coords, dot
 from ridgeline.operators.programs import least_quadratic
-from ridgeline.operators.ridge import Basis, Ridge, _geodesic, _points, affine_direction, evaluate, fit_ridge, grams, needed_rows, scaled_basis
+from ridgeline.operators.ridge import TIMES, Basis, Ridge, _geodesic, _points, _repeated, affine_direction, counted, evaluate, fit_ridge, grams, needed_rows, scaled_basis, times
 
 #: Rows that join the program in a round.
 MOST = 64
@@ -47,8 +47,9 @@ def _active(m: int, U):
 
 
 def _worst(df: DataFrame, measure, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Points, values and measures of the rows that have most of it, largest first; equal rows count once."""
-    rows = df.select(measure.alias("v"), "x", "fx").distinct().orderBy(F.desc("v"), "fx", "x").limit(most).collect()
+    """Points, values and measures of the rows that have most of it, largest first. The rows of df are different, so the
+    largest of each task are all that is sent."""
+    rows = df.select(measure.alias("v"), "x", "fx").orderBy(F.desc("v"), "fx", "x").limit(most).collect()
     return np.array([r["x"] for r in rows], float), np.array([r["fx"] for r in rows], float), np.array([r["v"] for r in rows], float)
 
 
@@ -57,21 +58,23 @@ def _gram(df: DataFrame, basis: Basis, U) -> np.ndarray:
 
     def rows_of(batch):
         x = _points(batch)
-        return np.hstack([basis.matrix(x if U is None else x @ U), batch["fx"].to_numpy(float)[:, None]])
+        return _repeated(np.hstack([basis.matrix(x if U is None else x @ U), batch["fx"].to_numpy(float)[:, None]]), batch)
 
     return grams(df, rows_of, len(basis.indices) + 1)
 
 
 def norm_fit(df: DataFrame, basis: Basis, norm: float = 2, bound: str | None = None, U=None, tol: float = 1e-3, rounds: int = 60, start: tuple | None = None) -> Fit:
     """The fit of fx by the basis in x (or U'x) with the least norm of residuals; bound "lower" or "upper" keeps it below or
-    above every row. norm: 1, 2 or math.inf. start: points and values of rows to begin with. df: x, fx, stored.
+    above every row. norm: 1, 2 or math.inf. start: points and values of rows to begin with. df: x, fx, or what `counted`
+    makes of them.
 
-    Rows are not weighted; equal rows count as often as they occur in sums. Null and non-finite rows must be removed
+    Rows are not weighted; equal rows count as often as they occur in sums, but are brought together first. Null and non-finite rows must be removed
     before. An empty table is refused.
     """
     if norm not in (1, 2, math.inf) or bound not in (None, "lower", "upper"):
         raise ValueError("norm is 1, 2 or inf; bound is lower, upper or None")
     side = {None: 0, "lower": 1, "upper": -1}[bound]
+    df = counted(df, "x", "fx")
     G = _gram(df, basis, U)
     n = len(basis.indices)
     if not G.any():
@@ -189,12 +192,12 @@ def _least_sum(df, basis, U, G, c, tol, rounds) -> Fit:
         def of_batch(batch):
             p = _points(batch)
             V = basis.matrix(p if U is None else p @ U)
-            r = batch["fx"].to_numpy(float) - V @ c
+            r, k = batch["fx"].to_numpy(float) - V @ c, times(batch)
             a = np.abs(r)
-            slope, inside = np.clip(r / eps, -1, 1), a <= eps
-            weighted = V / np.maximum(a, eps)[:, None]
-            huber = np.where(inside, r * r / (2 * eps), a - eps / 2).sum()
-            return np.concatenate([(V[inside].T @ V[inside]).ravel() / eps, (weighted.T @ V).ravel(), slope @ V, V.T @ r, [a.sum(), huber, slope @ r]])
+            slope, inside = k * np.clip(r / eps, -1, 1), a <= eps
+            weighted = V * (k / np.maximum(a, eps))[:, None]
+            huber = k @ np.where(inside, r * r / (2 * eps), a - eps / 2)
+            return np.concatenate([(V[inside].T @ (V * k[:, None])[inside]).ravel() / eps, (weighted.T @ V).ravel(), slope @ V, V.T @ (k * r), [k @ a, huber, slope @ r]])
 
         s = _summed(df, of_batch, 2 * size + 2 * n + 3)
         return s[:size].reshape(n, n), s[size : 2 * size].reshape(n, n), s[2 * size : 2 * size + n], s[2 * size + n : -3], *s[-3:]
@@ -206,7 +209,7 @@ def _least_sum(df, basis, U, G, c, tol, rounds) -> Fit:
             p = _points(batch)
             V = basis.matrix(p if U is None else p @ U)
             r = np.abs((batch["fx"].to_numpy(float) - V @ c)[:, None] - V @ ways)
-            return np.where(r <= eps, r * r / (2 * eps), r - eps / 2).sum(axis=0)
+            return times(batch) @ np.where(r <= eps, r * r / (2 * eps), r - eps / 2)
 
         return _summed(df, of_batch, ways.shape[1])
 
@@ -253,11 +256,12 @@ def norm_ridge(df: DataFrame, m: int, n: int, degree: int, norm: float = math.in
     sums of all rows (a sum, or squares). The coefficients for the turned U are then fitted over all rows, with their
     bound; the turn is kept if the loss falls by a tenth of what was promised. Ends when the promise is below tol of
     the loss at a radius of a hundredth or more, or no turn helps. Starts at U0, or at the directions of the 2-norm fit
-    from the affine one. df: x, fx, stored.
+    from the affine one. df: x, fx, or what `counted` makes of them.
     """
     if df.limit(needed_rows(m, n, degree)).count() < needed_rows(m, n, degree):
         raise ValueError(f"a fit needs {needed_rows(m, n, degree)} rows")
     side = {None: 0, "lower": 1, "upper": -1}[bound]
+    df = counted(df, "x", "fx")
     if U0 is None:
         first = np.random.default_rng(seed).standard_normal((m, n))
         first[:, 0] = affine_direction(df, m)
@@ -269,8 +273,8 @@ def norm_ridge(df: DataFrame, m: int, n: int, degree: int, norm: float = math.in
         return basis, norm_fit(df, basis, norm, bound, U, tol=0.1 * tol, start=start)
 
     basis, fit = at(U)
-    spread = df.agg(F.stddev_pop("fx")).first()[0] or 0.0
-    count = df.count()
+    count, mean = df.agg(F.sum(TIMES), F.sum(F.col(TIMES) * F.col("fx")) / F.sum(TIMES)).first()
+    spread = math.sqrt(df.agg(F.sum(F.col(TIMES) * (F.col("fx") - mean) ** 2) / count).first()[0] or 0.0)
     exact = 1e-9 * spread * {1: count, 2: math.sqrt(count)}.get(norm, 1.0)
     radius, promised, losses = 0.25, math.inf, [fit.loss]
     for _ in range(rounds):
@@ -307,7 +311,7 @@ def _turn(df, basis, fit, U, norm, side, radius) -> tuple[np.ndarray, float]:
         return np.hstack([((x @ N)[:, :, None] * slopes[:, None, :]).reshape(len(x), k), basis.matrix(x @ U)])
 
     size = k + p
-    eps = 1e-3 * fit.loss / max(df.count(), 1) if norm == 1 and not side else 0.0
+    eps = 1e-3 * fit.loss / df.agg(F.sum(TIMES)).first()[0] if norm == 1 and not side else 0.0
 
     def batch_rows(batch):
         x = _points(batch)
@@ -335,10 +339,10 @@ def _turn(df, basis, fit, U, norm, side, radius) -> tuple[np.ndarray, float]:
             q[size] = 1.0
     if norm != math.inf:
         if norm == 1 and side:
-            G = _summed(df, lambda batch: batch_rows(batch).sum(axis=0), size + 1)
+            G = _summed(df, lambda batch: times(batch) @ batch_rows(batch), size + 1)
             q[:size], rest = -side * G[:size], side * G[size]
         else:
-            G = grams(df, batch_rows, size + 1)
+            G = grams(df, lambda batch: _repeated(batch_rows(batch), batch), size + 1)
             P[:size, :size], q[:size], rest = 2 * G[:size, :size], -2 * G[:size, size], G[size, size]
         A, b = [*A, np.array([[0.0] * size + [1.0]])], [*b, np.zeros(1)]
         P[size, size] = 1e-9 * (np.trace(P) + 1)

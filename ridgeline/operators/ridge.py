@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators.domain import coords, dot
+from ridgeline.sources.tables import stored
+
+#: A column that tells how often a row occurs; tables without it have each row as often as it stands there.
+TIMES = "_times"
 
 
 def multi_indices(degree: int, dim: int) -> np.ndarray:
@@ -157,6 +161,8 @@ class Basis:
 def scaled_basis(df: DataFrame, y: list[Column], degree: int, kind: str = "legendre") -> Basis:
     """Inputs scaled by the table: to [-1, 1], or for Hermite by mean and standard deviation times root two, or for
     Laguerre from the minimum on."""
+    if kind == "hermite" and TIMES in df.columns:
+        df = df.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col(TIMES).cast("int"))))  # both moments are of all rows
     row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(y) for k, f in (("a", F.min), ("b", F.max), ("m", F.avg), ("s", F.stddev_pop))]).first()
     n = range(len(y))
     if kind == "hermite":
@@ -202,13 +208,30 @@ def _points(batch, column="x") -> np.ndarray:
     return np.stack(batch[column].to_numpy()).astype(float)
 
 
+def counted(df: DataFrame, *columns: str) -> DataFrame:
+    """The different rows of these columns, stored, with the number of rows that each stands for."""
+    if TIMES in df.columns:
+        return df
+    return stored(df.groupBy(*columns).agg(F.count("*").alias(TIMES)), "counted")
+
+
+def times(batch) -> np.ndarray:
+    """How often each row of a batch occurs."""
+    return batch[TIMES].to_numpy(float) if TIMES in batch else np.ones(len(batch))
+
+
+def _repeated(M: np.ndarray, batch) -> np.ndarray:
+    """Rows whose products count as often as the rows of the batch occur."""
+    return M * np.sqrt(times(batch))[:, None] if TIMES in batch else M
+
+
 def least_squares(df: DataFrame, basis: Basis, U=None, weight: str | None = None, target: str = "fx", column: str = "x") -> np.ndarray:
     """Coefficients of the 2-norm fit, weighted if asked, on U'x if U is given."""
     n = len(basis.indices)
 
     def rows_of(batch):
         x = _points(batch, column)
-        M = np.hstack([basis.matrix(x if U is None else x @ U), batch[target].to_numpy(float)[:, None]])
+        M = _repeated(np.hstack([basis.matrix(x if U is None else x @ U), batch[target].to_numpy(float)[:, None]]), batch)
         return M if weight is None else M * np.sqrt(batch[weight].to_numpy(float))[:, None]
 
     G = grams(df, rows_of, n + 1)
@@ -294,8 +317,6 @@ def reweighted_fit(df: DataFrame, basis: Basis, norm: float, rounds: int = 30, b
             df = df.withColumn("w", 1.0 / F.greatest(r, F.lit(1e-8)))
         elif norm == math.inf:
             total = df.agg(F.sum(F.col("w") * r)).first()[0] or 1.0
-            from ridgeline.sources.tables import stored
-
             df = stored(df.withColumn("w", F.col("w") * r / F.lit(total) + 1e-300), "weights")
     if bound:
         low, high = df.agg(F.min(F.col("fx") - evaluate(basis, c, y)), F.max(F.col("fx") - evaluate(basis, c, y))).first()
@@ -351,16 +372,18 @@ class Ridge:
 def fit_ridge(df: DataFrame, m: int, n: int, degree: int, U0=None, targets: list[str] = ("fx",), rounds: int = 20, fixed: int = 0, seed: int = 0) -> Ridge:
     """Variable projection: for each U the coefficients are those of the best fit, and Gauss-Newton moves U on the
     Grassmannian. Each round is two aggregates: normal equations for the coefficients, then the Jacobian's. Several
-    targets share U; the first `fixed` columns of U stay. df: x and the targets; it should be persisted.
+    targets share U; the first `fixed` columns of U stay. df: x and the targets, or what `counted` makes of them: rounds
+    pass over the different rows.
     """
     if df.limit(needed_rows(m, n, degree)).count() < needed_rows(m, n, degree):
         raise ValueError(f"a fit needs {needed_rows(m, n, degree)} rows")
+    df = counted(df, "x", *targets)
     U = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, n)) if U0 is None else np.array(U0, float).reshape(m, n))[0]
 
     def solve(U):
         basis = scaled_basis(df, [dot(U[:, k], coords("x", m)) for k in range(n)], degree)
         size = len(basis.indices)
-        G = grams(df, lambda batch: np.hstack([basis.matrix(_points(batch) @ U), batch[list(targets)].to_numpy(float)]), size + len(targets))
+        G = grams(df, lambda batch: _repeated(np.hstack([basis.matrix(_points(batch) @ U), batch[list(targets)].to_numpy(float)]), batch), size + len(targets))
         C = np.linalg.lstsq(G[:size, :size], G[:size, size:], rcond=1e-14)[0]
         loss = float(np.trace(G[size:, size:] - C.T @ G[:size, size:]))
         return basis, C, loss
@@ -377,7 +400,7 @@ def fit_ridge(df: DataFrame, m: int, n: int, degree: int, U0=None, targets: list
             x = _points(batch)
             V, S = basis.matrix(x @ U), basis.slopes(x @ U)
             moved = [(x[:, :, None] * np.einsum("rjk,j->rk", S, C[:, k])[:, None, :]).reshape(len(x), size) for k in range(many)]
-            return np.hstack([*moved, V, batch[list(targets)].to_numpy(float) - V @ C])
+            return _repeated(np.hstack([*moved, V, batch[list(targets)].to_numpy(float) - V @ C]), batch)
 
         # Coefficients follow U: what the basis explains of the Jacobian is taken out, over the table as a whole.
         G, at = grams(df, jacobian, size * many + p + many), size * many

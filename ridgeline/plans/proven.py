@@ -89,14 +89,14 @@ def ra8_ridge_norms(spark, d):
     side, whether the loss is within a hundredth of the bound for its direction, and whether it is below the loss that
     the same fit has in the direction of the affine one."""
     df, x = _workload_rows(spark, d, cf.OTL)
-    data = tables.stored(df.select(F.array(*cf.OTL.domain.normalize(x)).alias("x"), cf.OTL.values(x)[0].alias("fx")), "samples")
+    data = ridge.counted(df.select(F.array(*cf.OTL.domain.normalize(x)).alias("x"), cf.OTL.values(x)[0].alias("fx")), "x", "fx")
     start, out = ridge.affine_direction(data, 6), None
     for name, norm, side in (("sup", math.inf, None), ("one", 1, "lower"), ("two", 2, "upper")):
         found = fits.norm_ridge(data, 6, 1, 3, norm, side, U0=start)
         r = F.col("fx") - found.ridge.value(coords("x", 6))
         wrong = {None: F.abs(r) > found.fit.loss * (1 + 1e-6) if norm == math.inf else F.lit(False), "lower": r < -1e-9, "upper": r > 1e-9}[side]
         proven = found.fit.gap <= 1e-2
-        row = data.agg(F.lit(name).alias("norm"), F.lit(side or "both").alias("side"), F.count("*").alias("rows"), F.count(F.when(wrong, 1)).alias("wrong"), F.lit(bool(proven)).alias("proven"), F.lit(bool(found.fit.loss < found.losses[0])).alias("better"))
+        row = data.agg(F.lit(name).alias("norm"), F.lit(side or "both").alias("side"), F.coalesce(F.sum(ridge.TIMES), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(wrong, F.col(ridge.TIMES))), F.lit(0)).alias("wrong"), F.lit(bool(proven)).alias("proven"), F.lit(bool(found.fit.loss < found.losses[0])).alias("better"))
         out = row if out is None else out.unionByName(row)
     return out
 
