@@ -107,7 +107,7 @@ def l10_partial_matrix(spark, d):
     that break them, whether the trace is within a thousandth of the bound for its directions, and whether it lies
     between that of the free matrix and that of a multiple of the identity."""
     df, x = _workload_rows(spark, d, cf.OTL)
-    g = tables.stored(df.select(F.monotonically_increasing_id().alias("id"), F.array(*cf.OTL.gradients(x, normalized=True)[0]).alias("grad")), "gradients")
+    g = ridge.counted(df.select(F.array(*cf.OTL.gradients(x, normalized=True)[0]).alias("grad")), "grad")
     free, whole = lipschitz.least_matrix(6, gradients=g), lipschitz.least_matrix(6, gradients=g, shapes=[np.eye(6)])
     out, last = None, np.trace(whole.H)
     for rank in (1, 2):
@@ -115,7 +115,7 @@ def l10_partial_matrix(spark, d):
         trace = np.trace(found.H)
         ordered = free.bound * (1 - 1e-9) <= trace <= last * (1 + 1e-6)
         last = trace
-        row = lipschitz.gradient_slack(g, found.H).agg(F.lit(rank).alias("rank"), F.count("*").alias("gradients"), F.count(F.when(F.col("slack") < -1e-9 * trace, 1)).alias("broken"), F.lit(bool(found.gap <= 1e-3)).alias("tight"), F.lit(bool(ordered)).alias("ordered"))
+        row = lipschitz.broken_gradients(g, found.H, -1e-9 * trace).select(F.lit(rank).alias("rank"), "gradients", "broken", F.lit(bool(found.gap <= 1e-3)).alias("tight"), F.lit(bool(ordered)).alias("ordered"))
         out = row if out is None else out.unionByName(row)
     return out
 
