@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.domain import Domain
-from ridgeline.operators.pairs import CELLS, _matrix, by_coordinate, closest, distances, meet_cells, meet_train, nearest
+from ridgeline.operators.pairs import BLOCK, CELLS, _matrix, by_coordinate, closest, distances, meet_cells, meet_train, nearest, within
 from ridgeline.sources.tables import stored
 
 #: Steps of a loop after which its column is written.
@@ -250,33 +250,51 @@ def _counts_within(asked: DataFrame, counted: DataFrame, radius: float) -> DataF
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         z, to, n = _matrix(a["z"]), _matrix(b["z"]), b["n"].to_numpy(float)
-        within, step = np.zeros(len(a)), max(1, CELLS // len(b))
-        for k in range(0, len(a), step):
-            within[k : k + step] = (by_coordinate(z[k : k + step], to) <= radius) @ n
-        return pd.DataFrame({"id": a["id"], "within": within.astype("int64")})[within > 0]
+        found, step = np.zeros(len(a)), max(1, CELLS // min(BLOCK, len(b)))
+        for j in range(0, len(b), BLOCK):
+            for k in range(0, len(a), step):
+                found[k : k + step] += within(z[k : k + step], to[j : j + BLOCK], radius) @ n[j : j + BLOCK]
+        return pd.DataFrame({"id": a["id"], "within": found.astype("int64")})[found > 0]
 
     found = meet_cells(asked.select("id", "z"), counted.select("id", "z", "n"), radius, kernel, "id long, within long")
     return found.groupBy("id").agg(F.sum("within").alias("within"))
 
 
 def greedy_cover(points: DataFrame, radius: float) -> DataFrame:
-    """place, id, gained: points chosen so that all lie within the radius of one; each step takes the one with most
-    uncovered neighbours, ties to the smaller id (at most ln n times as many as needed). Equal points are one with a
-    count. A step takes the points that it covers from the counts of those around them, so every pair is looked at
-    twice altogether and none is stored."""
-    spark, chosen = points.sparkSession, []
+    """place, id, gained: points chosen so that all lie within the radius of one; each is the one with most uncovered
+    neighbours after those before it, ties to the smaller id (at most ln n times as many as needed). Equal points are one
+    with a count.
+
+    A round takes all points that none within two radii goes before: what they gain is disjoint, and no choice elsewhere
+    changes it, so these are the choices of one at a time. A point alone in its radius is taken from the start. Points
+    that a round covers are taken from the counts of those around them: no pair is stored."""
     at = stored(points.where("z is not null").groupBy("z").agg(F.min("id").alias("id"), F.count("*").alias("n")), "places")
-    state = stored(at.join(_counts_within(at, at, radius), "id").withColumn("open", F.lit(True)), "gains")
+    counted = stored(at.join(_counts_within(at, at, radius), "id").withColumn("open", F.lit(True)), "gains")
+    alone = F.col("within") == F.col("n")
+    chosen, state = counted.where(alone).select("id", "within"), counted.where(~alone)
     while True:
-        row = state.where("within > 0").orderBy(F.desc("within"), "id").limit(1).collect()
-        if not row:
-            return spark.createDataFrame(chosen, "place int, id long, gained long")
-        chosen.append((len(chosen) + 1, row[0]["id"], row[0]["within"]))
-        away = _to_point("z", row[0]["z"])
-        hit = F.col("open") & (away <= radius)
-        lost = _counts_within(state.where(away <= 2.001 * radius), stored(state.where(hit), "covered"), radius)
-        left = state.join(lost.withColumnRenamed("within", "lost"), "id", "left")
-        state = stored(left.select("id", "z", "n", (F.col("within") - F.coalesce("lost", F.lit(0))).alias("within"), (F.col("open") & ~hit).alias("open")), "gains")
+        ranked = state.withColumn("rank", -F.col("within"))
+        enter = stored(ranked.join(_near_lesser(ranked, ranked, 2.001 * radius), "id", "left_anti").select("id", "z", "within", F.lit(1).alias("n")), "enter")
+        if not enter.limit(1).count():
+            return _in_order(chosen)
+        chosen = chosen.unionByName(enter.select("id", "within"))
+        open_ = state.where("open")
+        covered = stored(open_.join(_counts_within(open_, enter, radius), "id", "left_semi").select("id", "z", "n"), "covered")
+        lost = _counts_within(state, covered, radius).withColumnRenamed("within", "lost")
+        left = state.join(lost, "id", "left").join(covered.select("id", F.lit(True).alias("hit")), "id", "left")
+        gain = F.col("within") - F.coalesce("lost", F.lit(0))
+        state = stored(left.where(gain > 0).select("id", "z", "n", gain.alias("within"), (F.col("open") & F.col("hit").isNull()).alias("open")), "gains")
+
+
+def _in_order(chosen: DataFrame) -> DataFrame:
+    """place, id, gained of chosen points (id, within): the most gained first, then the smaller id. Ranges of that order are
+    numbered by themselves, after the sizes of those before."""
+    order = [F.desc("within"), F.col("id")]
+    dealt = chosen.repartitionByRange(int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt = stored(dealt.withColumn("part", F.spark_partition_id()), "chosen")
+    sizes = dealt.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count"))
+    place = (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order))).cast("int")
+    return dealt.join(sizes.select("part", "before"), "part").select(place.alias("place"), "id", F.col("within").alias("gained"))
 
 
 def latin_hypercube(spark: SparkSession, domain: Domain, n: int, seed: int = 0, designs: int = 1) -> DataFrame:

@@ -45,6 +45,36 @@ def test_cover_is_greedy_and_writes_no_pairs(points, written, monkeypatch):
     assert max(written) <= len(Z)
 
 
+def test_cover_of_whole_vectors(spark, written, monkeypatch, tmp_path):
+    """Clusters whose first two components are equal, each with copies and points in and out of the radius."""
+    from ridgeline.plans import more_queries
+
+    rng = np.random.default_rng(38)
+    z = np.vstack([c + 0.0135 * rng.standard_normal((6, 64)) for c in rng.standard_normal((20, 64))] + [rng.standard_normal((30, 64))]).astype("float32")
+    z[:, :2], z[5] = 0.25, z[4]
+    rows = [(i, x.tolist()) for i, x in enumerate(z)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found, cover = [], design.greedy_cover
+    monkeypatch.setattr(design, "greedy_cover", lambda *a: found.append(cover(*a)) or found[0])
+    assert more_queries.ds10_cover(spark, str(tmp_path)).collect() == [(150, 0)]
+    near, open_, expected = pairs.distances(z.astype(float), z.astype(float)) <= 0.15, np.ones(150, bool), []
+    while open_.any():
+        gain = (near & open_).sum(axis=1)
+        expected.append((len(expected) + 1, int(gain.argmax()), int(gain.max())))
+        open_ &= ~near[gain.argmax()]
+    assert [tuple(r) for r in found[0].orderBy("place").collect()] == expected
+    assert len({r[2] for r in expected}) > 2 and len(expected) > len(written)  # choices apart are made at once
+
+
+@pytest.mark.parametrize("m", [2, 64])
+def test_within_is_that_of_differences(m):
+    a = RNG.standard_normal((200, m)) / m
+    b = np.vstack([a[:50], RNG.standard_normal((300, m)) / m])
+    d = pairs.distances(a, b)
+    for radius in (0.0, *d[:20].ravel()[::350], d.max()):
+        assert (pairs.within(a, b, radius) == (d <= radius)).all()
+
+
 def test_thinning_takes_least_ranks_and_writes_no_pairs(spark, points, written, monkeypatch):
     monkeypatch.setattr(pairs, "LARGE", 40)
     ranks = {r["id"]: r["rank"] for r in points.select("id", F.xxhash64(F.lit(0), "id").alias("rank")).collect()}
